@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _rng = np.random.default_rng(20240611)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -55,7 +56,7 @@ def polynomial(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 def texts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a column of strings (null: empty) and the offsets of its rows."""
-    column = pa.compute.fill_null(column, "").cast(pa.large_string())
+    column = pc.fill_null(column, "").cast(pa.large_string())
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracequarry.llm import mixing, sharding
+from tracequarry.llm import chat, fingerprints, mixing, packing, quality, sharding
+from tracequarry.llm._store import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,85 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = stored(quality.ledger(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "ledger")
+    base = F.col("failed").bitwiseAND(quality.mask(quality.POLICIES[1])) != 0
+    return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality.kept(2).alias("kept"), "failed")
+
+
+OP4_SQL = r"""
+with words as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w
+  from documents),
+wins as (
+  select r, unnest(range(1, greatest(len(w) - 3, 1))) as p, w from words),
+keyed as (select r, p, list_aggregate(w[p:p + 4], 'string_agg', ' ') as k from wins),
+twice as (select r, p, count(*) over (partition by r, k) as c from keyed),
+reach as (select r, least(5, coalesce(lead(p) over (partition by r order by p) - p, 5)) as x from twice where c > 1),
+rep as (select r, sum(x)::bigint as n_repeat_words from reach group by r),
+counts as (
+  select doc_id, len(w)::bigint as n_words,
+         coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
+         len(regexp_extract_all(text, '\p{Lu}')) as n_capitals, len(regexp_extract_all(text, '!')) as n_exclamations,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
+         coalesce(n_repeat_words, 0)::bigint as n_repeat_words
+  from words left join rep using (r)),
+lined as (select *, len(lines) as n_lines, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines from counts),
+bits as (
+  select *, case when n_words < 10 then 1 else 0 end
+          + case when 100 * n_repeat_words > 20 * n_words then 2 else 0 end
+          + case when 10 * n_symbols > 3 * n_words then 4 else 0 end
+          + case when n_dup_lines >= 3 and 100 * n_dup_lines > 30 * n_lines then 8 else 0 end
+          + case when n_words >= 10 and 100 * n_capitals > 60 * word_chars then 16 else 0 end
+          + case when n_words >= 10 and 2 * n_exclamations > n_words then 32 else 0 end
+          + case when n_words >= 10 and (word_chars < 2 * n_words or word_chars > 30 * n_words) then 64 else 0 end as failed
+  from lined)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       failed & 3 <> 0 as base_failed, failed = 0 as kept, failed::int as failed
+from bits
+"""
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]")
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    trees = stored(chat.as_trees(rows.unionByName(own)), "chat-trees")
+    out = chat.formatted(trees).withColumn("turns", chat.turns_of(F.col("formatted"))).withColumn("loss", F.array_join(chat.loss_texts(F.col("formatted"), F.col("loss_spans")), ""))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP5_SQL = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+esc as (
+  select *, length(regexp_replace(role, '([<\[\\])', '\1\\', 'g')) + length(regexp_replace(text, '([<\[\\])', '\1\\', 'g')) + 23 as n
+  from turns),
+told as (
+  select conv_id, count(*)::bigint as n_turns, sum(n)::bigint as formatted_chars,
+         string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as t,
+         coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '') as l
+  from esc group by conv_id)
+select conv_id, n_turns, sha256(t) as turns_sha256, length(l)::bigint as loss_chars, sha256(l) as loss_sha256, formatted_chars
+from told
+"""
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end=2)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     plan = mixing.mix_plan(documents)
@@ -69,9 +149,20 @@ left join extra e on s.source is not distinct from e.source and s.draw = e.draw
 """
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op9_mixing": op9_mixing}
+    return {
+        "op1_sharding": op1_sharding,
+        "op4_quality": op4_quality,
+        "op5_chat": op5_chat,
+        "op6_packing": op6_packing,
+        "op9_mixing": op9_mixing,
+        "op10_fingerprints": op10_fingerprints,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": OP9_SQL}
+    return {"op4_quality": OP4_SQL, "op5_chat": OP5_SQL, "op9_mixing": OP9_SQL}
