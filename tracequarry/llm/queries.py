@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracequarry.llm import chat, fingerprints, mixing, packing, quality, sharding
+from tracequarry.llm import chat, fingerprints, lattice, mixing, packing, quality, sharding
 from tracequarry.llm._store import stored
 
 
@@ -18,6 +18,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return lattice.scored(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), folds=5, fold=1)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = stored(quality.ledger(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "ledger")
     base = F.col("failed").bitwiseAND(quality.mask(quality.POLICIES[1])) != 0
@@ -156,6 +162,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_sharding": op1_sharding,
+        "op3_lattice": op3_lattice,
         "op4_quality": op4_quality,
         "op5_chat": op5_chat,
         "op6_packing": op6_packing,
