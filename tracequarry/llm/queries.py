@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracequarry.llm import chat, fingerprints, lattice, mixing, packing, quality, sharding
+from tracequarry.llm import chat, fingerprints, lattice, mixing, packing, quality, repeats, sharding
 from tracequarry.llm._store import stored
 
 
@@ -103,6 +103,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), window=35, words_only=True)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     plan = mixing.mix_plan(documents)
@@ -166,6 +171,7 @@ def queries() -> dict:
         "op4_quality": op4_quality,
         "op5_chat": op5_chat,
         "op6_packing": op6_packing,
+        "op7_repeats": op7_repeats,
         "op9_mixing": op9_mixing,
         "op10_fingerprints": op10_fingerprints,
     }
