@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracequarry.llm import chat, fingerprints, lattice, mixing, packing, quality, repeats, sharding
+from tracequarry.llm import chat, fingerprints, lattice, mixing, neardup, packing, quality, repeats, sharding
 from tracequarry.llm._store import stored
 
 
@@ -18,6 +18,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, percent=80)
+
+
 def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -167,6 +171,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_sharding": op1_sharding,
+        "op2_minhash": op2_minhash,
         "op3_lattice": op3_lattice,
         "op4_quality": op4_quality,
         "op5_chat": op5_chat,
