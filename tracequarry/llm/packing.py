@@ -14,11 +14,13 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ from tracequarry.llm._store import parts, stored
 _encoders: dict[str, "Encoder"] = {}
 #: A space inside a run of white space, where the tokenizer's own split of words differs from one before each space.
 _INSIDE = re.compile(r"\s (?=\s|\Z)")
+#: Fixed values of byte-level vocabularies: the pattern of parts, and bytes as characters (those without a visible form from 256 on).
+_SPLIT = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SPACE = chr(288)
+_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 
 
 class Encoder:
@@ -37,7 +44,8 @@ class Encoder:
     bounded memory of words; texts with other runs of spaces are encoded whole.
     """
 
-    most = 300_000
+    #: Words in each of the two generations of the memory.
+    most = 250_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,30 +54,55 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _after_space(self, word: str) -> bytes:
+        """The ids of a word with a space before it: the vocabulary's merges on each part that the tokenizer's pattern splits off."""
+        out = []
+        for part in _SPLIT.findall(" " + word):
+            ids = self.parts.get(part)
+            if ids is None:
+                visible = part.replace(" ", _SPACE) if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(_BYTES)
+                ids = array("I", [token.id for token in self.tokenizer.model.tokenize(visible)]).tobytes()
+                if len(part) <= 64:
+                    self.parts[part] = ids
+            out.append(ids)
+        return b"".join(out)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.most:
-            self.known.clear()
-        known, split, fresh = self.known, [], set()
+            self.known, self.older = {}, self.known
+        if len(self.parts) > self.most:
+            self.parts = {}
+        split, fresh = [], set()
         for text in texts:
             if _INSIDE.search(text):
                 split.append(None)
                 continue
-            first, *rest = text.split(" ")
-            words = [first, *[" " + word for word in rest]]
-            split.append(words)
-            fresh.update(w for w in set(words) if w not in known)
-        long = {w for w in fresh if len(w) > 64}
-        own = dict(zip(long, self._encode(list(long)), strict=True))
-        short = list(fresh - long)
-        known.update(zip(short, self._encode(short), strict=True))
-        whole = iter(self._encode([t for t, words in zip(texts, split, strict=True) if words is None]))
-        if own:
-            return [next(whole) if words is None else b"".join([own[w] if w in own else known[w] for w in words]) for words in split]
-        return [next(whole) if words is None else b"".join(map(known.__getitem__, words)) for words in split]
+            words = text.split(" ")
+            parts = [b"", *map(self.known.get, words[1:])]
+            missing = [i for i, part in enumerate(parts) if part is None]
+            fresh.update([words[i] for i in missing])
+            split.append((words, parts, missing))
+        known = {w: self.older[w] for w in fresh if w in self.older}
+        known.update((w, self._after_space(w)) for w in fresh if w not in known)
+        whole = iter(self._encode([words[0][0] if words else text for text, words in zip(texts, split, strict=True)]))
+        out = []
+        for words in split:
+            first = next(whole)
+            if words:
+                names, parts, missing = words
+                for i in missing:
+                    parts[i] = known[names[i]]
+                parts[0] = first
+                first = b"".join(parts)
+            out.append(first)
+        self.known.update((w, ids) for w, ids in known.items() if len(w) <= 64)
+        return out
 
 
 def encoder(path: str) -> Encoder:
