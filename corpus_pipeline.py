@@ -1,20 +1,65 @@
-"""A pipeline from raw documents to packed training sequences; part of the subpackage tracequarry.llm."""
+"""A pipeline from raw documents to packed training sequences; part of the subpackage tracequarry.llm.
+
+Each stage takes (spark, docs, sf_dir) and returns rows that are written as Parquet and read again for the next; all but
+the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracequarry.llm import mixing, neardup, packing, quality, repeats
+from tracequarry.llm._store import stored
+
+CAPACITY = 1024
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass version 2 of the quality policy."""
+    whole = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return quality.ledger(whole).where(quality.kept(2)).select("_row.*")
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, similarity 0.8)."""
+    return neardup.deduplicated(docs, shingle=5, percent=80)
+
 
-STAGES: list = []
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts less every passage of 50 words or more that stands elsewhere too; n_chars follows the text."""
+    cut = repeats.without_repeats(docs, window=50).select(*[f"`{c}`" for c in docs.columns])
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them: 150 % of the words, weights 5, 2, 1, twice at most."""
+    return mixing.mixed(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in sequences of 1024 tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), capacity=CAPACITY, end=2)
+
+
+STAGES = [
+    ("quality rules", keep_quality),
+    ("near duplicates", keep_one_of_each_group),
+    ("repeated passages", cut_repeated_passages),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Sketches and automata are not SQL; the stages are tested one by one against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, on documents."""
-    from tracequarry.llm._store import stored
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, f"pipeline-{k}")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracequarry.llm import chat, fingerprints, lattice, mixing, neardup, packing, quality, repeats, sharding
-from tracequarry.llm._store import stored
+from tracequarry.llm import attention, chat, fingerprints, lattice, mixing, neardup, packing, quality, repeats, sharding
+from tracequarry.llm._store import crc, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,6 +112,13 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "quality")
+    held_out = F.pmod(crc(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4)) == 2
+    model = attention.learned(documents, labels.where(~held_out), label="quality")
+    return attention.scored(documents, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     plan = mixing.mix_plan(documents)
@@ -177,6 +184,7 @@ def queries() -> dict:
         "op5_chat": op5_chat,
         "op6_packing": op6_packing,
         "op7_repeats": op7_repeats,
+        "op8_attention": op8_attention,
         "op9_mixing": op9_mixing,
         "op10_fingerprints": op10_fingerprints,
     }
