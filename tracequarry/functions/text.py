@@ -126,7 +126,7 @@ def mentions(text: Column, term: Column) -> Column:
 
 def snippet(text: Column, tokens: Column, before: int = 70, after: int = 230) -> Column:
     """The surroundings of the first token found; without one, the beginning."""
-    places = F.filter(F.transform(tokens, lambda t: F.locate(t, F.lower(text))), lambda at: at > 0)
+    places = F.filter(F.transform(tokens, lambda t: F.position(t, F.lower(text))), lambda at: at > 0)
     start = F.greatest(F.coalesce(F.array_min(places), F.lit(1)) - before, F.lit(1))
     return F.substring(text, start, F.lit(before + after))
 
