@@ -163,6 +163,58 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _shared(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many elements each set of x shares with each of y, in strips of the elements of x."""
+    every = np.unique(np.concatenate(x))
+
+    def entries(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        values = np.concatenate(sets)
+        column = np.minimum(np.searchsorted(every, values), len(every) - 1)
+        hit = every[column] == values
+        column, row = column[hit], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[hit]
+        order = np.argsort(column, kind="stable")
+        return column[order], row[order]
+
+    (cx, rx), (cy, ry) = entries(x), entries(y)
+    out = np.zeros((len(x), len(y)), np.float32)
+    for start in range(0, len(every), width):
+        sx, sy = (slice(*np.searchsorted(c, (start, start + width))) for c in (cx, cy))
+        if sx.stop > sx.start and sy.stop > sy.start:
+            a, b = np.zeros((len(x), width), np.float32), np.zeros((len(y), width), np.float32)
+            a[rx[sx], cx[sx] - start] = 1
+            b[ry[sy], cy[sy] - start] = 1
+            out += a @ b.T
+    return out
+
+
+def _met_in_blocks(vertices: DataFrame, sets: DataFrame, percent: int, x_block: int = 128, y_block: int = 512) -> DataFrame:
+    """Links (a, b) between members outside a family's main group and members of other groups; one for each group that a member is linked to.
+
+    vertices: family, sid, part, main, all, out (how many there are, and how many outside). A task holds one block of either side; no pairs are listed."""
+    with_sets = vertices.join(_each_set(sets), "sid")
+    nx, ny = F.ceil(F.col("out") / x_block).cast("int"), F.ceil(F.col("all") / y_block).cast("int")
+    deal = lambda n: F.pmod(F.xxhash64("sid"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    x = with_sets.where("part <> main").select("family", "sid", "part", "hashes", deal(nx).alias("xb"), every(ny).alias("yb"))
+    y = with_sets.select(F.col("family").alias("of"), F.col("sid").alias("other"), F.col("part").alias("other_part"), F.col("hashes").alias("other_hashes"), deal(ny).alias("yb"), every(nx).alias("xb"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        links: list[tuple[int, int]] = []
+        if left.num_rows and right.num_rows:
+            xs, ys = ([np.frombuffer(b, np.uint64) for b in c.to_pylist()] for c in (left.column("hashes"), right.column("other_hashes")))
+            both = _shared(xs, ys)
+            union = np.array([len(s) for s in xs])[:, None] + np.array([len(s) for s in ys])[None, :] - both
+            parts = right.column("other_part").to_numpy()
+            linked = (100 * both >= percent * union) & (left.column("part").to_numpy()[:, None] != parts[None, :])
+            a, b = left.column("sid").to_numpy(), right.column("other").to_numpy()
+            for i in np.flatnonzero(linked.any(axis=1)):
+                at = np.flatnonzero(linked[i])
+                links += [(int(a[i]), int(b[j])) for j in at[np.unique(parts[at], return_index=True)[1]]]
+        return pa.table([pa.array([p for p, _ in links], pa.int64()), pa.array([q for _, q in links], pa.int64())], ["a", "b"])
+
+    return x.groupBy("family", "xb", "yb").cogroup(y.groupBy("of", "xb", "yb")).applyInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(sid, least): for each end of a link the least id that links reach. Labels pass along links and jump to their own label's label."""
     both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-links")
@@ -198,11 +250,28 @@ def _grouped(chunks: DataFrame, kind: str, bins: int, shingle: int, percent: int
     # members outside the largest group of their bucket meet all that are not of their own group
     labels = components(links)
     grouped = stored(members.join(labels, "sid", "left").select("key", "sid", "n", "u", F.coalesce("least", "sid").alias("part")), "near-parts")
-    parts = grouped.groupBy("key", "part").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "part"))["part"].alias("largest"), F.count("*").alias("k")).where("k > 1")
-    outside = grouped.join(parts, "key").where("part <> largest").select("key", F.col("sid").alias("s"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("part").alias("p"))
-    more = outside.join(grouped, "key").where((F.col("part") != F.col("p")) & _could(F.col("n"), F.col("u"), F.col("m"), F.col("v"), percent))
+    by_part = grouped.groupBy("key", "part").agg(F.count("*").alias("m"))
+    mixed = by_part.groupBy("key").agg(F.max(F.struct("m", "part")).alias("top"), F.sum("m").alias("m"), F.count("*").alias("k")).where("k > 1")
+    mixed = mixed.select("key", F.col("top.part").alias("largest"), (F.col("m") * (F.col("m") - F.col("top.m"))).alias("cost"))
+    grouped = stored(grouped.join(mixed, "key"), "near-mixed")
+
+    # families: groups that mixed buckets tie together; one is met in blocks of sets where that is less work than its buckets
+    stars = grouped.join(grouped.groupBy("key").agg(F.min("part").alias("b")), "key").where("part <> b").select(F.col("part").alias("a"), "b").distinct()
+    family = components(stars).select(F.col("sid").alias("part"), F.col("least").alias("family"))
+    grouped = stored(grouped.join(family, "part"), "near-families")
+    costs = grouped.groupBy("family", "key").agg(F.first("cost").alias("cost")).groupBy("family").agg(F.sum("cost").alias("cost"))
+    vertices = grouped.select("family", "sid", "part").distinct()
+    sizes = vertices.groupBy("family", "part").agg(F.count("*").alias("m")).groupBy("family").agg(F.max(F.struct("m", "part")).alias("top"), F.sum("m").alias("all"))
+    out = F.col("all") - F.col("top.m")
+    dense = sizes.join(costs, "family").where(F.col("all") * out <= F.col("cost")).select("family", F.col("top.part").alias("main"), "all", out.alias("out"))
+    dense = stored(dense, "near-dense")
+    met = _met_in_blocks(vertices.join(dense, "family"), sets, percent)
+
+    rest = grouped.join(dense.select("family"), "family", "left_anti")
+    outside = rest.where("part <> largest").select("key", F.col("sid").alias("s"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("part").alias("p"))
+    more = outside.join(rest, "key").where((F.col("part") != F.col("p")) & _could(F.col("n"), F.col("u"), F.col("m"), F.col("v"), percent))
     more = more.select(F.least("sid", "s").alias("a"), F.greatest("sid", "s").alias("b")).distinct()
-    more = stored(_confirmed(more, sets, percent), "near-links")
+    more = stored(_confirmed(more, sets, percent).unionByName(met), "near-links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     return sketched.select("chunk", "at", "doc_id", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(labels, "sid", "left").select("chunk", "at", "doc_id", "n", F.coalesce("least", "sid").alias("part"))
