@@ -20,13 +20,14 @@ Columns besides doc_id and text are not read.
 from __future__ import annotations
 
 import math
-import uuid
+import random
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,13 +39,20 @@ CHUNK = 1 << 22
 #: Words' characters are worked on in blocks of about so many cells.
 CELLS = 1 << 17
 _LOW = np.log(1e-300)
+#: Leading bits of a hash in the look-up table.
+_LEADING = 18
+_SHIFT = np.uint64(64 - _LEADING)
 
 
 @dataclass
 class Vocabulary:
-    """Pieces with log weights: hashes ascending, log probabilities alike; and those of the 256 bytes."""
+    """Pieces with log weights: hashes ascending, log probabilities alike; and those of the 256 bytes.
+
+    first: where the hashes with given leading bits begin, so that a look-up ends at once for most keys.
+    """
 
     hashes: np.ndarray
+    first: np.ndarray
     log_p: np.ndarray
     byte_log_p: np.ndarray
     longest: int
@@ -88,7 +96,8 @@ def vocabulary(pieces: list[str], p: np.ndarray, byte_at: np.ndarray) -> tuple[V
     hashes = _words.polynomial(_words.mix(_codes([pieces[i] for i in at])), ends - lengths, ends)
     order = np.argsort(hashes)
     with np.errstate(divide="ignore"):
-        return Vocabulary(hashes[order], np.log(p[at])[order], np.log(p[byte_at]), int(lengths.max())), at[order]
+        first = np.searchsorted(hashes[order] >> _SHIFT, np.arange((1 << _LEADING) + 1, dtype=np.uint64))
+        return Vocabulary(hashes[order], first, np.log(p[at])[order], np.log(p[byte_at]), int(lengths.max())), at[order]
 
 
 def _blocks(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -100,19 +109,32 @@ def _blocks(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield some, _codes([words[i] for i in some]).reshape(len(some), n)
 
 
+def _found(keys: np.ndarray, voc: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the keys are in the vocabulary, and their rows there."""
+    lead = (keys >> _SHIFT).astype(np.int64)
+    at, end = voc.first[lead], voc.first[lead + 1]
+    some = np.flatnonzero(at < end)
+    keys, at, end = keys[some], at[some], end[some]
+    hits, rows = [], []
+    while len(some):
+        same = voc.hashes[at] == keys
+        hits.append(some[same])
+        rows.append(at[same])
+        left = ~same & (at + 1 < end)
+        some, keys, at, end = some[left], keys[left], at[left] + 1, end[left]
+    return (np.concatenate(hits), np.concatenate(rows)) if hits else (some, at)
+
+
 def _edges(codes: np.ndarray, voc: Vocabulary) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For each end j, then start i: which rows have a piece at [i, j), and its row in the vocabulary (-1: none)."""
+    """For each end j, then start i: the words that have a piece at [i, j), and the piece's row in the vocabulary."""
     rows, n = codes.shape
     up, down = _words._power(_words._ODD, n, "up"), _words._power(_words._INVERSE, n + 1, "down")
-    total = np.zeros((rows, n + 1), np.uint64)
-    np.cumsum(_words.mix(codes) * up, axis=1, out=total[:, 1:])
-    last = len(voc.hashes) - 1
+    total = np.zeros((n + 1, rows), np.uint64)
+    np.cumsum((_words.mix(codes) * up).T, axis=0, out=total[1:])
     for j in range(1, n + 1):
         for i in range(max(0, j - voc.longest), j):
-            key = _words.mix((total[:, j] - total[:, i]) * down[i] + np.uint64(j - i))
-            at = np.minimum(np.searchsorted(voc.hashes, key), last)
-            hit = voc.hashes[at] == key
-            if hit.any():
+            hit, at = _found(_words.mix((total[j] - total[i]) * down[i] + np.uint64(j - i)), voc)
+            if len(hit):
                 yield i, j, hit, at
 
 
@@ -135,7 +157,7 @@ def forward(codes: np.ndarray, voc: Vocabulary) -> tuple[np.ndarray, list, np.nd
         a[:, j] = a[:, j - 1] + single[:, j - 1]
         while k < len(edges) and edges[k][1] == j:
             i, _, hit, at = edges[k]
-            a[hit, j] = np.logaddexp(a[hit, j], a[hit, i] + voc.log_p[at[hit]])
+            a[hit, j] = np.logaddexp(a[hit, j], a[hit, i] + voc.log_p[at])
             k += 1
     return a, edges, single
 
@@ -161,13 +183,36 @@ def expected(words: list[str], voc: Vocabulary) -> np.ndarray:
             b[:, j - 1] = np.logaddexp(b[:, j - 1], b[:, j] + single[:, j - 1])
             while k >= 0 and edges[k][1] == j:
                 i, _, hit, at = edges[k]
-                step = voc.log_p[at[hit]] + b[hit, j]
+                step = voc.log_p[at] + b[hit, j]
                 b[hit, i] = np.logaddexp(b[hit, i], step)
-                counts += np.bincount(at[hit], np.exp(np.maximum(a[hit, i] + step - a[hit, n], _LOW)), len(counts))
+                counts += np.bincount(at, np.exp(np.maximum(a[hit, i] + step - a[hit, n], _LOW)), len(counts))
                 k -= 1
     return counts
 
 
+def _packed(tokens: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, of two bytes each where they fit; the last byte says how wide."""
+    wide = 4 if len(tokens) and tokens.max() > 0xFFFF else 2
+    return zstandard.ZstdCompressor(level=3).compress(tokens.astype(f"<u{wide}").tobytes()) + bytes([wide])
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[:-1]), f"<u{packed[-1]}").astype(np.int64)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], least: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least so many rows, but for the last."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= least:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _chunks(documents: DataFrame, folds: int, fold: int) -> DataFrame:
     """One row per chunk of documents: doc_ids, held_out, n (words of each), tokens (numbers of words in `words`), words, and counts of the words in training rows."""
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -188,11 +233,11 @@ def _chunks(documents: DataFrame, folds: int, fold: int) -> DataFrame:
                 names = [lowered[a:b].decode() for a, b in zip(words.starts[first], words.ends[first], strict=True)]
                 one = lambda values, kind: pa.array([values], pa.list_(kind))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([uuid.uuid4().hex]), one(part.column("doc_id").to_pylist(), part.schema.field("doc_id").type), one(held, pa.bool_()), one(words.counts(), pa.int64()), one(tokens, pa.int32()), one(names, pa.string()), one(train, pa.int64())],
+                    [pa.array([random.getrandbits(63)]), one(part.column("doc_id").to_pylist(), part.schema.field("doc_id").type), one(held, pa.bool_()), one(words.counts(), pa.int64()), pa.array([_packed(tokens)]), one(names, pa.string()), one(train, pa.int64())],
                     ["chunk", "doc_ids", "held_out", "n", "tokens", "words", "train"],
                 )
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"chunk string, doc_ids array<{kind}>, held_out array<boolean>, n array<long>, tokens array<int>, words array<string>, train array<long>")
+    return documents.select("doc_id", "text").mapInArrow(run, f"chunk long, doc_ids array<{kind}>, held_out array<boolean>, n array<long>, tokens binary, words array<string>, train array<long>")
 
 
 def scored(documents: DataFrame, vocabulary_path: str, folds: int = 5, fold: int = 1, prior_count: float = 1000.0, rounds: int = 2) -> DataFrame:
@@ -220,7 +265,7 @@ def scored(documents: DataFrame, vocabulary_path: str, folds: int = 5, fold: int
 
         def weigh(batches: Iterator[pa.RecordBatch], model: Vocabulary = model, piece_at: np.ndarray = piece_at) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(model.hashes))
-            for batch in batches:
+            for batch in _gathered(batches):
                 total += expected(batch.column("word").to_pylist(), model)
             hit = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece_at[hit]), pa.array(total[hit])], ["piece", "count"])
@@ -235,7 +280,7 @@ def scored(documents: DataFrame, vocabulary_path: str, folds: int = 5, fold: int
     end_p, tokens_in, kinds = max(ends, 0.5) / events, n + ends, v + (1 if ends else 0)
 
     def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gathered(batches):
             c = batch.column("c").to_numpy()
             with np.errstate(divide="ignore"):
                 own = np.log(np.maximum(c - discount, 0) / events)
@@ -243,19 +288,20 @@ def scored(documents: DataFrame, vocabulary_path: str, folds: int = 5, fold: int
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(log_p)], ["word", "c", "log_p"])
 
     valued = stored(counted.select("word", "c").mapInArrow(value, "word string, c long, log_p double"), "lm-values")
-    wanted = chunks.select("chunk", F.posexplode("words").alias("at", "word"))
-    answers = wanted.join(valued, "word").select(F.col("chunk").alias("of"), "at", "c", "log_p")
+    # words are told apart by 64-bit hashes here, and their values travel as single precision
+    wanted = chunks.select("chunk", F.posexplode("words").alias("at", "word")).select("chunk", "at", F.xxhash64("word").alias("h"))
+    answers = wanted.join(valued.select(F.xxhash64("word").alias("h"), "c", F.col("log_p").cast("float").alias("log_p")), "h").select(F.col("chunk").alias("of"), "at", "c", "log_p")
     base = lambda c: np.log10((c + 0.5) / (tokens_in + 0.5 * (kinds + 1)))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         """One chunk and the values of its words."""
-        order = np.argsort(right.column("at").to_numpy())
-        c, log_p = right.column("c").to_numpy()[order], right.column("log_p").to_numpy()[order]
+        _, order = np.unique(right.column("at").to_numpy(), return_index=True)
+        c, log_p = right.column("c").to_numpy()[order], right.column("log_p").to_numpy()[order].astype(np.float64)
         row = left.slice(0, 1)
         flat = lambda name: row.column(name).combine_chunks().flatten()
-        length, tokens = flat("n").to_numpy(), flat("tokens").to_numpy()
+        length, tokens = flat("n").to_numpy(), _unpacked(row.column("tokens")[0].as_py())
         owner = np.repeat(np.arange(len(length)), length)
         total = lambda values: np.bincount(owner, values[tokens], len(length))
         known = total((c > 0).astype(float)).astype(np.int64) + (1 if ends else 0)
