@@ -40,8 +40,8 @@ _BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _VI
 class Encoder:
     """Token ids of texts, as bytes of little-endian unsigned 32-bit numbers.
 
-    The tokenizer never merges across the start of a space that begins a word, so texts are encoded word by word with a
-    bounded memory of words; texts with other runs of spaces are encoded whole.
+    The tokenizer never merges across the start of a space that begins a word, so the distinct words of a batch are looked up
+    in a bounded memory, or encoded, once; texts with other runs of spaces are encoded whole.
     """
 
     #: Words in each of the two generations of the memory.
@@ -62,48 +62,63 @@ class Encoder:
 
     def _after_space(self, word: str) -> bytes:
         """The ids of a word with a space before it: the vocabulary's merges on each part that the tokenizer's pattern splits off."""
-        out = []
-        for part in _SPLIT.findall(" " + word):
-            ids = self.parts.get(part)
-            if ids is None:
-                visible = part.replace(" ", _SPACE) if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(_BYTES)
-                ids = array("I", [token.id for token in self.tokenizer.model.tokenize(visible)]).tobytes()
-                if len(part) <= 64:
-                    self.parts[part] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        if word.isalpha():
+            return self._part(" " + word)
+        if word[:-1].isalpha():  # letters, then one other character
+            return self._part(" " + word[:-1]) + self._part(word[-1])
+        return b"".join(map(self._part, _SPLIT.findall(" " + word)))
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            visible = part.replace(" ", _SPACE) if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(_BYTES)
+            ids = array("I", [token.id for token in self.tokenizer.model.tokenize(visible)]).tobytes()
+            if len(part) <= 64:
+                self.parts[part] = ids
+        return ids
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words; those without a space before them begin a text (or are one) and are encoded whole."""
         if len(self.known) > self.most:
             self.known, self.older = {}, self.known
         if len(self.parts) > self.most:
             self.parts = {}
-        split, fresh = [], set()
-        for text in texts:
-            if _INSIDE.search(text):
-                split.append(None)
-                continue
-            words = text.split(" ")
-            parts = [b"", *map(self.known.get, words[1:])]
-            missing = [i for i, part in enumerate(parts) if part is None]
-            fresh.update([words[i] for i in missing])
-            split.append((words, parts, missing))
-        known = {w: self.older[w] for w in fresh if w in self.older}
-        known.update((w, self._after_space(w)) for w in fresh if w not in known)
-        whole = iter(self._encode([words[0][0] if words else text for text, words in zip(texts, split, strict=True)]))
+        known, older = self.known, self.older
+        whole = [w for w in words if w[:1] != " " or _INSIDE.search(w)]
+        own = dict(zip(whole, self._encode(whole), strict=True))
         out = []
-        for words in split:
-            first = next(whole)
-            if words:
-                names, parts, missing = words
-                for i in missing:
-                    parts[i] = known[names[i]]
-                parts[0] = first
-                first = b"".join(parts)
-            out.append(first)
-        self.known.update((w, ids) for w, ids in known.items() if len(w) <= 64)
+        for word in words:
+            ids = known.get(word)
+            if ids is None:
+                ids = own.get(word) or older.get(word) or (self._after_space(word[1:]) if word else b"")
+                if len(word) <= 64:
+                    known[word] = ids
+            out.append(ids)
         return out
 
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text of a column. Each distinct word of the column is looked up once."""
+        data, offsets = _words.texts(texts)
+        n = len(offsets) - 1
+        spaces = np.flatnonzero(data == 32)
+        odd = np.array([bool(_INSIDE.search(t)) for t in pc.fill_null(texts, "").to_pylist()], bool)
+        owner = np.searchsorted(offsets, spaces, "right") - 1
+        begins = np.zeros(len(data), bool)
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        begins[spaces[~odd[owner]]] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(data))
+        hashes, first, inverse = np.unique(_words.polynomial(_words._CODE[data], starts, ends), return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        found = self._ids([raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+        sizes = np.array([len(x) // 4 for x in found], np.int64)
+        every, begin = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        many = sizes[inverse]
+        upto = np.concatenate(([0], np.cumsum(many)))
+        ids = every[np.arange(upto[-1]) + np.repeat(begin[inverse] - upto[:-1], many)]
+        cuts = upto[np.searchsorted(starts, offsets)].tolist()
+        return [ids[cuts[i] : cuts[i + 1]].tobytes() for i in range(n)]
+
 
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
@@ -119,9 +134,9 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = 1024, end: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            for part in _words.slices(batch):
+            for part in _words.slices(batch, most=1 << 22):
                 rows, numbers, starts, lengths, crcs, kept = [], [], [], [], [], []
-                for row, ids in enumerate(enc.encode(pc.fill_null(part.column("text"), "").to_pylist())):
+                for row, ids in enumerate(enc.encode(part.column("text"))):
                     ids += tail
                     n = len(ids) // 4
                     view = memoryview(ids)
