@@ -64,7 +64,7 @@ def mix_plan(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share:
     # a running sum in two levels: over the buckets, then over the draws of the bucket in which `rest` is reached
     running = F.sum("size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     ends = _by_source(sums.withColumn("sum", running), plan.select("source", "rest"))
-    below = ends.where(F.col("sum") <= F.col("rest")).groupBy("source").agg(F.max(F.struct(F.concat("bucket", F.lit("g")).alias("last"), "sum")).alias("end"))
+    below = ends.where((F.col("rest") > 0) & (F.col("sum") <= F.col("rest"))).groupBy("source").agg(F.max(F.struct(F.concat("bucket", F.lit("g")).alias("last"), "sum")).alias("end"))
     edge = ends.where((F.col("sum") > F.col("rest")) & (F.col("sum") - F.col("size") < F.col("rest")))
     edge = edge.select("source", F.col("bucket").alias("edge"), (F.col("sum") - F.col("size")).alias("before"), "rest")
     within = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("draw").rowsBetween(Window.unboundedPreceding, 0))
