@@ -28,7 +28,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts less every passage of 50 words or more that stands elsewhere too; n_chars follows the text."""
-    cut = repeats.without_repeats(docs, window=50).select(*[f"`{c}`" for c in docs.columns])
+    cut = repeats.without_repeats(docs, window=50, results=False)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 

@@ -4,7 +4,7 @@ Every rule is evaluated once per document; the ledger stores the measurements an
 versioned masks over those bits, so that a new policy, or the effect of leaving a rule out, needs no text again.
 
 Nulls: a null text is measured like an empty one; other columns are not read. Empty texts fail the word count and nothing
-else. Repeated rows get a ledger row each. Empty table: empty ledger.
+else. Repeated rows get a ledger row each. Columns with the name of a measurement are replaced. Empty table: empty ledger.
 """
 
 from __future__ import annotations
@@ -71,7 +71,7 @@ def ledger(documents: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(t, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     by_words = _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
     by_lines = _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    measured = documents.withColumns(
+    measured = documents.drop("n_words", "n_repeat_words", "n_lines", "n_dup_lines", "failed").withColumns(
         {
             "_words": by_words,
             "_lines": by_lines,

@@ -106,9 +106,10 @@ def _load(left: pa.Table, window: int) -> tuple[str, _Passages]:
     return left.column("chunk")[0].as_py(), _Passages(texts, window)
 
 
-def without_repeats(documents: DataFrame, window: int = 50, words_only: bool = False) -> DataFrame:
+def without_repeats(documents: DataFrame, window: int = 50, words_only: bool = False, results: bool = True) -> DataFrame:
     """documents with `text` less every word covered by a repeated window, and n_words, n_removed and removed (the ranges of
-    bytes taken out of the UTF-8 text). words_only: the kept words joined by one space; else the text as it was between the cuts."""
+    bytes taken out of the UTF-8 text). words_only: the kept words joined by one space; else the text as it was between the cuts. Results
+    replace columns of the same name; without `results` only the columns of documents come back."""
     order = documents.columns
     chunks = stored(_chunks.chunked(documents), "repeat-chunks")
     bins = _chunks.bins_for(documents)
@@ -168,5 +169,6 @@ def without_repeats(documents: DataFrame, window: int = 50, words_only: bool = F
         return pa.table([rows, kept, pa.array(w.counts(), pa.int64()), pa.array(removed, pa.int64()), pa.array(ranges, spans_type)], ["row", "text", "n_words", "n_removed", "removed"])
 
     out = _chunks.per_chunk(chunks, repeated.unionByName(marks)).applyInArrow(cut, schema)
-    columns = [F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in order]
-    return out.select(*columns, "n_words", "n_removed", "removed")
+    found = ["n_words", "n_removed", "removed"] if results else []
+    columns = [F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in order if c not in found]
+    return out.select(*columns, *found)
