@@ -25,17 +25,34 @@ def kind(value: Column) -> Column:
     )
 
 
-def nodes(payloads: DataFrame, key: str, json: str, depth: int = 12) -> DataFrame:
-    """(key, path, kind, value, size) of every node of every tree; path is like a.b[0].c and the root's is empty.
+def depths(json: Column) -> Column:
+    """How many containers stand in one another at most in a JSON text; 0 of a scalar, null of null."""
+    plain = F.regexp_replace(F.regexp_replace(json, r"\\.", ""), '"[^"]*"', "")
+    brackets = F.split(F.regexp_replace(plain, r"[^\[\]{}]+", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
-    One level is opened in each round, so a round moves no rows between tasks; text that is not JSON has no nodes, and what
-    lies deeper than `depth` is a leaf with its JSON text as value.
+    def step(a: Column, c: Column) -> Column:
+        now = a["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+
+    return F.aggregate(brackets, start, step, lambda a: a["most"])
+
+
+def nodes(payloads: DataFrame, key: str, json: str, depth: int | None = None) -> DataFrame:
+    """(key, path, kind, value, opened) of every node of every tree; path is like a.b[0].c and the root's is empty.
+
+    One level is opened in each round, so a round moves no rows between tasks; text that is not JSON has no nodes. Without
+    `depth`, one pass over the payloads finds how deep they are and every level is opened; with it, containers at that depth
+    stay unopened, with their JSON text as value.
     """
     spark = payloads.sparkSession
     level = payloads.select(F.col(key), F.lit("").alias("path"), F.try_parse_json(F.col(json)).alias("v")).where("v is not null").withColumn("kind", kind(F.col("v")))
+    if depth is None:
+        depth = level.agg(F.max(depths(F.to_json("v")))).first()[0] or 0
+    container = F.col("kind").isin("list", "dict")
     out = None
     for d in range(depth + 1):
-        own = level.select(key, "path", "kind", F.to_json("v").alias("value"))
+        own = level.select(key, "path", "kind", F.to_json("v").alias("value"), (container if d < depth else F.lit(False)).alias("opened"))
         out = own if out is None else out.unionByName(own)
         if d == depth:
             break
@@ -47,12 +64,13 @@ def nodes(payloads: DataFrame, key: str, json: str, depth: int = 12) -> DataFram
     return out
 
 
-def leaves(payloads: DataFrame, key: str, json: str, depth: int = 6) -> DataFrame:
-    """(key, path, value) of every leaf; empty containers have none."""
-    return nodes(payloads, key, json, depth).where(~F.col("kind").isin("list", "dict")).select(key, "path", "value")
+def leaves(payloads: DataFrame, key: str, json: str, depth: int | None = None) -> DataFrame:
+    """(key, path, value) of every leaf, containers left unopened at `depth` among them; empty containers have none."""
+    empty = F.col("kind").isin("list", "dict") & F.col("value").isin("[]", "{}")
+    return nodes(payloads, key, json, depth).where(~F.col("opened") & ~empty).select(key, "path", "value")
 
 
-def leaf_diff(pairs: DataFrame, key: str, old: str, new: str, depth: int = 6) -> DataFrame:
+def leaf_diff(pairs: DataFrame, key: str, old: str, new: str, depth: int | None = None) -> DataFrame:
     """(key, path, change) for leaves added, removed or changed between two JSON texts of a row."""
     a = leaves(pairs, key, old, depth).withColumnRenamed("value", "before")
     b = leaves(pairs, key, new, depth).withColumnRenamed("value", "after")
@@ -61,17 +79,17 @@ def leaf_diff(pairs: DataFrame, key: str, old: str, new: str, depth: int = 6) ->
     return both.select(key, "path", change.alias("change"), "before", "after").where("change is not null")
 
 
-def compare(pairs: DataFrame, key: str, expected: str, actual: str, depth: int = 6) -> DataFrame:
-    """(key, path, issue): missing and unexpected nodes at their topmost path, differing types, values and list lengths."""
-    a = nodes(pairs, key, expected, depth).select(key, "path", F.col("kind").alias("k1"), F.col("value").alias("v1"))
-    b = nodes(pairs, key, actual, depth).select(key, "path", F.col("kind").alias("k2"), F.col("value").alias("v2"))
+def compare(pairs: DataFrame, key: str, expected: str, actual: str, depth: int | None = None) -> DataFrame:
+    """(key, path, issue): missing and unexpected nodes at their topmost path, differing types, values and list lengths; containers left unopened at `depth` compare like values."""
+    a = nodes(pairs, key, expected, depth).select(key, "path", F.col("kind").alias("k1"), F.col("value").alias("v1"), F.col("opened").alias("o1"))
+    b = nodes(pairs, key, actual, depth).select(key, "path", F.col("kind").alias("k2"), F.col("value").alias("v2"), F.col("opened").alias("o2"))
     both = a.join(b, [key, "path"], "full_outer")
     up = F.regexp_replace("path", r"(\.[^.\[\]]*|\[\d+\]|^[^.\[\]]+)$", "")
     both = both.withColumn("above", F.when(F.col("path") != "", up))
     there = both.select(F.col(key).alias("_k"), F.col("path").alias("_p"), F.col("k1").isNotNull().alias("in1"), F.col("k2").isNotNull().alias("in2"))
     both = both.join(there, F.col(key).eqNullSafe(F.col("_k")) & (F.col("above") == F.col("_p")), "left")
     top = F.col("above").isNull() | (F.col("in1") & F.col("in2"))
-    scalar = ~F.col("k1").isin("list", "dict")
+    scalar = ~F.col("o1") & ~F.col("o2")
     size = lambda v: F.size(F.from_json(v, "array<string>"))
     issue = (
         F.when(F.col("k2").isNull() & top, "MISSING_IN_ACTUAL")

@@ -310,7 +310,7 @@ def dedup_consolidate(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("""select event_id, k as path, json_extract(props, '$.' || k)::varchar as value from (select event_id, props, unnest(json_keys(props)) as k from events)""")
 def json_leaf_flatten(spark: SparkSession, d: str) -> DataFrame:
-    return trees.leaves(_t(spark, d, "events"), "event_id", "props", depth=2)
+    return trees.leaves(_t(spark, d, "events"), "event_id", "props")
 
 
 @_query(
@@ -320,7 +320,7 @@ def json_leaf_flatten(spark: SparkSession, d: str) -> DataFrame:
 def json_leaf_diff(spark: SparkSession, d: str) -> DataFrame:
     body = F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.struct(F.col("o_orderpriority").alias("priority")).alias("order")))
     pairs = _t(spark, d, "orders").withColumn("new", body).withColumn("old", F.lag("new").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).where("old is not null")
-    return trees.leaf_diff(pairs.select("o_orderkey", "old", "new"), "o_orderkey", "old", "new", depth=3).select("o_orderkey", "path", "change")
+    return trees.leaf_diff(pairs.select("o_orderkey", "old", "new"), "o_orderkey", "old", "new").select("o_orderkey", "path", "change")
 
 
 @_query()
@@ -329,7 +329,7 @@ def json_structural_compare(spark: SparkSession, d: str) -> DataFrame:
     body = F.to_json(F.struct("role", F.struct(F.length("text").alias("chars"), F.slice(F.split("text", " "), 1, 2).alias("words")).alias("said")))
     pairs = _t(spark, d, "conversations").withColumn("actual", body).withColumn("expected", F.lag("actual").over(w)).where("expected is not null")
     pairs = pairs.select(F.concat_ws("/", "conv_id", "turn").alias("pair_id"), "expected", "actual")
-    return trees.compare(pairs, "pair_id", "expected", "actual", depth=3)
+    return trees.compare(pairs, "pair_id", "expected", "actual")
 
 
 # ---- joins, evidence
