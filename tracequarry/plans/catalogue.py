@@ -326,7 +326,7 @@ def json_leaf_diff(spark: SparkSession, d: str) -> DataFrame:
 @_query()
 def json_structural_compare(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
-    body = F.to_json(F.struct("role", F.struct(F.length("text").alias("chars"), F.slice(F.split("text", " "), 1, 2).alias("words")).alias("said")))
+    body = F.to_json(F.struct("role", F.struct(F.length("text").alias("chars"), F.split("text", " ").alias("words")).alias("said")))
     pairs = _t(spark, d, "conversations").withColumn("actual", body).withColumn("expected", F.lag("actual").over(w)).where("expected is not null")
     pairs = pairs.select(F.concat_ws("/", "conv_id", "turn").alias("pair_id"), "expected", "actual")
     return trees.compare(pairs, "pair_id", "expected", "actual")
