@@ -46,18 +46,24 @@ def bm25(corpus: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75
     return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("part") * weight).alias("score")).where("score > 0")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, blocks: tuple[int, int] = (16, 4)) -> DataFrame:
-    """(query_id, doc_id, score, rank): the k most similar vectors of each query by cosine (9 digits), itself not counted.
+#: Vectors and queries that a task multiplies at a time.
+BLOCK = (4096, 1024)
+
+
+def similarities(vectors: DataFrame, queries: DataFrame, k: int | None = None, blocks: tuple[int, int] | None = None) -> DataFrame:
+    """(query_id, doc_id, score) of every query and vector by cosine (9 digits), itself not counted; with k, at least the k best of each query.
 
     vectors(doc_id, vector), queries(query_id, vector), a stated set of queries. Vectors and queries are dealt into so many
-    blocks each; a task multiplies one block of either and keeps k rows per query.
+    blocks each, by default so many that a block has about BLOCK rows; a task multiplies one block of either.
     """
+    if blocks is None:
+        blocks = tuple(max(1, -(-df.count() // size)) for df, size in zip((vectors, queries), BLOCK, strict=True))
     by = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     left = vectors.select("doc_id", "vector", by("doc_id", blocks[0]).alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(blocks[1] - 1))).alias("qb"))
     right = queries.select("query_id", F.col("vector").alias("asked"), by("query_id", blocks[1]).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks[0] - 1))).alias("vb"))
 
     def matrix(column: pa.ChunkedArray) -> np.ndarray:
-        m = np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
+        m = pc.list_flatten(column).to_numpy().astype(np.float64).reshape(len(column), -1)
         length = np.linalg.norm(m, axis=1, keepdims=True)
         return m / np.where(length > 0, length, 1)
 
@@ -67,12 +73,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, blocks: tuple[int, i
         ids, asked = a.column("doc_id").to_numpy(), b.column("query_id").to_numpy()
         score = np.round(matrix(b.column("asked")) @ matrix(a.column("vector")).T, 9)
         score[asked[:, None] == ids[None, :]] = -2
-        order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
-        out = pa.table([pa.array(np.repeat(asked, order.shape[1])), pa.array(ids[order].reshape(-1)), pa.array(np.take_along_axis(score, order, 1).reshape(-1))], ["query_id", "doc_id", "score"])
-        return out.filter(pc.greater(out.column("score"), -2))
-
-    each = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInArrow(best, "query_id long, doc_id long, score double")
-    return top(each, k)
+        keep = score > -2
+        if k is not None and k < len(ids):  # from the kth best score on, which may be more than k rows
+            keep &= score >= np.partition(score, len(ids) - k, axis=1)[:, [len(ids) - k]]
+        q, v = np.nonzero(keep)
+        if k is not None:  # of equal scores the least ids
+            order = np.lexsort((ids[v], -score[q, v], q))
+            q, v = q[order], v[order]
+            first = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
+            q, v = q[first], v[first]
+        return pa.table([pa.array(asked[q]), pa.array(ids[v]), pa.array(score[q, v])], ["query_id", "doc_id", "score"])
+
+    return left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInArrow(best, "query_id long, doc_id long, score double")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, blocks: tuple[int, int] | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k most similar vectors of each query by cosine (9 digits), itself not counted; frames as in similarities, of which a task keeps k rows per query."""
+    return top(similarities(vectors, queries, k, blocks), k)
 
 
 def reciprocal_rank_fusion(dense: DataFrame, lexical: DataFrame, k: int = 60, boosts: Column | None = None) -> DataFrame:
