@@ -108,6 +108,41 @@ def hybrid_linear_cutoff(spark: SparkSession, d: str) -> DataFrame:
     return fused.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
+_EVERY = """
+asked_v as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id in (select item_id from benchmark)),
+near as (select query_id, vec_id as doc_id, round(list_cosine_similarity(q, embedding::double[]), 9) as score from asked_v, embeddings where vec_id <> query_id)
+"""
+
+
+@_query(
+    _BM25 + "," + _EVERY + """, dense as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from near qualify rank <= 80),
+    lexical as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from bm25),
+    fused as (select query_id, doc_id, round(coalesce(1.0 / (60 + d.rank), 0) + coalesce(1.0 / (60 + l.rank), 0), 9) as score from dense d full join lexical l using (query_id, doc_id))
+    select query_id, doc_id, rank, round(score, 6) as score from (select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from fused) where rank <= 10"""
+)
+def hybrid_rrf_whole(spark: SparkSession, d: str) -> DataFrame:
+    """hybrid_rrf with the reference's 8 k dense candidates and the lexical rank of every document with a score above 0."""
+    every = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    fused = retrieval.reciprocal_rank_fusion(_dense(spark, d, 80), _bm25(spark, d).withColumn("rank", F.row_number().over(every)))
+    return retrieval.top(fused.withColumn("score", F.round("score", 9)), 10).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+@_query(
+    _BM25 + "," + _EVERY + """, both_s as (select query_id, doc_id, coalesce(b.score, 0) as bm25, greatest(coalesce(d.score, 0), 0) as vector from bm25 b full join near d using (query_id, doc_id)),
+    lin as (select query_id, doc_id, round(0.6 * coalesce(bm25 / nullif(max(bm25) over (partition by query_id), 0), 0) + 0.4 * coalesce(vector / nullif(max(vector) over (partition by query_id), 0), 0), 9) as score from both_s),
+    cut as (select * from (select *, max(score) over (partition by query_id) as best from lin) where score >= greatest(0.30, 0.58 * best))
+    select query_id, doc_id, rank, round(score, 6) as score from (select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from cut) where rank <= 10"""
+)
+def hybrid_linear_whole(spark: SparkSession, d: str) -> DataFrame:
+    """hybrid_linear_cutoff with the vector score of every document."""
+    vectors = _t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    asked = vectors.join(_t(spark, d, "benchmark").select(F.col("item_id").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id")
+    near = retrieval.similarities(vectors, asked).select("query_id", "doc_id", F.greatest("score", F.lit(0.0)).alias("vector"))
+    lexical = _bm25(spark, d).withColumnRenamed("score", "bm25")
+    fused = retrieval.linear_fusion(lexical.join(near, ["query_id", "doc_id"], "full_outer"), {"bm25": 0.6, "vector": 0.4}, digits=9)
+    return fused.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
 @_query(
     """with near as (select q.vec_id as query_id, q.label as ql, e.label as el, e.vec_id as doc_id, round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 9) as score
     from embeddings q, embeddings e where q.vec_id % 20 = 0 and q.vec_id <> e.vec_id),
