@@ -38,6 +38,13 @@ def depths(json: Column) -> Column:
     return F.aggregate(brackets, start, step, lambda a: a["most"])
 
 
+def _opened(level: DataFrame, keep: list[str]) -> DataFrame:
+    """Rows of a level (keep, path, kind, v) replaced by the children of their containers."""
+    each = level.where(F.col("kind").isin("list", "dict")).alias("s").lateralJoin(level.sparkSession.tvf.variant_explode(F.col("s.v").outer()).alias("e"))
+    step = F.when(F.col("s.kind") == "list", F.concat("s.path", F.lit("["), F.col("e.pos").cast("string"), F.lit("]"))).when(F.col("s.path") == "", F.col("e.key")).otherwise(F.concat("s.path", F.lit("."), F.col("e.key")))
+    return each.select(*[F.col(f"s.`{c}`") for c in keep], step.alias("path"), F.col("e.value").alias("v")).withColumn("kind", kind(F.col("v")))
+
+
 def nodes(payloads: DataFrame, key: str, json: str, depth: int | None = None) -> DataFrame:
     """(key, path, kind, value, opened) of every node of every tree; path is like a.b[0].c and the root's is empty.
 
@@ -45,38 +52,54 @@ def nodes(payloads: DataFrame, key: str, json: str, depth: int | None = None) ->
     `depth`, one pass over the payloads finds how deep they are and every level is opened; with it, containers at that depth
     stay unopened, with their JSON text as value.
     """
-    spark = payloads.sparkSession
     level = payloads.select(F.col(key), F.lit("").alias("path"), F.try_parse_json(F.col(json)).alias("v")).where("v is not null").withColumn("kind", kind(F.col("v")))
     if depth is None:
-        depth = level.agg(F.max(depths(F.to_json("v")))).first()[0] or 0
+        depth = payloads.agg(F.max(depths(F.col(json)))).first()[0] or 0
     container = F.col("kind").isin("list", "dict")
     out = None
     for d in range(depth + 1):
         own = level.select(key, "path", "kind", F.to_json("v").alias("value"), (container if d < depth else F.lit(False)).alias("opened"))
         out = own if out is None else out.unionByName(own)
-        if d == depth:
-            break
-        name = f"_nodes_{d}"
-        level.createOrReplaceTempView(name)
-        opened = spark.sql(f"select s.`{key}`, s.path as _path, s.kind as _kind, e.pos, e.key as _name, e.value as v from {name} s, lateral variant_explode(s.v) e where s.kind in ('list', 'dict')")
-        step = F.when(F.col("_kind") == "list", F.concat("_path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("_path") == "", F.col("_name")).otherwise(F.concat("_path", F.lit("."), F.col("_name")))
-        level = opened.select(key, step.alias("path"), "v").withColumn("kind", kind(F.col("v")))
+        if d < depth:
+            level = _opened(level, [key])
     return out
 
 
 def leaves(payloads: DataFrame, key: str, json: str, depth: int | None = None) -> DataFrame:
-    """(key, path, value) of every leaf, containers left unopened at `depth` among them; empty containers have none."""
-    empty = F.col("kind").isin("list", "dict") & F.col("value").isin("[]", "{}")
-    return nodes(payloads, key, json, depth).where(~F.col("opened") & ~empty).select(key, "path", "value")
+    """(key, path, value) of every leaf, containers left unopened at `depth` among them; empty containers have none.
+
+    A leaf of depth d passes d explodes in one pass: a row that needs no further opening goes through as it is, so the JSON is
+    parsed once however deep it is.
+    """
+    if depth is None:
+        depth = payloads.agg(F.max(depths(F.col(json)))).first()[0] or 0
+    level = payloads.select(F.col(key).alias("k"), F.lit("").alias("path"), F.try_parse_json(F.col(json)).alias("v")).where("v is not null")
+    for _ in range(depth):
+        shape = F.schema_of_variant("s.v")
+        is_list, is_dict = shape.startswith("ARRAY"), shape.startswith("OBJECT")
+        tvf = level.sparkSession.tvf.variant_explode_outer(F.when(is_list | is_dict, F.col("s.v")).outer())
+        each = level.alias("s").lateralJoin(tvf.alias("e"))
+        step = F.when(F.col("e.pos").isNull(), F.col("s.path")).when(F.col("e.key").isNull(), F.concat("s.path", F.lit("["), F.col("e.pos").cast("string"), F.lit("]")))
+        step = step.when(F.col("s.path") == "", F.col("e.key")).otherwise(F.concat("s.path", F.lit("."), F.col("e.key")))
+        level = each.select("s.k", step.alias("path"), F.when(F.col("e.pos").isNull(), F.col("s.v")).otherwise(F.col("e.value")).alias("v"))
+    value = F.to_json("v")
+    return level.select(F.col("k").alias(key), "path", value.alias("value")).where(~value.isin("[]", "{}"))
 
 
 def leaf_diff(pairs: DataFrame, key: str, old: str, new: str, depth: int | None = None) -> DataFrame:
-    """(key, path, change) for leaves added, removed or changed between two JSON texts of a row."""
-    a = leaves(pairs, key, old, depth).withColumnRenamed("value", "before")
-    b = leaves(pairs, key, new, depth).withColumnRenamed("value", "after")
-    both = a.withColumn("_a", F.lit(True)).join(b.withColumn("_b", F.lit(True)), [key, "path"], "full_outer")
-    change = F.when(F.col("_a").isNull(), "ADDED").when(F.col("_b").isNull(), "REMOVED").when(~F.col("before").eqNullSafe(F.col("after")), "CHANGED")
-    return both.select(key, "path", change.alias("change"), "before", "after").where("change is not null")
+    """(key, path, change, before, after) for leaves added, removed or changed between two JSON texts of a row.
+
+    Both texts of a row are opened side by side and compared after one exchange on (key, path)."""
+    if depth is None:
+        deepest = pairs.agg(F.greatest(F.max(depths(F.col(old))), F.max(depths(F.col(new))))).first()[0]
+        depth = deepest or 0
+    side = lambda c, name: pairs.select(F.col(key), F.lit(name).alias("side"), F.col(c).alias("json"))
+    both = side(old, "a").unionByName(side(new, "b")).where("json is not null").select(F.struct(key, "side").alias("of"), "json")
+    each = leaves(both, "of", "json", depth)
+    pick = lambda name: F.max(F.when(F.col("of.side") == name, F.struct("value")))
+    met = each.groupBy(F.col(f"of.{key}").alias(key), "path").agg(pick("a").alias("a"), pick("b").alias("b"))
+    change = F.when(F.col("a").isNull(), "ADDED").when(F.col("b").isNull(), "REMOVED").when(~F.col("a.value").eqNullSafe(F.col("b.value")), "CHANGED")
+    return met.select(key, "path", change.alias("change"), F.col("a.value").alias("before"), F.col("b.value").alias("after")).where("change is not null")
 
 
 def compare(pairs: DataFrame, key: str, expected: str, actual: str, depth: int | None = None) -> DataFrame:

@@ -43,15 +43,18 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], ts: str = "ts", other_ts: str = "other_ts") -> DataFrame:
-    """left with the columns of the last right row of its keys before or at its time: one sort of both, no join of pairs."""
+    """left with the columns of the last right row of its keys before or at its time; of right rows with one time the greatest counts.
+
+    One sort of both sides, no join of pairs. Left columns keep their names whatever they are; right columns of a name that left has are
+    an error, as in a join. The last right row is found in the sort of its keys, so one key's rows are ordered by one task.
+    """
     added = [c for c in right.columns if c not in keys]
-    a = left.select("*", F.col(ts).alias("_t"), F.lit(1).alias("_side"), *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in added])
-    b = right.select(*keys, *added, F.col(other_ts).alias("_t"), F.lit(0).alias("_side"))
+    a = left.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)], F.col(ts).alias("t"), F.lit(1).alias("side"), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("row"))
+    b = right.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)], F.col(other_ts).alias("t"), F.lit(0).alias("side"), F.struct(*[F.col(f"`{c}`") for c in added]).alias("seen"))
     both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_t", "_side", other_ts).rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.last(F.when(F.col("_side") == 0, F.struct(*added)), ignorenulls=True).over(w)
-    out = both.withColumn("_last", seen).where("_side = 1")
-    return out.select(*left.columns, *[F.col(f"_last.{c}").alias(c) for c in added])
+    w = Window.partitionBy(*[f"k{i}" for i in range(len(keys))]).orderBy("t", "side", "seen").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("last", F.last("seen", ignorenulls=True).over(w)).where("side = 1")
+    return out.select("row.*", *[F.col(f"last.`{c}`").alias(c) for c in added])
 
 
 def coverage(explicit: list[tuple[str, DataFrame]], tickets: DataFrame) -> DataFrame:
@@ -62,7 +65,7 @@ def coverage(explicit: list[tuple[str, DataFrame]], tickets: DataFrame) -> DataF
     for rank, (kind, links) in enumerate(explicit):
         one = links.select("item", F.explode("ticket_list").alias("ticket")).select("item", "ticket", F.lit(kind).alias("kind"), F.lit(rank).alias("rank"))
         every = one if every is None else every.unionByName(one)
-    found = every.groupBy("ticket").agg(F.min_by("kind", "rank").alias("covered_by"), F.countDistinct("item").alias("n_items"))
+    found = every.groupBy("ticket").agg(F.min(F.struct("rank", "kind"))["kind"].alias("covered_by"), F.countDistinct("item").alias("n_items"))
     out = tickets.select("ticket").distinct().join(found, "ticket", "left")
     return out.select("ticket", "covered_by", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.when(F.col("covered_by").isNull(), "GAP").otherwise("VERIFIED").alias("classification"))
 
@@ -121,14 +124,27 @@ def threshold_mismatches(stated: DataFrame, applied: DataFrame) -> DataFrame:
     return s.join(c, "lhs").where("stated_op <> code_op or stated_threshold <> code_threshold").distinct()
 
 
-def percentiles(samples: DataFrame, group: str, value: str) -> DataFrame:
-    """Rows, median, and the value at position floor(0.95 (n - 1)) of each group; ranks by counts of equal values, so a hot group is counted before it is ordered."""
-    counted = samples.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_c"))
-    upto = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy(group)
-    placed = counted.withColumn("_upto", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(total))
-    at = lambda position: F.min(F.when(F.col("_upto") > position, F.col(value)))
-    n = F.col("_n")
-    return placed.groupBy(group).agg(
-        F.max("_n").alias("n"), ((at(F.floor((n - 1) / 2)) + at(F.ceil((n - 1) / 2))) / 2).alias("p50"), at(F.floor(0.95 * (n - 1))).alias("p95"),
-    )
+def percentiles(samples: DataFrame, group: str, value: str, steps: int = 40) -> DataFrame:
+    """Rows, median, and the value at position floor(0.95 (n - 1)) of each group.
+
+    Rows are counted by range of values first, `steps` ranges for each power of ten; only the ranges that hold a wanted position
+    are ordered, so a hot group is spread over its ranges.
+    """
+    v = F.col(value).cast("double")
+    mag = F.floor(F.log10(F.abs(v)) * steps) + 1_000_000  # above 0 for every number there is
+    rng = F.when(v == 0, 0).when(v < 0, -mag).otherwise(mag).cast("long")
+    own = samples.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), v.alias("v"), rng.alias("r"))
+    counted = own.groupBy("g", "r").agg(F.count("*").alias("c"))
+    upto = Window.partitionBy("g").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.withColumn("before", F.sum("c").over(upto) - F.col("c")).withColumn("n", F.sum("c").over(Window.partitionBy("g")))
+    n = F.col("n")
+    wanted = placed.select("g", "r", "before", "c", "n", F.explode(F.array(F.floor((n - 1) / 2), F.ceil((n - 1) / 2), F.floor(0.95 * (n - 1)))).alias("at"))
+    wanted = wanted.where("at >= before and at < before + c").select("g", "r", "before", "n", "at").distinct()
+    ranges = wanted.select(F.col("g").alias("wg"), F.col("r").alias("wr")).distinct()
+    inside = own.join(ranges, F.col("g").eqNullSafe(F.col("wg")) & (F.col("r") == F.col("wr")), "left_semi").groupBy("g", "r", "v").agg(F.count("*").alias("m"))
+    within = Window.partitionBy("g", "r").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = inside.withColumn("upto", F.sum("m").over(within)).select(F.col("g").alias("ig"), F.col("r").alias("ir"), "v", "upto")
+    found = wanted.join(ranked, F.col("g").eqNullSafe(F.col("ig")) & (F.col("r") == F.col("ir"))).where(F.col("before") + F.col("upto") > F.col("at"))
+    found = found.groupBy("g", "n", "at").agg(F.min("v").alias("v"))
+    at = lambda position: F.min(F.when(F.col("at") == position, F.col("v")))
+    return found.groupBy(F.col("g").alias(group), "n").agg(((at(F.floor((n - 1) / 2)) + at(F.ceil((n - 1) / 2))) / 2).alias("p50"), at(F.floor(0.95 * (n - 1))).alias("p95"))

@@ -1,39 +1,32 @@
 """Property graphs as two frames, nodes(id, label, name, project) and edges(source, target, type), and bounded traversal.
 
-Frontiers are joined to the edges one hop at a time, for all seeds at once; each hop is cut off by checkpoint() into the
-shared folder of spark.checkpoint.dir, so a lost executor costs one hop at most.
+Frontiers are joined to the edges one hop at a time, for all seeds at once; each hop is a table in the shared folder of
+spark.checkpoint.dir, so a lost executor costs one hop at most. What reach returns has seeds x reached nodes rows by nature.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint()
+from tracequarry.store import hot_keys, met, scratch, stored
 
 
 def reach(edges: DataFrame, seeds: DataFrame, hops: int, reverse: bool = False, undirected: bool = False) -> DataFrame:
     """(seed, node, depth): every node within so many hops of each seed, once, at its least depth. seeds(seed)."""
+    spark = edges.sparkSession
     forward = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
     backward = edges.select(F.col("target").alias("a"), F.col("source").alias("b"))
-    steps = (forward.unionByName(backward) if undirected else backward if reverse else forward).where("a is not null and b is not null").distinct()
-    seen = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct()
-    frontier = seen
-    for depth in range(1, hops + 1):
-        ahead = frontier.join(steps, frontier["node"] == steps["a"]).select("seed", F.col("b").alias("node")).distinct()
-        frontier = _cut(ahead.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
+    steps = (forward.unionByName(backward) if undirected else backward if reverse else forward).where("a is not null and b is not null")
+    seen = frontier = stored(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).where("seed is not null").distinct(), "hops")
+    with scratch(spark):
+        steps = stored(steps.distinct().repartition("a"), "steps")  # read once for every hop
+        for depth in range(1, hops + 1):
+            ahead = frontier.join(steps, frontier["node"] == steps["a"]).select("seed", F.col("b").alias("node")).distinct()
+            frontier = stored(ahead.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)), "hops", keep=True)
+            if frontier.isEmpty():
+                break
+            seen = seen.unionByName(frontier)
     return seen
 
 
@@ -48,17 +41,24 @@ def impact(edges: DataFrame, seeds: DataFrame, up_types: list[str], down_types:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the least node that links of either direction reach. Labels pass along edges and jump to their label's label."""
-    both = _cut(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(edges.select(F.col("target").alias("a"), F.col("source").alias("b"))).distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component"))
-    while True:
-        heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
-        passed = labels.join(heard, "node").select("node", F.col("component").alias("was"), F.least("component", "heard").alias("component"))
-        ahead = labels.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        now = _cut(passed.join(ahead, "component").select("node", "was", F.least("component", "next").alias("component")))
-        if now.where("was <> component").isEmpty():
-            return now.select("node", "component")
-        labels = now.select("node", "component")
+    """(node, component): the least node that links of either direction reach. Labels pass along edges and jump to their label's label.
+
+    A node with many links, or a label of many nodes, is met by broadcasting its one row; see store.met. Links without an end count for nothing.
+    """
+    with scratch(edges.sparkSession):
+        ends = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a is not null and b is not null")
+        both = stored(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+        hubs = hot_keys(both, "b")
+        labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
+        while True:
+            heard = met(both, labels.select(F.col("node").alias("b"), "component"), "b", hubs).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
+            passed = stored(labels.join(heard, "node").select("node", F.col("component").alias("was"), F.least("component", "heard").alias("component")), "labels")
+            ahead = labels.select(F.col("node").alias("component"), F.col("component").alias("next"))
+            now = met(passed, ahead, "component", hot_keys(passed, "component"))
+            now = stored(now.select("node", "was", F.least("component", "next").alias("component")), "labels", keep=True)
+            if now.where("was <> component").isEmpty():
+                return now.select("node", "component")
+            labels = now.select("node", "component")
 
 
 def merge_nodes(graphs: list[DataFrame]) -> DataFrame:

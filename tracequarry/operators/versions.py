@@ -17,11 +17,11 @@ def latest(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
 
 
 def compare_versions(old: DataFrame, new: DataFrame, keys: list[str], fields: list[str], last: str) -> DataFrame:
-    """keys, change (ADDED, REMOVED, CHANGED, UNCHANGED) and changed fields; of rows with one key the last by `last` counts."""
+    """keys, change (ADDED, REMOVED, CHANGED, UNCHANGED) and changed fields; of rows with one key the last by `last` counts, of those
+    with equal `last` the one with the greatest fields, so that reruns agree."""
 
     def one(df: DataFrame, side: str) -> DataFrame:
-        picked = df.groupBy(*keys).agg(F.max_by(F.struct(*fields), F.col(last)).alias(side))
-        return picked
+        return df.groupBy(*keys).agg(F.max(F.struct(F.col(last).alias("last"), F.struct(*fields).alias("fields")))["fields"].alias(side))
 
     both = one(old, "old").join(one(new, "new"), keys, "full_outer")
     changed = F.array_compact(F.array(*[F.when(differs(F.col(f"old.{f}").cast("string"), F.col(f"new.{f}").cast("string")), f) for f in fields]))
@@ -62,7 +62,7 @@ def consolidate(rows: DataFrame, key: Column, order: Column, definition: list[st
     """One row per key: its first definition, its distinct sources in order, its rows, and whether definitions conflict."""
     body = F.struct(*definition)
     return rows.groupBy(key.alias("case_key")).agg(
-        F.min_by(body, order).alias("definition"), F.sort_array(F.collect_set(source)).alias("sources"),
+        F.min(F.struct(order.alias("order"), body.alias("body")))["body"].alias("definition"), F.sort_array(F.collect_set(source)).alias("sources"),
         F.count("*").alias("n_rows"), (F.countDistinct(body) > 1).alias("conflict"),
     )
 
@@ -127,4 +127,4 @@ def rows_of_grid(grid: DataFrame, aliases: DataFrame, required: list[str]) -> Da
     names = placed.where("row = head").withColumn("alias", key).join(aliases, "alias").select("doc", "sheet", "col", "canonical")
     names = latest(names, ["doc", "sheet", "canonical"], F.asc("col"))
     cells = placed.where("row > head").join(names, ["doc", "sheet", "col"])
-    return cells.groupBy("doc", "sheet", "row").pivot("canonical").agg(F.first("value"))
+    return cells.groupBy("doc", "sheet", "row").pivot("canonical").agg(F.min("value"))

@@ -260,8 +260,8 @@ _LINES = "select l_partkey, l_suppkey, l_returnflag, l_linestatus, cast(l_discou
 
 @_query(
     f"""with l as ({_LINES}),
-    o as (select l_partkey, l_suppkey, arg_max([l_returnflag, l_linestatus], seq) as v from l where side = 1 group by all),
-    n as (select l_partkey, l_suppkey, arg_max([l_returnflag, l_linestatus], seq) as v from l where side = 0 group by all)
+    o as (select l_partkey, l_suppkey, [m[2], m[3]] as v from (select l_partkey, l_suppkey, max((seq, l_returnflag, l_linestatus)) as m from l where side = 1 group by all)),
+    n as (select l_partkey, l_suppkey, [m[2], m[3]] as v from (select l_partkey, l_suppkey, max((seq, l_returnflag, l_linestatus)) as m from l where side = 0 group by all))
     select l_partkey, l_suppkey, case when o.v is null then 'ADDED' when n.v is null then 'REMOVED' when o.v <> n.v then 'CHANGED' else 'UNCHANGED' end as change,
       case when o.v is null or n.v is null then 0 else (o.v[1] <> n.v[1])::int + (o.v[2] <> n.v[2])::int end as n_changed
     from o full join n using (l_partkey, l_suppkey)"""

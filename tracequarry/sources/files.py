@@ -73,11 +73,10 @@ def junit(spark: SparkSession, path: str) -> DataFrame:
 
 def openapi_operations(specs: DataFrame) -> DataFrame:
     """(spec, path, method, refs) of OpenAPI JSON texts (spec, text)."""
-    v = specs.select("spec", F.try_parse_json("text").alias("v")).where("v is not null")
-    v.createOrReplaceTempView("_openapi")
-    rows = specs.sparkSession.sql(
-        "select o.spec, p.key as path, m.key as method, to_json(m.value) as body from _openapi o, lateral variant_explode(variant_get(o.v, '$.paths', 'variant')) p, lateral variant_explode(p.value) m where m.key in ('get', 'post', 'put', 'patch', 'delete')"
-    )
+    v = specs.select("spec", F.try_variant_get(F.try_parse_json("text"), "$.paths", "variant").alias("paths")).where("paths is not null").alias("o")
+    tvf = specs.sparkSession.tvf
+    each = v.lateralJoin(tvf.variant_explode(F.col("o.paths").outer()).alias("p")).lateralJoin(tvf.variant_explode(F.col("p.value").outer()).alias("m"))
+    rows = each.where(F.col("m.key").isin("get", "post", "put", "patch", "delete")).select("o.spec", F.col("p.key").alias("path"), F.col("m.key").alias("method"), F.to_json("m.value").alias("body"))
     return rows.select("spec", "path", "method", F.array_sort(F.array_distinct(F.regexp_extract_all("body", F.lit(r'"\$ref":"#/components/schemas/(\w+)"'), F.lit(1)))).alias("refs"))
 
 

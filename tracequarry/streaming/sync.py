@@ -10,9 +10,9 @@ def actions(incoming: DataFrame, checkpoint: DataFrame, complete: bool = True, o
     """external_id, content_hash and action of a scan against a checkpoint (external_id, content_hash, status, source_id).
 
     CREATED, UPDATED, REACTIVATED, SKIPPED; DEACTIVATED for what is missing, only after a complete scan and only of the scan's
-    own owner, else KEPT. Of rows with one id the last by version_token counts.
+    own owner, else KEPT. Of rows with one id the last by version_token counts, of equal ones the greatest hash.
     """
-    now = incoming.groupBy("external_id").agg(F.max_by("content_hash", "version_token").alias("new_hash"))
+    now = incoming.groupBy("external_id").agg(F.max(F.struct("version_token", "content_hash"))["content_hash"].alias("new_hash"))
     was = checkpoint.select("external_id", F.col("content_hash").alias("old_hash"), F.col("status").alias("old_status"), "source_id")
     both = now.join(was, "external_id", "full_outer")
     mine = F.lit(True) if owner is None else F.col("source_id") == owner
