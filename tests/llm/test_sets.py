@@ -12,6 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tracequarry.llm import attention, fingerprints, lattice, neardup, packing, repeats
 
@@ -106,6 +107,21 @@ def test_repeats_keep_other_text_as_it_was(documents, rows):
             assert raw.decode() == r["text"]
 
 
+def test_the_automaton_decides_where_passages_are(documents, rows, monkeypatch):
+    """Every occurrence of a confirmed phrase is found by the automaton, at whole words of one text; without it nothing is found."""
+    texts = pa.array([r[1] for r in rows])
+    passages = repeats.Passages(texts, 35)
+    picked, _ = passages.picked()
+    words = [WORD.findall(r[1] or "") for r in rows]
+    every = [w for ws in words for w in ws]
+    edges = set(np.cumsum([0] + [len(w) for w in words]).tolist())
+    code = {w: passages.letters[i].tobytes() for i, w in enumerate(every)}
+    wanted = set(picked[::3])
+    brute = [i for i in range(len(every) - 7) if b"".join(code[w] for w in every[i : i + 8]) in wanted and not edges & set(range(i + 1, i + 8))]
+    assert sorted(passages.located(repeats.automaton_of(sorted(wanted))).tolist()) == brute and brute
+    assert not len(passages.located(repeats.automaton_of([])))
+
+
 def test_repeats_empty(empty):
     assert repeats.without_repeats(empty).count() == 0
 
@@ -137,6 +153,16 @@ def test_equal_texts_have_equal_fingerprints_and_merge(documents, spark):
     assert abs(fingerprints.likeness(a, b) - 0.1) < 0.05
 
 
+@pytest.mark.parametrize("kind", ["string", "decimal(10,0)"])
+def test_fingerprints_of_other_ids(documents, spark, kind):
+    texts = documents.select("doc_id", "text").where("doc_id < 40")
+    named = texts.withColumn("doc_id", F.lpad(F.col("doc_id").cast("string"), 5, "0") if kind == "string" else F.col("doc_id").cast(kind))
+    plain = lambda df: sorted((int(r["doc_id"]), *list(r)[1:]) for r in df.collect())
+    assert plain(fingerprints.edited_fingerprints(named)) == plain(fingerprints.edited_fingerprints(texts))
+    least = spark.createDataFrame([(-(2**63), "a b"), (2**63 - 1, "c d"), (None, "e f")], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_chars"] for r in fingerprints.edited_fingerprints(least).collect()} == {-(2**63): 3, 2**63 - 1: 3, None: 3}
+
+
 def test_fingerprints_empty_and_alone(empty, spark):
     assert fingerprints.edited_fingerprints(empty).count() == 0
     (row,) = fingerprints.edited_fingerprints(spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")).collect()
@@ -147,7 +173,7 @@ def test_packing(documents, rows):
     path = public_tokenizers.path("byte_bpe_50k.json")
     out = packing.pack(documents, path, capacity=64, end=2, keep_ids=True)
     got = out.collect()
-    tokenizer = packing.encoder(path).tokenizer
+    tokenizer = Tokenizer.from_file(path)
     want = collections.Counter()
     for r in rows:
         ids = tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [2]
@@ -171,9 +197,17 @@ def test_packing(documents, rows):
 def test_encoder_agrees_with_the_tokenizer_on_odd_spaces():
     enc = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
     rng = random.Random(1)
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = ["".join(rng.choice(["a", "b", " ", "\n", "\t", "ß", "1", "'s", "-", " ", "　", "<|endoftext|>"]) for _ in range(rng.randint(0, 30))) for _ in range(800)]
     for _ in range(2):
-        assert enc.encode(pa.array(texts)) == [np.array(e.ids, "<u4").tobytes() for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert enc.encode(pa.array(texts)) == [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_encoder_of_another_pre_tokenizer_encodes_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["One  two\nThree's", "", "x<|endoftext|> y", "ß ü é"]
+    assert not packing.encoder(path).by_words
+    assert packing.encoder(path).encode(pa.array(texts)) == [np.array(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
 def test_plan_is_near_the_bound():
@@ -204,21 +238,91 @@ def test_lattice_sums_all_segmentations():
         return 1.0 if not word else sum(q * brute(word[len(x) :]) for x, q in zip(pieces, p) if word.startswith(x))
 
     words = ["a", "b", "abab", "baab", "ababba"]
-    for w, got in zip(words, lattice.log_marginals(words, voc)):
-        assert abs(got - math.log(brute("▁" + w))) < 1e-6
-    counts = lattice.expected(words, voc)
+    half = (voc.log_p - math.log(2), voc.byte_log_p)
+    for w, got, other in zip(words, *lattice.log_marginals(words, voc, half)):
+        assert abs(got - math.log(brute("▁" + w))) < 1e-6 and other < got
+    counts = lattice.expected(words, np.ones(len(words)), voc)
+    assert np.allclose(lattice.expected(words * 2, np.full(10, 0.5), voc), counts)
     assert abs(sum(len(pieces[i]) * c for i, c in zip(lattice.vocabulary(pieces + ["?"], np.append(p, 1e-12), np.full(256, 7))[1], counts) if i < len(pieces)) - sum(len(w) + 1 for w in words)) < 1e-4
 
 
+def test_long_words_agree_with_short_ones(monkeypatch):
+    """Words over LONG characters are worked on one by one; the sums are the same."""
+    pieces = ["▁", "▁a", "a", "b", "ab", "ba", "▁ab", "?"]
+    voc, _ = lattice.vocabulary(pieces, np.array([0.1, 0.2, 0.1, 0.1, 0.2, 0.1, 0.2, 1e-9]), np.full(256, 7))
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abc") for _ in range(40)) for _ in range(6)]
+    want, counts = lattice.log_marginals(words, voc)[0], lattice.expected(words, np.arange(6.0), voc)
+    monkeypatch.setattr(lattice, "LONG", 10)
+    assert np.allclose(lattice.log_marginals(words, voc)[0], want) and np.allclose(lattice.expected(words, np.arange(6.0), voc), counts)
+
+
+class BruteLattice:
+    """Segmentations of words in plain Python, by a table of pieces and one of bytes."""
+
+    def __init__(self, pieces, byte_at, counts, end_p):
+        heads = sum(c for x, c in zip(pieces, counts) if x.startswith("▁"))
+        inner = sum(c for x, c in zip(pieces, counts) if not x.startswith("▁")) + heads
+        p = [c / heads * (1 - end_p) if x.startswith("▁") else c / inner for x, c in zip(pieces, counts)]
+        self.p, self.number = {x: q for x, q in zip(pieces, p) if x}, {x: i for i, x in enumerate(pieces) if x}
+        self.bytes, self.stop = [p[i] for i in byte_at], math.log(heads / inner)
+        self.longest = max(map(len, self.p))
+
+    def edges(self, w):
+        for j in range(1, len(w) + 1):
+            for i in range(max(0, j - self.longest), j):
+                if w[i:j] in self.p:
+                    yield i, j, math.log(self.p[w[i:j]]), w[i:j]
+            if j > 1:
+                yield j - 1, j, sum(math.log(self.bytes[b]) for b in w[j - 1].encode()), None
+
+    def sums(self, word):
+        w = "▁" + word
+        add = lambda x, y: max(x, y) + math.log1p(math.exp(-abs(x - y))) if min(x, y) > -math.inf else max(x, y)
+        a, b, edges = [0.0] + [-math.inf] * len(w), [-math.inf] * len(w) + [0.0], list(self.edges(w))
+        for i, j, q, _ in edges:
+            a[j] = add(a[j], a[i] + q)
+        for i, j, q, _ in sorted(edges, key=lambda e: -e[1]):
+            b[i] = add(b[i], q + b[j])
+        counts = collections.Counter()
+        for i, j, q, piece in edges:
+            if piece:
+                counts[self.number[piece]] += math.exp(a[i] + q + b[j] - a[-1])
+        return (a[-1] + self.stop) / math.log(10), counts
+
+
 def test_scores(documents, rows):
-    out = lattice.scored(documents, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    out = lattice.scored(documents, path).collect()
     tokens = [WORD.findall((r[1] or "").translate(LOWER)) + [None] for r in rows]
     held = [zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 5 == 1 for r in rows]
     c = collections.Counter(t for ts, h in zip(tokens, held) if not h for t in ts)
     n, v = sum(c.values()), len(c)
-    want = collections.Counter((r[0], h, len(ts), sum(c[t] > 0 for t in ts), n, round(sum(math.log10((c[t] + 0.5) / (n + 0.5 * (v + 1))) for t in ts), 6)) for r, ts, h in zip(rows, tokens, held))
-    got = collections.Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in out)
-    assert got == want and all(r["score"] < 0 and math.isfinite(r["score"]) for r in out)
+    pieces, scores, byte_at = lattice.read_vocabulary(path)
+    start, end_p = lattice.prior(scores, pieces), c[None] / n
+    own = model = BruteLattice(pieces, byte_at, start, end_p)
+    for _ in range(2):
+        counts = 1000 * start
+        for w, times in c.items():
+            if w is not None:
+                for k, x in model.sums(w)[1].items():
+                    counts[k] += times * x
+        model = BruteLattice(pieces, byte_at, counts, end_p)
+    once, twice = (sum(x == k for w, x in c.items() if w is not None) for k in (1, 2))
+    discount = once / (once + 2 * twice) if once and twice else 0.5
+    by_pieces, by_scores = ({w: m.sums(w)[0] for ts in tokens for w in ts if w is not None} for m in (model, own))
+    mixed = {w: math.log10(max(c[w] - discount, 0) / n + 10 ** q * discount * (v - 1) / n / (1 - end_p)) for w, q in by_pieces.items() if q > -300}
+    total = lambda ts, values: sum(values.get(t, -999) for t in ts if t is not None) + math.log10(end_p)
+    want = sorted(
+        ((str(r[0]), h, len(ts), sum(c[t] > 0 for t in ts), n, sum(math.log10((c[t] + 0.5) / (n + 0.5 * (v + 1))) for t in ts), total(ts, by_pieces), total(ts, by_scores), total(ts, mixed)) for r, ts, h in zip(rows, tokens, held)),
+        key=repr,
+    )
+    got = sorted(((str(r["doc_id"]), *list(r)[1:]) for r in out), key=repr)
+    assert [x[:5] for x in got] == [x[:5] for x in want]
+    for x, y in zip(got, want):
+        for a, b in zip(x[5:8], y[5:8]):
+            assert abs(a - b) <= 1e-5 * max(1, abs(b))
+        assert y[8] < -900 or abs(x[8] - y[8]) <= 1e-5 * max(1, abs(y[8]))
 
 
 def test_scores_empty(empty):

@@ -1,25 +1,24 @@
-"""Documents in chunks, and counting of hashes over all chunks.
+"""Documents in chunks, and values that recur over all chunks.
 
-A chunk is a bounded run of whole documents, stored compressed under an id of its own. To learn which of its hashes occur
-twice or more anywhere, each chunk sends its distinct hashes once, split by their leading bits into bins; a bin answers
-each chunk with one bit per hash, in the order sent. A value that fills a third of the corpus is sent once per chunk.
+A chunk is a bounded run of whole documents, stored compressed under a number of its own. To learn which of its values (hashes,
+phrases) occur twice or more anywhere, each chunk sends every distinct value once, as a row, and gets back those that recur. So
+rows grow with the documents and with nothing else, and no value has more rows than there are chunks, however often it occurs:
+at most one of the hundreds of thousands that a chunk sends is the same value.
 """
 
 from __future__ import annotations
 
-import uuid
+import random
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracequarry.llm import _words
-from tracequarry.llm._store import plan_bytes
-
-SENT = "chunk string, bin int, hashes binary, many binary"
 
 
 def chunked(documents: DataFrame, text: str = "text", most: int = _words.SLICE) -> DataFrame:
@@ -36,11 +35,11 @@ def chunked(documents: DataFrame, text: str = "text", most: int = _words.SLICE)
                 rows = pa.StructArray.from_arrays([part.column(f.name) for f in others], fields=fields)
                 rows = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([uuid.uuid4().hex]), pa.array([press.compress(data.tobytes())]), pa.array([np.diff(offsets)], pa.list_(pa.int64())), rows],
+                    [pa.array([random.getrandbits(63)]), pa.array([press.compress(data.tobytes())]), pa.array([np.diff(offsets)], pa.list_(pa.int64())), rows],
                     ["chunk", "payload", "sizes", "rows"],
                 )
 
-    schema = T.StructType([T.StructField("chunk", T.StringType()), T.StructField("payload", T.BinaryType()), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("rows", rows_type)])
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("payload", T.BinaryType()), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("rows", rows_type)])
     return documents.select(text, *[f"`{f.name}`" for f in others]).mapInArrow(run, schema)
 
 
@@ -51,60 +50,20 @@ def texts_of(payload: bytes, sizes: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data))
 
 
-def bins_for(documents: DataFrame) -> int:
-    """How many bins, a power of two: about one for each 8 MB of input."""
-    return 1 << min(15, max(4, (plan_bytes(documents) >> 23).bit_length()))
-
-
-def sent(chunk: str, hashes: np.ndarray, many: np.ndarray, bins: int) -> pa.RecordBatch:
-    """Rows of a chunk's ascending distinct hashes for their bins. many: which occur twice or more in the chunk alone."""
-    shift = np.uint64(64 - bins.bit_length() + 1)
-    edges = np.searchsorted(hashes >> shift, np.arange(bins + 1, dtype=np.uint64)) if bins > 1 else np.array([0, len(hashes)])
-    full = np.flatnonzero(np.diff(edges))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([chunk] * len(full), pa.string()),
-            pa.array(full, pa.int32()),
-            pa.array([hashes[edges[b] : edges[b + 1]].tobytes() for b in full], pa.binary()),
-            pa.array([np.packbits(many[edges[b] : edges[b + 1]]).tobytes() for b in full], pa.binary()),
-        ],
-        ["chunk", "bin", "hashes", "many"],
-    )
-
-
-def recurring(sent_rows: DataFrame) -> DataFrame:
-    """(of, bin, bits): for each chunk and bin, which of the hashes sent occur twice or more over all chunks."""
-
-    def run(table: pa.Table) -> pa.Table:
-        blobs = [np.frombuffer(b, np.uint64) for b in table.column("hashes").to_pylist()]
-        sizes = [len(b) for b in blobs]
-        many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(table.column("many").to_pylist(), sizes, strict=True)])
-        every = np.concatenate(blobs)
-        order = np.argsort(every, kind="stable")
-        sorted_ = every[order]
-        new = np.ones(len(every), bool)
-        new[1:] = sorted_[1:] != sorted_[:-1]
-        group = np.cumsum(new) - 1
-        total = np.bincount(group, 1 + many[order])
-        twice = np.empty(len(every), bool)
-        twice[order] = total[group] >= 2
-        bits = [np.packbits(x).tobytes() for x in np.split(twice, np.cumsum(sizes)[:-1])]
-        return pa.table([table.column("chunk"), table.column("bin"), pa.array(bits, pa.binary())], ["of", "bin", "bits"])
-
-    return sent_rows.groupBy("bin").applyInArrow(run, "of string, bin int, bits binary")
-
-
-def answer(table: pa.Table, hashes: np.ndarray, bins: int) -> np.ndarray:
-    """The bits of `recurring` for a chunk, in the order of its ascending hashes."""
-    out = np.zeros(len(hashes), bool)
-    shift = np.uint64(64 - bins.bit_length() + 1)
-    edges = np.searchsorted(hashes >> shift, np.arange(bins + 1, dtype=np.uint64)) if bins > 1 else np.array([0, len(hashes)])
-    for b, bits in zip(table.column("bin").to_pylist(), table.column("bits").to_pylist(), strict=True):
-        if b >= 0:
-            out[edges[b] : edges[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(edges[b + 1] - edges[b])).astype(bool)
-    return out
+def recurring(sent: DataFrame) -> DataFrame:
+    """The rows (chunk, value) of sent(chunk, value, twice) whose value two chunks sent, or one that has it twice."""
+    total = F.sum(F.when(F.col("twice"), 2).otherwise(1)).over(Window.partitionBy("value"))
+    return sent.withColumn("total", total).where("total > 1").select("chunk", "value")
 
 
 def per_chunk(chunks: DataFrame, answers: DataFrame):
     """Each chunk together with its answers, for applyInArrow."""
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("of"))
+    return chunks.groupBy("chunk").cogroup(answers.withColumnRenamed("chunk", "of").groupBy("of"))
+
+
+def among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of the values are among some."""
+    if not len(some):
+        return np.zeros(len(values), bool)
+    some = np.sort(some)
+    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values

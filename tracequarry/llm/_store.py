@@ -1,40 +1,13 @@
-"""Intermediate tables in the folder that the whole cluster shares, and estimates of plan sizes."""
+"""What the operators share: intermediate tables and sizes (from the library) and checksums."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracequarry.store import fresh, hot_keys, met, parts, removed, scratch, shared_dir, size_of, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where it is unset (tests) a folder of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = spark.conf.get("spark.tracequarry.ownDir", None)
-        if not folder:
-            folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-            spark.conf.set("spark.tracequarry.ownDir", folder)
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table into the shared folder and reads it again: lineage ends here, a lost executor costs nothing that is written."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of df in bytes; of a file scan, the size of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def parts(df: DataFrame, each: int, least: int = 1) -> int:
-    """How many parts of about `each` bytes df has, at least the session's shuffle partitions."""
-    return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), plan_bytes(df) // each)
+__all__ = ["crc", "fresh", "hot_keys", "met", "parts", "removed", "scratch", "shared_dir", "size_of", "stored"]
 
 
 def crc(text: Column) -> Column:

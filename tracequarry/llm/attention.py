@@ -184,13 +184,13 @@ def learned(documents: DataFrame, labels: DataFrame, label: str = "quality", row
 
     kinds = (documents.schema["doc_id"].dataType.simpleString(), given.schema["label"].dataType.simpleString())
     # one row of each labelled doc_id, so at most `rows` bags; copies are met within their tasks first
-    one = documents.join(F.broadcast(given), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    one = documents.select("doc_id", "text").join(F.broadcast(given), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     bags = _store.stored(one.mapInArrow(run, f"doc_id {kinds[0]}, label {kinds[1]}, part int, x binary"), "bags")
     many, labelled, last = [], [], None
     with tempfile.TemporaryDirectory(prefix="bags-") as folder:
         path = os.path.join(folder, "x")
         with open(path, "wb") as file:
-            dealt = bags.repartitionByRange(max(8, _store.plan_bytes(bags) >> 22), "doc_id", "part").sortWithinPartitions("doc_id", "part")
+            dealt = bags.repartitionByRange(max(8, _store.size_of(bags, "x") >> 22), "doc_id", "part").sortWithinPartitions("doc_id", "part")
             for r in dealt.toLocalIterator():  # one partition of a few MB at a time
                 if not many or r["doc_id"] != last:
                     many.append(0)

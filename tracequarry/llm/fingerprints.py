@@ -15,16 +15,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from bisect import bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tracequarry.llm import _words
-from tracequarry.llm._store import plan_bytes
+from tracequarry.llm._store import size_of
 
 #: One hash in so many is kept.
 SCALE = 8
@@ -94,31 +95,38 @@ def fingerprinted(documents: DataFrame, scale: int = SCALE, text: str = "text")
     return documents.mapInArrow(run, documents.withColumn("fingerprint", F.lit("")).schema)
 
 
-def with_next(documents: DataFrame, target: int = 1 << 24) -> DataFrame:
+#: Ranges of rows that are sorted on their own: one row for each comes to the driver.
+RANGES = 20_000
+
+
+def with_next(documents: DataFrame, target: int = 1 << 26) -> DataFrame:
     """(place, last, doc_id, text) so dealt and sorted that each row is followed by the next document in descending doc_id.
 
     Only ids are sorted to find where the ranges begin; then texts move once, to their range. The first row of a range also
-    goes to the end of the range before (last = true), and that of the first range to the end of the last.
+    goes to the end of the range before (last = true), and that of the first range to the end of the last. doc_id may be of any
+    type that orders. There are at most RANGES ranges, larger ones beyond that, which their sort spills.
     """
     spark = documents.sparkSession
     own = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
-    n = min(20_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), plan_bytes(documents) // target))
+    n = min(RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size_of(documents) // target))
     ids = own.select("doc_id", "tie").repartitionByRange(n, *order).withColumn("range", F.spark_partition_id())
-    key = F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("minus"), "tie")
-    heads = ids.groupBy("range").agg(F.min(key).alias("head")).collect()  # one row per range, 20,000 at most
-    bounds = sorted((r["head"]["none"], r["head"]["minus"] or 0, r["head"]["tie"]) for r in heads)
+    first = F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", F.bitwise_not("tie").alias("tie")))
+    heads = ids.groupBy("range").agg(first.alias("head")).collect()
+    key = lambda doc_id, tie: (doc_id is not None, 0 if doc_id is None else doc_id, tie)
+    bounds = sorted(key(r["head"]["doc_id"], r["head"]["tie"]) for r in heads)  # ascending: the last range comes first
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where = {b: k for k, b in enumerate(bounds)}
+        where = set(bounds)
         for batch in batches:
-            keys = [(i is None, -(i or 0), t) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist(), strict=True)]
-            place = [bisect_right(bounds, k) - 1 for k in keys]
+            keys = [key(i, ~t) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist(), strict=True)]
+            place = [bisect_left(bounds, k) for k in keys]
             head = [row for row, k in enumerate(keys) if k in where]
             yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array([False] * len(keys)), *batch.columns], ["place", "last", *batch.schema.names])
             if head:
                 again = batch.take(pa.array(head))
-                yield pa.RecordBatch.from_arrays([pa.array([(place[row] - 1) % len(bounds) for row in head], pa.int32()), pa.array([True] * len(head)), *again.columns], ["place", "last", *batch.schema.names])
+                before = pa.array([(place[row] + 1) % len(bounds) for row in head], pa.int32())
+                yield pa.RecordBatch.from_arrays([before, pa.array([True] * len(head)), *again.columns], ["place", "last", *batch.schema.names])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     dealt = own.mapInArrow(deal, f"place int, last boolean, doc_id {kind}, text string, tie long")
@@ -128,6 +136,7 @@ def with_next(documents: DataFrame, target: int = 1 << 24) -> DataFrame:
 def edited_fingerprints(documents: DataFrame, scale: int = SCALE) -> DataFrame:
     """Each row's fingerprint, that of its text with the second half replaced by the start of the next document, and likenesses."""
     kind = documents.schema["doc_id"].dataType.simpleString()
+    arrow_kind = to_arrow_type(documents.schema["doc_id"].dataType)
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def compare(rows: list, doc_ids: list) -> pa.RecordBatch:
@@ -136,7 +145,7 @@ def edited_fingerprints(documents: DataFrame, scale: int = SCALE) -> DataFrame:
         changed = _sketches(pa.array(edited, pa.large_string()), scale)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(doc_ids, pa.int64()) if kind == "bigint" else pa.array(doc_ids),
+                pa.array(doc_ids, arrow_kind),
                 pa.array([len(t) for t, *_ in rows], pa.int64()),
                 pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()),
                 pa.array([_text(s, scale) for _, s, _, _ in rows], pa.string()),

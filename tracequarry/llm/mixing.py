@@ -1,7 +1,7 @@
 """Mixing sources to target weights by capped water-filling (operator 9).
 
 Nulls: a null text has size 0; a null source is a source of its own and comes last; rows with one doc_id in one
-source are taken together. Empty table: no rows. Other columns pass through `apply_mix` untouched.
+source are taken together. Windows over the sources' rows (hundreds or thousands, not documents) are one task's work. Empty table: no rows. Other columns pass through `apply_mix` untouched.
 """
 
 from __future__ import annotations
@@ -84,11 +84,13 @@ def _by_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFra
 
 
 def with_repetitions(documents: DataFrame, plan: DataFrame, seed: int = 9) -> DataFrame:
-    """documents with `source_size`, `target` and `repetitions`, the times that the mix takes the row."""
-    plan = plan.select("source", "source_size", "target", F.col("whole").alias("_whole"), F.col("last").alias("_last"), F.col("extra").alias("_extra"))
-    own = draw(F.col("doc_id"), seed)
-    more = F.coalesce(own <= F.col("_last"), F.lit(False)) | F.coalesce(own == F.col("_extra"), F.lit(False))
-    return _by_source(documents, plan).withColumn("repetitions", F.col("_whole") + more.cast("long")).drop("_whole", "_last", "_extra")
+    """documents with `source_size`, `target` and `repetitions`, the times that the mix takes the row; columns of these names are replaced."""
+    own = documents.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    met_ = _by_source(own, plan.select("source", "source_size", "target", "whole", "last", "extra"))
+    drawn = draw(F.col("doc_id"), seed)
+    more = F.coalesce(drawn <= F.col("last"), F.lit(False)) | F.coalesce(drawn == F.col("extra"), F.lit(False))
+    kept = [F.col(f"row.`{c}`") for c in documents.columns if c.lower() not in ("source_size", "target", "repetitions")]
+    return met_.select(*kept, "source_size", "target", (F.col("whole") + more.cast("long")).alias("repetitions"))
 
 
 def mixed(documents: DataFrame, **how) -> DataFrame:

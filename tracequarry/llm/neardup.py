@@ -6,8 +6,8 @@ random rounds further rounds fill one bin each, so every coordinate is filled. B
 and links are confirmed on full sets.
 
 Copies (equal sets) are one vertex. Within a bucket of a band all pairs are never listed: members are first compared with
-one centre, and only members of different groups go on. Before sets are compared, two exact bounds rule pairs out: their
-sizes, and how many shingles of a set occur in no other candidate (which it shares with nobody).
+one centre, and only members of different groups go on, block by block of sets. Before sets are compared, two exact bounds rule
+pairs out: their sizes, and how many shingles of a set occur in no other candidate (which it shares with nobody).
 
 Identity is by 64-bit hashes. Nulls: a null text has no set; documents without words are linked with nothing, and a null
 doc_id never names a group that has another. Fewer words than a shingle: all of them are one. Repeated rows are copies. Empty table: no rows.
@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracequarry.llm import _chunks, _words
-from tracequarry.llm._store import stored
+from tracequarry.llm._store import hot_keys, met, scratch, stored
+from tracequarry.operators.graph import components
 
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -80,11 +81,11 @@ def _sketched(chunks: DataFrame, kind: str, shingle: int, coordinates: int, band
                 keys = band_keys(sketch(values, rows, coordinates), bands).astype(np.int64)
                 offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column("chunk")[r].as_py()] * len(n)), pa.array(np.arange(len(n), dtype=np.int32)), batch.column("rows")[r].values.field("doc_id"), pa.array(n), pa.array(sid), pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))],
+                    [pa.array(np.full(len(n), batch.column("chunk")[r].as_py())), pa.array(np.arange(len(n), dtype=np.int32)), batch.column("rows")[r].values.field("doc_id"), pa.array(n), pa.array(sid), pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))],
                     ["chunk", "at", "doc_id", "n", "sid", "keys"],
                 )
 
-    return chunks.mapInArrow(run, f"chunk string, at int, doc_id {kind}, n long, sid long, keys array<long>")
+    return chunks.mapInArrow(run, f"chunk long, at int, doc_id {kind}, n long, sid long, keys array<long>")
 
 
 def _sets(chunks: DataFrame, active: DataFrame, shingle: int) -> DataFrame:
@@ -93,37 +94,32 @@ def _sets(chunks: DataFrame, active: DataFrame, shingle: int) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         at = pa.array(right.column("at").to_numpy() if right.num_rows and left.num_rows else [], pa.int64())
         if not len(at):
-            return pa.table([pa.array([], pa.string()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.int64())), pa.array([], pa.binary())], ["chunk", "sids", "sizes", "hashes"])
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.int64())), pa.array([], pa.binary())], ["chunk", "sids", "sizes", "hashes"])
         texts = _chunks.texts_of(left.column("payload")[0].as_py(), left.column("sizes")[0].values.to_numpy()).take(at)
         values, rows = sets_of(texts, shingle)
         one = lambda x: pa.array([x], pa.list_(pa.int64()))
         return pa.table([left.column("chunk").slice(0, 1), one(right.column("sid").to_numpy()), one(np.diff(rows)), pa.array([values.tobytes()])], ["chunk", "sids", "sizes", "hashes"])
 
     both = chunks.select("chunk", "payload", "sizes").groupBy("chunk").cogroup(active.select(F.col("chunk").alias("of"), "at", "sid").groupBy("of"))
-    return both.applyInArrow(run, "chunk string, sids array<long>, sizes array<long>, hashes binary")
+    return both.applyInArrow(run, "chunk long, sids array<long>, sizes array<long>, hashes binary")
 
 
-def _alone(sets: DataFrame, bins: int) -> DataFrame:
+def _alone(sets: DataFrame) -> DataFrame:
     """(sid, n, u): of each set its size and how many of its shingles no other active set has."""
 
-    def load(table: pa.Table | pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        hashes = np.frombuffer(table.column("hashes")[row].as_py(), np.uint64)
-        own, back, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-        return table.column("sizes")[row].values.to_numpy(), own, back, counts
-
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                _, own, _, counts = load(batch, row)
-                yield _chunks.sent(batch.column("chunk")[row].as_py(), own, counts >= 2, bins)
+                own, counts = np.unique(np.frombuffer(batch.column("hashes")[row].as_py(), np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch.column("chunk")[row].as_py())), pa.array(own), pa.array(counts >= 2)], ["chunk", "value", "twice"])
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
-        sizes, own, back, _ = load(left, 0)
-        shared = _chunks.answer(right, own, bins)[back]
+        sizes = left.column("sizes")[0].values.to_numpy()
+        shared = _chunks.among(np.frombuffer(left.column("hashes")[0].as_py(), np.int64), right.column("value").to_numpy())
         upto = np.concatenate(([0], np.cumsum(~shared)))[np.concatenate(([0], np.cumsum(sizes)))]
         return pa.table([left.column("sids")[0].values, pa.array(sizes), pa.array(np.diff(upto).astype(np.int64))], ["sid", "n", "u"])
 
-    answers = _chunks.recurring(sets.mapInArrow(send, _chunks.SENT))
+    answers = _chunks.recurring(sets.mapInArrow(send, "chunk long, value long, twice boolean"))
     return _chunks.per_chunk(sets, answers).applyInArrow(count, "sid long, n long, u long")
 
 
@@ -187,49 +183,49 @@ def _shared(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -> np.n
     return out
 
 
-def _met_in_blocks(vertices: DataFrame, sets: DataFrame, percent: int, x_block: int = 128, y_block: int = 512) -> DataFrame:
-    """Links (a, b) between members outside a family's main group and members of other groups; one for each group that a member is linked to.
+#: Sets in a block of either side.
+X_BLOCK, Y_BLOCK = 128, 512
+
+
+def _met_in_blocks(vertices: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members outside a family's main part and members of other parts; one for each part that a member is linked to.
 
-    vertices: family, sid, part, main, all, out (how many there are, and how many outside). A task holds one block of either side; no pairs are listed."""
-    with_sets = vertices.join(_each_set(sets), "sid")
-    nx, ny = F.ceil(F.col("out") / x_block).cast("int"), F.ceil(F.col("all") / y_block).cast("int")
+    vertices: family, sid, part, asks and answers (on which sides the member stands), out and all (how many ask and answer). A group of rows holds one block of either side, or some small families; no pairs are listed."""
+    few = max(1, -(-(vertices.where(f"out <= {X_BLOCK} and all <= {Y_BLOCK}").count()) // 2048))
+    nx, ny = F.ceil(F.col("out") / X_BLOCK).cast("int"), F.ceil(F.col("all") / Y_BLOCK).cast("int")
+    small = (F.col("out") <= X_BLOCK) & (F.col("all") <= Y_BLOCK)
+    with_sets = vertices.join(_each_set(sets), "sid").withColumn("group", F.when(small, F.pmod(F.xxhash64("family"), F.lit(few)) - few).otherwise(F.col("family")))
     deal = lambda n: F.pmod(F.xxhash64("sid"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    x = with_sets.where("part <> main").select("family", "sid", "part", "hashes", deal(nx).alias("xb"), every(ny).alias("yb"))
-    y = with_sets.select(F.col("family").alias("of"), F.col("sid").alias("other"), F.col("part").alias("other_part"), F.col("hashes").alias("other_hashes"), deal(ny).alias("yb"), every(nx).alias("xb"))
+    x = with_sets.where("asks").select("group", "family", "sid", "part", "hashes", deal(nx).alias("xb"), every(ny).alias("yb"))
+    y = with_sets.where("answers").select(F.col("group").alias("of"), F.col("family").alias("other_family"), F.col("sid").alias("other"), F.col("part").alias("other_part"), F.col("hashes").alias("other_hashes"), deal(ny).alias("yb"), every(nx).alias("xb"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         links: list[tuple[int, int]] = []
-        if left.num_rows and right.num_rows:
-            xs, ys = ([np.frombuffer(b, np.uint64) for b in c.to_pylist()] for c in (left.column("hashes"), right.column("other_hashes")))
+        of, other = left.column("family").to_numpy(), right.column("other_family").to_numpy()
+        for family in np.intersect1d(of, other):
+            mine, theirs = left.filter(pa.array(of == family)), right.filter(pa.array(other == family))
+            xs, ys = ([np.frombuffer(b, np.uint64) for b in c.to_pylist()] for c in (mine.column("hashes"), theirs.column("other_hashes")))
             both = _shared(xs, ys)
             union = np.array([len(s) for s in xs])[:, None] + np.array([len(s) for s in ys])[None, :] - both
-            parts = right.column("other_part").to_numpy()
-            linked = (100 * both >= percent * union) & (left.column("part").to_numpy()[:, None] != parts[None, :])
-            a, b = left.column("sid").to_numpy(), right.column("other").to_numpy()
+            parts = theirs.column("other_part").to_numpy()
+            linked = (100 * both >= percent * union) & (mine.column("part").to_numpy()[:, None] != parts[None, :])
+            a, b = mine.column("sid").to_numpy(), theirs.column("other").to_numpy()
             for i in np.flatnonzero(linked.any(axis=1)):
                 at = np.flatnonzero(linked[i])
                 links += [(int(a[i]), int(b[j])) for j in at[np.unique(parts[at], return_index=True)[1]]]
         return pa.table([pa.array([p for p, _ in links], pa.int64()), pa.array([q for _, q in links], pa.int64())], ["a", "b"])
 
-    return x.groupBy("family", "xb", "yb").cogroup(y.groupBy("of", "xb", "yb")).applyInArrow(run, "a long, b long")
+    return x.groupBy("group", "xb", "yb").cogroup(y.groupBy("of", "xb", "yb")).applyInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(sid, least): for each end of a link the least id that links reach. Labels pass along links and jump to their own label's label."""
-    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-links")
-    labels = stored(both.groupBy(F.col("a").alias("sid")).agg(F.least(F.first("a"), F.min("b")).alias("least")), "near-labels")
-    while True:
-        heard = both.join(labels.select(F.col("sid").alias("b"), "least"), "b").groupBy(F.col("a").alias("sid")).agg(F.min("least").alias("heard"))
-        passed = labels.join(heard, "sid").select("sid", F.col("least").alias("was"), F.least("least", "heard").alias("least"))
-        ahead = labels.select(F.col("sid").alias("least"), F.col("least").alias("next"))
-        now = stored(passed.join(ahead, "least").select("sid", "was", F.least("least", "next").alias("least")), "near-labels")
-        if now.where("was <> least").isEmpty():
-            return now.select("sid", "least")
-        labels = now.select("sid", "least")
+def _labels(links: DataFrame) -> DataFrame:
+    """(sid, least): for each end of a link the least id that links reach."""
+    found = components(links.select(F.col("a").alias("source"), F.col("b").alias("target")))
+    return found.select(F.col("node").alias("sid"), F.col("component").alias("least"))
 
 
-def _grouped(chunks: DataFrame, kind: str, bins: int, shingle: int, percent: int, coordinates: int, bands: int) -> DataFrame:
+def _grouped(chunks: DataFrame, kind: str, shingle: int, percent: int, coordinates: int, bands: int) -> DataFrame:
     """A row for each document: chunk, at, doc_id, n, and part, the same for all documents of a group (null: no words)."""
     sketched = stored(_sketched(chunks, kind, shingle, coordinates, bands), "near-sketches")
     vertices = sketched.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.min(F.struct("chunk", "at")).alias("place"))
@@ -238,62 +234,62 @@ def _grouped(chunks: DataFrame, kind: str, bins: int, shingle: int, percent: int
     members = stored(entries.join(shared, "key"), "near-members")
     active = members.groupBy("sid").agg(F.first("place").alias("place")).select("sid", "place.*")
     sets = stored(_sets(chunks, active, shingle), "near-sets")
-    facts = _alone(sets, bins).where(100 * (F.col("n") - F.col("u")) >= percent * F.col("n"))
+    facts = _alone(sets).where(100 * (F.col("n") - F.col("u")) >= percent * F.col("n"))
     members = stored(members.select("sid", "key").join(facts, "sid"), "near-members")
 
     # one centre for each bucket: the member with the fewest shingles of its own
     centre = members.groupBy("key").agg(F.min(F.struct("u", "sid", "n")).alias("c"))
     pairs = members.join(centre, "key").where((F.col("sid") != F.col("c.sid")) & _could(F.col("n"), F.col("u"), F.col("c.n"), F.col("c.u"), percent))
-    pairs = pairs.select(F.least("sid", "c.sid").alias("a"), F.greatest("sid", "c.sid").alias("b")).distinct()
-    links = stored(_confirmed(pairs, sets, percent), "near-links")
+    pairs = stored(pairs.select(F.col("c.sid").alias("a"), F.col("sid").alias("b")).distinct(), "near-pairs")
+    # a centre of many pairs meets them in blocks, so that its set is sent once for each block and not with each pair
+    many = pairs.groupBy("a").agg(F.count("*").alias("out")).where(F.col("out") > X_BLOCK)
+    star = lambda sid, asks: ("a as family", f"{sid} as sid", f"{int(asks)}L as part", f"{asks} as asks", f"not {asks} as answers", "out", "1L as all")
+    stars = pairs.join(many, "a").selectExpr(*star("b", True)).unionByName(many.selectExpr(*star("a", False)))
+    by_blocks = _met_in_blocks(stored(stars, "near-stars"), sets, percent)
+    links = stored(_confirmed(pairs.join(many, "a", "left_anti"), sets, percent).unionByName(by_blocks), "near-links")
 
     # members outside the largest group of their bucket meet all that are not of their own group
-    labels = components(links)
-    grouped = stored(members.join(labels, "sid", "left").select("key", "sid", "n", "u", F.coalesce("least", "sid").alias("part")), "near-parts")
+    labels = _labels(links)
+    grouped = stored(members.join(labels, "sid", "left").select("key", "sid", F.coalesce("least", "sid").alias("part")), "near-parts")
     by_part = grouped.groupBy("key", "part").agg(F.count("*").alias("m"))
-    mixed = by_part.groupBy("key").agg(F.max(F.struct("m", "part")).alias("top"), F.sum("m").alias("m"), F.count("*").alias("k")).where("k > 1")
-    mixed = mixed.select("key", F.col("top.part").alias("largest"), (F.col("m") * (F.col("m") - F.col("top.m"))).alias("cost"))
+    mixed = by_part.groupBy("key").agg(F.count("*").alias("k"), F.min("part").alias("b")).where("k > 1").select("key", "b")
     grouped = stored(grouped.join(mixed, "key"), "near-mixed")
 
-    # families: groups that mixed buckets tie together; one is met in blocks of sets where that is less work than its buckets
-    stars = grouped.join(grouped.groupBy("key").agg(F.min("part").alias("b")), "key").where("part <> b").select(F.col("part").alias("a"), "b").distinct()
-    family = components(stars).select(F.col("sid").alias("part"), F.col("least").alias("family"))
-    grouped = stored(grouped.join(family, "part"), "near-families")
-    costs = grouped.groupBy("family", "key").agg(F.first("cost").alias("cost")).groupBy("family").agg(F.sum("cost").alias("cost"))
-    vertices = grouped.select("family", "sid", "part").distinct()
+    # families: groups that mixed buckets tie together
+    ties = grouped.where("part <> b").select(F.col("part").alias("source"), F.col("b").alias("target")).distinct()
+    family = components(ties).select(F.col("node").alias("part"), F.col("component").alias("family"))
+    members_of = grouped.select("sid", "part").distinct()
+    vertices = stored(met(members_of, family, "part", hot_keys(members_of, "part")).select("family", "sid", "part"), "near-families")
     sizes = vertices.groupBy("family", "part").agg(F.count("*").alias("m")).groupBy("family").agg(F.max(F.struct("m", "part")).alias("top"), F.sum("m").alias("all"))
-    out = F.col("all") - F.col("top.m")
-    dense = sizes.join(costs, "family").where(F.col("all") * out <= F.col("cost")).select("family", F.col("top.part").alias("main"), "all", out.alias("out"))
-    dense = stored(dense, "near-dense")
-    met = _met_in_blocks(vertices.join(dense, "family"), sets, percent)
-
-    rest = grouped.join(dense.select("family"), "family", "left_anti")
-    outside = rest.where("part <> largest").select("key", F.col("sid").alias("s"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("part").alias("p"))
-    more = outside.join(rest, "key").where((F.col("part") != F.col("p")) & _could(F.col("n"), F.col("u"), F.col("m"), F.col("v"), percent))
-    more = more.select(F.least("sid", "s").alias("a"), F.greatest("sid", "s").alias("b")).distinct()
-    more = stored(_confirmed(more, sets, percent).unionByName(met), "near-links")
+    sizes = stored(sizes.select("family", F.col("top.part").alias("main"), "all", (F.col("all") - F.col("top.m")).alias("out")), "near-sizes")
+    vertices = met(vertices, sizes, "family", hot_keys(vertices, "family")).withColumn("asks", F.col("part") != F.col("main")).withColumn("answers", F.lit(True))
+    more = stored(_met_in_blocks(stored(vertices, "near-vertices"), sets, percent), "near-links")
     if not more.isEmpty():
-        labels = components(links.unionByName(more))
-    return sketched.select("chunk", "at", "doc_id", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(labels, "sid", "left").select("chunk", "at", "doc_id", "n", F.coalesce("least", "sid").alias("part"))
+        labels = _labels(links.unionByName(more))
+    placed = sketched.select("chunk", "at", "doc_id", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid"))
+    return placed.join(labels, "sid", "left").select("chunk", "at", "doc_id", "n", F.coalesce("least", "sid").alias("part"))
 
 
 def groups(documents: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = 100, bands: int = 25) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id of its group) and kept of every row."""
-    chunks = stored(_chunks.chunked(documents.select("doc_id", "text")), "near-chunks")
-    grouped = stored(_grouped(chunks, documents.schema["doc_id"].dataType.simpleString(), _chunks.bins_for(documents), shingle, percent, coordinates, bands), "near-groups")
-    least = grouped.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("first"))
-    out = grouped.join(least, "part", "left").withColumn("component_id", F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("first")))
+    with scratch(documents.sparkSession):
+        chunks = stored(_chunks.chunked(documents.select("doc_id", "text")), "near-chunks")
+        kind = documents.schema["doc_id"].dataType.simpleString()
+        grouped = stored(_grouped(chunks, kind, shingle, percent, coordinates, bands), "near-groups", keep=True)
+        least = stored(grouped.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("first")), "near-least", keep=True)
+        out = met(grouped, least, "part", hot_keys(grouped, "part"), "left").withColumn("component_id", F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("first")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def deduplicated(documents: DataFrame, **how) -> DataFrame:
     """documents with one row of each group, that of the least doc_id; documents without words all stay."""
     how = {"shingle": 5, "percent": 80, "coordinates": 100, "bands": 25} | how
-    chunks = stored(_chunks.chunked(documents), "near-chunks")
-    grouped = stored(_grouped(chunks, documents.schema["doc_id"].dataType.simpleString(), _chunks.bins_for(documents), **how), "near-groups")
+    with scratch(documents.sparkSession):
+        chunks = stored(_chunks.chunked(documents), "near-chunks", keep=True)
+        grouped = stored(_grouped(chunks, documents.schema["doc_id"].dataType.simpleString(), **how), "near-groups", keep=True)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "chunk", "at")
-    kept = grouped.where("part is not null").groupBy("part").agg(F.min(place).alias("p")).select(F.col("p.chunk").alias("of"), F.col("p.at").alias("at"))
-    kept = kept.unionByName(grouped.where("part is null").select(F.col("chunk").alias("of"), "at"))
+    kept = grouped.where("part is not null").groupBy("part").agg(F.min(place).alias("p")).select("p.chunk", "p.at")
+    kept = kept.unionByName(grouped.where("part is null").select("chunk", "at"))
     order, inner = documents.columns, [f for f in documents.schema.fields if f.name != "text"]
     schema = type(documents.schema)([documents.schema["text"].__class__("row", type(documents.schema)(inner)), documents.schema["text"]])
 

@@ -11,6 +11,7 @@ are packed on their own. Empty table: no rows. Columns besides doc_id and text a
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -38,10 +39,11 @@ _BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _VI
 
 
 class Encoder:
-    """Token ids of texts, as bytes of little-endian unsigned 32-bit numbers.
+    """Token ids of texts, as bytes of little-endian unsigned 32-bit numbers, the same as encode(text, add_special_tokens=False) gives.
 
-    The tokenizer never merges across the start of a space that begins a word, so the distinct words of a batch are looked up
-    in a bounded memory, or encoded, once; texts with other runs of spaces are encoded whole.
+    Of a byte-level vocabulary the tokenizer never merges across the start of a space that begins a word, so the distinct words of
+    a batch are looked up in a bounded memory, or encoded, once; texts with other runs of spaces or with a special token's string are
+    encoded whole, and so are all texts if the file has another pre-tokenizer, a normalizer or another model.
     """
 
     #: Words in each of the two generations of the memory.
@@ -52,7 +54,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        before, model = parts.get("pre_tokenizer") or {}, parts["model"]
+        plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        self.by_words = bool(plain and not parts.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges"))
+        added = [re.escape(t["content"]) for t in parts.get("added_tokens", [])]
+        self.odd = re.compile("|".join([_INSIDE.pattern, *added]))
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -84,7 +92,7 @@ class Encoder:
         if len(self.parts) > self.most:
             self.parts = {}
         known, older = self.known, self.older
-        whole = [w for w in words if w[:1] != " " or _INSIDE.search(w)]
+        whole = [w for w in words if w[:1] != " " or self.odd.search(w)]
         own = dict(zip(whole, self._encode(whole), strict=True))
         out = []
         for word in words:
@@ -98,10 +106,12 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text of a column. Each distinct word of the column is looked up once."""
+        if not self.by_words:
+            return self._encode(pc.fill_null(texts, "").to_pylist())
         data, offsets = _words.texts(texts)
         n = len(offsets) - 1
         spaces = np.flatnonzero(data == 32)
-        odd = np.array([bool(_INSIDE.search(t)) for t in pc.fill_null(texts, "").to_pylist()], bool)
+        odd = np.array([bool(self.odd.search(t)) for t in pc.fill_null(texts, "").to_pylist()], bool)
         owner = np.searchsorted(offsets, spaces, "right") - 1
         begins = np.zeros(len(data), bool)
         begins[offsets[:-1][np.diff(offsets) > 0]] = True
@@ -221,16 +231,16 @@ def plan_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int
 
 
 def packed(cut: DataFrame, capacity: int = 1024) -> DataFrame:
-    """cut, a stored table of pieces, with sequence_id and offset."""
+    """cut, a stored table of pieces, with sequence_id and offset. Pieces of one length take their ranks by doc_id, piece and CRC."""
     spark = cut.sparkSession
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # one row per length, capacity at most
     runs = spark.createDataFrame(plan_runs(counts, capacity) or [(0, 0, 0, 0, 0)], "_length long, _rank long, _n long, _first long, _offset long")
-    bucketed = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts(cut, 1 << 22, 64))))
+    bucketed = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts(cut, 1 << 22, 64, "ids_crc32"))))
     ahead = F.sum("_m").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     base = bucketed.groupBy("length", "_bucket").agg(F.count("*").alias("_m")).select("length", "_bucket", F.coalesce(ahead, F.lit(0)).alias("_base"))
     within = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32"))
     ranked = bucketed.withColumn("_own", within).join(base, ["length", "_bucket"]).withColumn("_r", F.col("_base") + F.col("_own") - 1)
-    # runs has a bounded number of rows, by the capacity
+    # runs has at most capacity x log2(pieces) rows or so: each length is dealt in runs that halve what is left
     at = (F.col("length") == F.col("_length")) & (F.col("_r") >= F.col("_rank")) & (F.col("_r") < F.col("_rank") + F.col("_n"))
     placed = ranked.join(F.broadcast(runs), at)
     return placed.select(*cut.columns, (F.col("_first") + F.col("_r") - F.col("_rank")).alias("sequence_id"), F.col("_offset").alias("offset"))

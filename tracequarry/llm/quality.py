@@ -14,6 +14,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracequarry.llm._store import fresh
+
+MEASURES = ("n_words", "n_repeat_words", "n_lines", "n_dup_lines", "word_chars", "n_symbols", "n_capitals", "n_exclamations")
 SPACES = r"[\x20\x09-\x0D]+"
 
 #: Rules in the order of their bits: name and when a document fails.
@@ -65,23 +68,25 @@ def repeated_words(words: Column, k: int = 5) -> Column:
 
 def ledger(documents: DataFrame, text: str = "text") -> DataFrame:
     """documents with the measurements and `failed`, the bits of the failed rules."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col(text), F.lit(""))  # `text` has no name of a measurement
     count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("long")
     words = F.filter(F.split(t, SPACES), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     by_words = _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
     by_lines = _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    measured = documents.drop("n_words", "n_repeat_words", "n_lines", "n_dup_lines", "failed").withColumns(
+    plain = documents.drop(*MEASURES, "failed")
+    of_words, of_lines = fresh(plain, "by_words"), fresh(plain, "by_lines")
+    measured = plain.withColumns(
         {
-            "_words": by_words,
-            "_lines": by_lines,
+            of_words: by_words,
+            of_lines: by_lines,
             "word_chars": F.length(F.regexp_replace(t, SPACES, "")).cast("long"),
             "n_symbols": count(r"[#*$%&|<>]"),
             "n_capitals": count(r"\p{Lu}"),
             "n_exclamations": count("!"),
         }
     )
-    measured = measured.select("*", "_words.*", "_lines.*").drop("_words", "_lines")
+    measured = measured.select("*", f"{of_words}.*", f"{of_lines}.*").drop(of_words, of_lines)
     bits = [F.when(fails(), 1 << k).otherwise(0) for k, (_, fails) in enumerate(RULES)]
     failed = bits[0]
     for bit in bits[1:]:

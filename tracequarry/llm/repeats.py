@@ -1,12 +1,13 @@
 """Removal of repeated passages with repeated-phrase automata (operator 7).
 
-Every window of `window` words holds a phrase of half its length that is picked by its content (the least hash), so equal
-windows pick equal phrases. Phrases that recur anywhere are confirmed by counts over all chunks of documents. Each chunk
-compiles an Aho-Corasick automaton of the recurring phrases that it holds, which bounds the automaton by the chunk, and
-streams its documents through it; around each occurrence stand the windows that may repeat. Their counts over all chunks
-then say exactly which do, and the words that they cover go.
+Every window of `window` words holds a phrase of eight words that is picked by its content (the least hash), so equal windows
+pick equal phrases. The picked phrases of all documents are counted, and those that recur anywhere are confirmed. The confirmed
+phrases are sharded by the chunks of documents that asked for them: each chunk gets the words of its share, compiles them into
+one Aho-Corasick automaton, and streams all its documents through it, which locates every occurrence. Around an occurrence stand
+the windows that may repeat; their counts over all documents then say exactly which do, and the words that they cover go.
 
-Words are runs of bytes other than space and 0x09-0x0D. Windows compare by 64-bit hashes of their words.
+Words are runs of bytes other than space and 0x09-0x0D. Phrases are told apart by 21 bits of the hash of each of their words,
+windows by 64-bit hashes of their words.
 
 Nulls: a null text has no words and comes back empty. Texts shorter than a window lose nothing. Repeated rows repeat each
 other's windows. Empty table: no rows. Other columns pass through, whatever their names.
@@ -20,67 +21,73 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import functions as F
 
 from tracequarry.llm import _chunks, _words
-from tracequarry.llm._store import stored
+from tracequarry.llm._store import scratch, stored
 
-#: Words become single characters, from this code point on and without the surrogates.
-_FIRST, _SURROGATES, _LAST = 0x100, 0xD800, 0x10F000
+#: Words in a phrase, or half a window if that is less.
+PHRASE = 8
+_MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: A word is three letters of an alphabet of its own for each place, so that phrases are found at whole words only and a node has few edges.
+_PLACES = np.array([0, 128, 256], np.uint16)
 
 
-def _least(values: np.ndarray, width: int) -> np.ndarray:
-    """The least of each `width` consecutive values."""
+def _sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """pick over each `width` consecutive values."""
     out, have = values, 1
     while have < width:
         step = min(have, width - have)
-        out = np.minimum(out[: len(out) - step], out[step:])
+        out = pick(out[: len(out) - step], out[step:])
         have += step
     return out
 
 
-class _Passages:
-    """The words, phrases and windows of a chunk."""
+def automaton_of(phrases: list[bytes]) -> ahocorasick.Automaton:
+    """The automaton of phrases, each the letters of its words."""
+    automaton = ahocorasick.Automaton()
+    for phrase in phrases:
+        letters = np.frombuffer(phrase, np.uint8).reshape(-1, 3) + _PLACES
+        automaton.add_word(letters.astype("<u2").tobytes().decode("utf-16-le"), 0)
+    automaton.make_automaton()
+    return automaton
+
+
+class Passages:
+    """The words and windows of the texts of a chunk."""
 
     def __init__(self, texts: pa.Array, window: int) -> None:
         self.words = w = _words.Words(texts, lower=False)
-        self.window, self.phrase = window, (window + 1) // 2
-        n = len(w.hashes)
+        self.window, self.phrase = window, min(PHRASE, (window + 1) // 2)
         self.ends = np.repeat(w.rows[1:], w.counts())  # of each word's text
-        self.valid = np.arange(n) + window <= self.ends
-        at = np.arange(max(0, n - self.phrase + 1))
-        self.phrases = _words.polynomial(w.hashes, at, at + self.phrase)
-        inside = at + self.phrase <= self.ends[: len(at)]
-        self.picked = np.zeros(0, np.uint64)
-        if self.valid.any():
-            least = _least(np.where(inside, self.phrases, np.uint64(0xFFFFFFFFFFFFFFFF)), window - self.phrase + 1)
-            self.picked = np.unique(least[self.valid[: len(least)]])
-        # occurrences of picked phrases in this chunk, counted wherever they stand
-        here = np.flatnonzero(inside)
-        if len(self.picked):
-            slot = np.minimum(np.searchsorted(self.picked, self.phrases[here]), len(self.picked) - 1)
-            hit = self.picked[slot] == self.phrases[here]
-            self.where, slot = here[hit], slot[hit]
-        else:
-            self.where = slot = np.zeros(0, np.int64)
-        self.often = np.bincount(slot, minlength=len(self.picked)) >= 2
-        self.first = np.zeros(len(self.picked), np.int64)
-        self.first[slot[::-1]] = self.where[::-1]
-
-    def located(self, recurring: np.ndarray) -> np.ndarray:
-        """The word at which each occurrence of a recurring phrase begins, found by an automaton of those phrases."""
-        _, local = np.unique(self.words.hashes, return_inverse=True)
-        code = _FIRST + local % (_LAST - _FIRST - 0x800)
-        code = np.where(code >= _SURROGATES, code + 0x800, code).astype("<u4")
-        text = code.tobytes().decode("utf-32-le")
-        automaton = ahocorasick.Automaton()
-        for at in self.first[recurring].tolist():
-            automaton.add_word(text[at : at + self.phrase], 0)
-        if not len(automaton):
+        self.valid = np.arange(len(w.hashes)) + window <= self.ends
+        code = (w.hashes >> np.uint64(43)).astype(np.int64)
+        self.letters = np.stack([code >> 14, code >> 7 & 127, code & 127], axis=1).astype(np.uint8)
+
+    def picked(self) -> tuple[list[bytes], np.ndarray]:
+        """The distinct phrases that windows pick, and which of them are picked at two places or more."""
+        n, k = len(self.valid), self.phrase
+        if not self.valid.any():
+            return [], np.zeros(0, bool)
+        at = np.arange(n - k + 1)
+        hashes = _words.polynomial(self.words.hashes, at, at + k)
+        width = self.window - k + 1
+        least = _sliding(np.where(at + k <= self.ends[: len(at)], hashes, _MAX), width, np.minimum)
+        of_windows = np.where(self.valid[: len(least)], least, np.uint64(0))
+        edge = np.zeros(width - 1, np.uint64)
+        greatest = _sliding(np.concatenate((edge, of_windows, edge)), width, np.maximum)
+        own = np.flatnonzero(greatest == hashes)  # a phrase is picked if it is the least of a window around it
+        _, first, counts = np.unique(hashes[own], return_index=True, return_counts=True)
+        raw = self.letters[own[first][:, None] + np.arange(k)].tobytes()
+        return [raw[i : i + 3 * k] for i in range(0, len(raw), 3 * k)], counts >= 2
+
+    def located(self, automaton: ahocorasick.Automaton) -> np.ndarray:
+        """The word at which each occurrence of a phrase begins, found by streaming all texts through the automaton."""
+        if not len(automaton) or not len(self.ends):
             return np.zeros(0, np.int64)
-        automaton.make_automaton()
-        starts = np.fromiter((end for end, _ in automaton.iter(text)), np.int64) - (self.phrase - 1)
+        stream = (self.letters + _PLACES).astype("<u2").tobytes().decode("utf-16-le")
+        starts = (np.fromiter((end for end, _ in automaton.iter(stream)), np.int64) + 1) // 3 - self.phrase
         return starts[starts + self.phrase <= self.ends[starts]]
 
     def candidates(self, starts: np.ndarray) -> np.ndarray:
@@ -91,7 +98,7 @@ class _Passages:
         return np.flatnonzero((np.cumsum(edge)[:-1] > 0) & self.valid)
 
     def hashes(self, windows: np.ndarray) -> np.ndarray:
-        return _words.polynomial(self.words.hashes, windows, windows + self.window)
+        return _words.polynomial(self.words.hashes, windows, windows + self.window).astype(np.int64)
 
     def covered(self, windows: np.ndarray) -> np.ndarray:
         """Which words stand in one of the windows."""
@@ -101,39 +108,43 @@ class _Passages:
         return np.cumsum(edge)[:-1] > 0
 
 
-def _load(left: pa.Table, window: int) -> tuple[str, _Passages]:
-    texts = _chunks.texts_of(left.column("payload")[0].as_py(), left.column("sizes")[0].values.to_numpy())
-    return left.column("chunk")[0].as_py(), _Passages(texts, window)
+def _load(payload: bytes, sizes: np.ndarray, window: int) -> Passages:
+    return Passages(_chunks.texts_of(payload, sizes), window)
+
+
+def _of(left: pa.Table, window: int) -> tuple[int, Passages]:
+    return left.column("chunk")[0].as_py(), _load(left.column("payload")[0].as_py(), left.column("sizes")[0].values.to_numpy(), window)
 
 
 def without_repeats(documents: DataFrame, window: int = 50, words_only: bool = False, results: bool = True) -> DataFrame:
     """documents with `text` less every word covered by a repeated window, and n_words, n_removed and removed (the ranges of
     bytes taken out of the UTF-8 text). words_only: the kept words joined by one space; else the text as it was between the cuts. Results
     replace columns of the same name; without `results` only the columns of documents come back."""
-    order = documents.columns
-    chunks = stored(_chunks.chunked(documents), "repeat-chunks")
-    bins = _chunks.bins_for(documents)
+    with scratch(documents.sparkSession):
+        chunks = stored(_chunks.chunked(documents), "repeat-chunks", keep=True)
+    return _cut(documents, chunks, window, words_only, results)
 
+
+def _cut(documents: DataFrame, chunks: DataFrame, window: int, words_only: bool, results: bool) -> DataFrame:
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                chunk, passages = _load(pa.table(batch.slice(row, 1)), window)
-                yield _chunks.sent(chunk, passages.picked, passages.often, bins)
+                own, twice = _load(batch.column("payload")[row].as_py(), batch.column("sizes")[row].values.to_numpy(), window).picked()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch.column("chunk")[row].as_py())), pa.array(own, pa.binary()), pa.array(twice)], ["chunk", "value", "twice"])
 
     def windows(left: pa.Table, right: pa.Table) -> pa.Table:
-        chunk, passages = _load(left, window)
-        starts = passages.candidates(passages.located(_chunks.answer(right, passages.picked, bins)))
-        marks = np.zeros(len(passages.valid), bool)
-        marks[starts] = True
+        if not left.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.bool_())], ["chunk", "value", "twice"])
+        chunk, passages = _of(left, window)
+        starts = passages.candidates(passages.located(automaton_of(right.column("value").to_pylist())))
         hashes, often = np.unique(passages.hashes(starts), return_counts=True)
-        own = pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([-1], pa.int32()), pa.array([np.packbits(marks).tobytes()]), pa.array([b""])], ["chunk", "bin", "hashes", "many"])
-        return pa.Table.from_batches([own, _chunks.sent(chunk, hashes, often >= 2, bins)])
+        return pa.table([pa.array(np.full(len(hashes), chunk)), pa.array(hashes), pa.array(often >= 2)], ["chunk", "value", "twice"])
 
+    order = documents.columns
     slim = chunks.select("chunk", "payload", "sizes")
-    confirmed = _chunks.recurring(slim.mapInArrow(phrases, _chunks.SENT))
-    found = stored(_chunks.per_chunk(slim, confirmed).applyInArrow(windows, _chunks.SENT), "repeat-windows")
-    repeated = _chunks.recurring(found.where("bin >= 0").select("chunk", "bin", "hashes", "many"))
-    marks = found.where("bin < 0").select(F.col("chunk").alias("of"), "bin", F.col("hashes").alias("bits"))
+    confirmed = _chunks.recurring(slim.mapInArrow(phrases, "chunk long, value binary, twice boolean"))
+    found = _chunks.per_chunk(slim, confirmed).applyInArrow(windows, "chunk long, value long, twice boolean")
+    repeated = _chunks.recurring(found)
     inner = T.StructType([f for f in documents.schema.fields if f.name != "text"])
     schema = T.StructType(
         [T.StructField("row", inner), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
@@ -141,12 +152,10 @@ def without_repeats(documents: DataFrame, window: int = 50, words_only: bool = F
     )
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, passages = _load(left, window)
+        _, passages = _of(left, window)
         w = passages.words
-        mark = next(bits for b, bits in zip(right.column("bin").to_pylist(), right.column("bits").to_pylist(), strict=True) if b < 0)
-        starts = np.flatnonzero(np.unpackbits(np.frombuffer(mark, np.uint8), count=len(passages.valid)))
-        hashes, back = np.unique(passages.hashes(starts), return_inverse=True)
-        gone = passages.covered(starts[_chunks.answer(right, hashes, bins)[back]])
+        starts = np.flatnonzero(passages.valid)
+        gone = passages.covered(starts[_chunks.among(passages.hashes(starts), right.column("value").to_numpy())])
         data = w.data.tobytes()
         texts, removed, ranges = [], [], []
         for row, (a, b) in enumerate(zip(w.rows, w.rows[1:], strict=False)):
@@ -168,7 +177,7 @@ def without_repeats(documents: DataFrame, window: int = 50, words_only: bool = F
         spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.table([rows, kept, pa.array(w.counts(), pa.int64()), pa.array(removed, pa.int64()), pa.array(ranges, spans_type)], ["row", "text", "n_words", "n_removed", "removed"])
 
-    out = _chunks.per_chunk(chunks, repeated.unionByName(marks)).applyInArrow(cut, schema)
-    found = ["n_words", "n_removed", "removed"] if results else []
-    columns = [F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in order if c not in found]
-    return out.select(*columns, *found)
+    out = _chunks.per_chunk(chunks, repeated).applyInArrow(cut, schema)
+    names = ["n_words", "n_removed", "removed"] if results else []
+    columns = [F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in order if c not in names]
+    return out.select(*columns, *names)
