@@ -78,10 +78,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def hot_keys(df: DataFrame, key: str, parts: int = 64) -> list:
-    """Values of key that hold more than 1/parts of all rows: fewer than `parts`, by that very bound."""
-    most = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_m")).orderBy(F.desc("_m")).limit(parts).collect()
+def hot_keys(df: DataFrame, key: str, parts: int = 64, few: int = 4096) -> list:
+    """Values of key that hold more than 1/parts of all rows: fewer than `parts`, by that very bound. Of up to `few` rows none is hot."""
     total = df.count()
+    if total <= few:
+        return []
+    most = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_m")).orderBy(F.desc("_m")).limit(parts).collect()
     return [r[key] for r in most if r["_m"] * parts > total]
 
 
