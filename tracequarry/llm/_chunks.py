@@ -50,10 +50,14 @@ def texts_of(payload: bytes, sizes: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data))
 
 
+def counted(sent: DataFrame) -> DataFrame:
+    """sent(chunk, value, twice, ...) with `total`, 2 or more if two chunks sent the value, or one that has it twice."""
+    return sent.withColumn("total", F.sum(F.when(F.col("twice"), 2).otherwise(1)).over(Window.partitionBy("value")))
+
+
 def recurring(sent: DataFrame) -> DataFrame:
-    """The rows (chunk, value) of sent(chunk, value, twice) whose value two chunks sent, or one that has it twice."""
-    total = F.sum(F.when(F.col("twice"), 2).otherwise(1)).over(Window.partitionBy("value"))
-    return sent.withColumn("total", total).where("total > 1").select("chunk", "value")
+    """The rows (chunk, value) of sent whose value recurs."""
+    return counted(sent).where("total > 1").select("chunk", "value")
 
 
 def per_chunk(chunks: DataFrame, answers: DataFrame):

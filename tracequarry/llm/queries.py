@@ -22,6 +22,26 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, percent=80)
 
 
+OP2_SQL = r"""
+with recursive words as (
+  select row_number() over () as r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+sets as (
+  select r, doc_id, case when len(w) = 0 then []::varchar[] when len(w) < 4 then [array_to_string(w, ' ')]
+         else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as s
+  from words),
+elements as (select r, len(s) as n, unnest(s) as g from sets),
+links as (
+  select a.r as x, b.r as y from elements a join elements b on a.g = b.g and a.r <> b.r
+  group by a.r, b.r, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach as (select r, r as other from sets union select reach.r, y from reach join links on other = x),
+least as (select reach.r, min(o.doc_id) as component_id from reach join sets o on o.r = other group by reach.r)
+select doc_id, len(s)::bigint as n_shingles, component_id, doc_id is not distinct from component_id as kept
+from sets join least using (r)
+"""
+
+
 def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -112,6 +132,18 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+OP7_SQL = r"""
+with words as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (select r, i, md5(array_to_string(w[i:i + 34], ' ')) as h from (select r, w, unnest(range(1, len(w) - 33)) as i from words)),
+repeated as (select r, i from (select *, count(*) over (partition by h) as c from windows) where c > 1),
+gone as (select r, list(distinct k) as ks from (select r, unnest(range(i, i + 35)) as k from repeated) group by r),
+cut as (select doc_id, w, coalesce(ks, []::bigint[]) as ks from words left join gone using (r))
+select doc_id, len(w)::bigint as n_words, len(ks)::bigint as n_removed,
+       sha256(array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda p: not list_contains(ks, p[2])), lambda p: p[1]), ' ')) as kept_sha256
+from cut
+"""
+
+
 def op8_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "quality")
     held_out = F.pmod(crc(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4)) == 2
@@ -191,4 +223,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": OP4_SQL, "op5_chat": OP5_SQL, "op9_mixing": OP9_SQL}
+    return {"op2_minhash": OP2_SQL, "op7_repeats": OP7_SQL, "op4_quality": OP4_SQL, "op5_chat": OP5_SQL, "op9_mixing": OP9_SQL}

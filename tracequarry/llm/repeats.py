@@ -15,14 +15,16 @@ other's windows. Empty table: no rows. Other columns pass through, whatever thei
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracequarry.llm import _chunks, _words
 from tracequarry.llm._store import scratch, stored
@@ -133,18 +135,28 @@ def _cut(documents: DataFrame, chunks: DataFrame, window: int, words_only: bool,
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch.column("chunk")[row].as_py())), pa.array(own, pa.binary()), pa.array(twice)], ["chunk", "value", "twice"])
 
     def windows(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.bool_())], ["chunk", "value", "twice"])
-        chunk, passages = _of(left, window)
-        starts = passages.candidates(passages.located(automaton_of(right.column("value").to_pylist())))
+        """The windows around occurrences, and a row for the chunk itself with marks, the bits of where they start."""
+        names = ["chunk", "value", "twice", "marks"]
+        starts = np.zeros(0, np.int64)
+        if left.num_rows:
+            chunk, passages = _of(left, window)
+            starts = passages.candidates(passages.located(automaton_of(right.column("value").to_pylist())))
+        if not len(starts):
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.bool_()), pa.array([], pa.binary())], names)
+        bits = np.zeros(len(passages.valid), bool)
+        bits[starts] = True
         hashes, often = np.unique(passages.hashes(starts), return_counts=True)
-        return pa.table([pa.array(np.full(len(hashes), chunk)), pa.array(hashes), pa.array(often >= 2)], ["chunk", "value", "twice"])
+        n = len(hashes)
+        values = np.append(hashes, random.getrandbits(63))  # the chunk's own row counts twice and comes back
+        marks = pa.array([None] * n + [np.packbits(bits).tobytes()], pa.binary())
+        return pa.table([pa.array(np.full(n + 1, chunk)), pa.array(values), pa.array(np.append(often >= 2, True)), marks], names)
 
     order = documents.columns
     slim = chunks.select("chunk", "payload", "sizes")
     confirmed = _chunks.recurring(slim.mapInArrow(phrases, "chunk long, value binary, twice boolean"))
-    found = _chunks.per_chunk(slim, confirmed).applyInArrow(windows, "chunk long, value long, twice boolean")
-    repeated = _chunks.recurring(found)
+    found = _chunks.per_chunk(slim, confirmed).applyInArrow(windows, "chunk long, value long, twice boolean, marks binary")
+    # windows around an occurrence mostly recur, so those that do not are sent back
+    single = _chunks.counted(found).where("total = 1 or marks is not null").select("chunk", "value", "marks")
     inner = T.StructType([f for f in documents.schema.fields if f.name != "text"])
     schema = T.StructType(
         [T.StructField("row", inner), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
@@ -154,8 +166,12 @@ def _cut(documents: DataFrame, chunks: DataFrame, window: int, words_only: bool,
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         _, passages = _of(left, window)
         w = passages.words
-        starts = np.flatnonzero(passages.valid)
-        gone = passages.covered(starts[_chunks.among(passages.hashes(starts), right.column("value").to_numpy())])
+        own = pc.is_valid(right.column("marks"))
+        starts = np.zeros(0, np.int64)
+        if right.num_rows:
+            starts = np.flatnonzero(np.unpackbits(np.frombuffer(right.column("marks").filter(own)[0].as_py(), np.uint8), count=len(passages.valid)))
+        alone = right.column("value").filter(pc.invert(own)).to_numpy()
+        gone = passages.covered(starts[~_chunks.among(passages.hashes(starts), alone)])
         data = w.data.tobytes()
         texts, removed, ranges = [], [], []
         for row, (a, b) in enumerate(zip(w.rows, w.rows[1:], strict=False)):
@@ -177,7 +193,7 @@ def _cut(documents: DataFrame, chunks: DataFrame, window: int, words_only: bool,
         spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.table([rows, kept, pa.array(w.counts(), pa.int64()), pa.array(removed, pa.int64()), pa.array(ranges, spans_type)], ["row", "text", "n_words", "n_removed", "removed"])
 
-    out = _chunks.per_chunk(chunks, repeated).applyInArrow(cut, schema)
+    out = _chunks.per_chunk(chunks, single).applyInArrow(cut, schema)
     names = ["n_words", "n_removed", "removed"] if results else []
     columns = [F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in order if c not in names]
     return out.select(*columns, *names)
