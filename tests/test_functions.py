@@ -16,7 +16,8 @@ def test_tokens_and_names(spark):
     assert one(spark, tx.word_tokens(F.col("t"), stop=("the",)), t="the user_name") == ["user_name", "username"]
     assert one(spark, tx.camel_tokens(F.col("t")), t="countryCode") == ["country", "code", "countrycode"]
     assert one(spark, tx.accessor_attribute(F.col("t")), t="setFirstName") == "firstName" and one(spark, tx.accessor_attribute(F.col("t")), t="settle") is None
-    assert one(spark, tx.domain_token(F.col("t")), t="CustomerServiceImpl") == "customer" and one(spark, tx.domain_token(F.col("t")), t="Service") == "service"
+    token = tx.domain_token(F.col("t"), ("Service", "Impl", "Model"))
+    assert [one(spark, token, t=t) for t in ("CustomerServiceImpl", "Service", "OrderModelMODEL", "ModelOrder", "XMLService")] == ["customer", "service", "order", "model", "xml"]
     assert one(spark, tx.tickets(F.col("t")), t="CAS-2 and XX-10, CAS-2") == ["CAS-2", "XX-10"]
     assert one(spark, tx.listed(F.col("t")), t='["a","b"]') == ["a", "b"] and one(spark, tx.listed(F.col("t")), t="a, b;c") == ["a", "b", "c"]
 

@@ -39,11 +39,70 @@ def accessor_attribute(method: Column) -> Column:
     return F.when(name != "", F.concat(F.lower(F.substring(name, 1, 1)), F.substring(name, 2, 1 << 20)))
 
 
-def domain_token(class_name: Column) -> Column:
-    """The first word of a class name without role suffixes."""
-    roles = "(?:Controller|Service|Impl|Repository|Mapper|Request|Response|Dto|Entity|Helper|Validator)+$"
-    bare = F.regexp_replace(class_name, roles, "")
-    return F.lower(F.regexp_extract(F.when(bare == "", class_name).otherwise(bare), "^([A-Z]?[a-z0-9]+)", 1))
+def domain_token(class_name: Column, roles: tuple[str, ...]) -> Column:
+    """The first word of a class name in lower case, after its role suffixes, in any number and case, are taken off; a name of roles alone stays whole.
+
+    roles: the suffixes that count, for example those of a project's own naming rules."""
+    each = "|".join(roles)
+    bare = F.regexp_replace(class_name, f"(?i)(?:{each})+$", "") if roles else class_name
+    return F.lower(F.regexp_extract(F.when(bare == "", class_name).otherwise(bare), "^([A-Z]?[a-z0-9]+|[A-Z]+)", 1))
+
+
+def without_section(text: Column, heading: str) -> Column:
+    """The text less the section under a heading line, up to the next numbered heading or the end."""
+    return F.regexp_replace(text, rf"(?ims)^[ \t]*(?:\d+[.)][ \t]*)?{heading}[ \t]*:?[ \t]*$.*?(?=^[ \t]*\d+[.)][ \t]|\z)", "")
+
+
+def is_test_path(path: Column) -> Column:
+    """Whether a file path lies in a folder of tests or names a test class."""
+    return F.lower(F.replace(path, F.lit("\\"), F.lit("/"))).rlike(r"(^|/)tests?/|tests?\.[a-z0-9]+$")
+
+
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+
+
+def month_releases(text: Column) -> Column:
+    """Distinct releases named by a month and a year, as "September 2026", in the order of their first mention."""
+    found = F.regexp_extract_all(text, F.lit(rf"(?i)\b((?:{MONTHS})\s+\d{{4}})\b"), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda m: F.initcap(F.regexp_replace(m, r"\s+", " "))))
+
+
+def utc_timestamp(text: Column) -> Column:
+    """An ISO time as a timestamp: with an offset as stated, without one in UTC (the session's zone aside); anything else null."""
+    zoned = text.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
+    return F.try_to_timestamp(F.when(zoned, F.trim(text)).otherwise(F.concat(F.trim(text), F.lit("Z"))))
+
+
+def change_priority(change: Column, body: Column) -> Column:
+    """ACCESSOR_ONLY for a getter or setter, VALIDATION if the body compares or throws, else RELATED."""
+    return F.when(change.rlike("^(get|set|is)[A-Z]"), "ACCESSOR_ONLY").when(body.rlike(r"\b(if|throw|assert)\b|[<>]=?|==|!="), "VALIDATION").otherwise("RELATED")
+
+
+def paragraph_chunks(text: Column, size: int = 900, overlap: int = 120) -> Column:
+    """struct(number, chunk): a text cut at blank lines, then lines, then spaces where pieces are longer than size, and merged greedily up to size;
+    a chunk begins with the last pieces of the one before, as many as fit into overlap. A word over size is cut every size characters."""
+    pieces = lambda parts, pattern: F.flatten(F.transform(parts, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(F.split(p, pattern))))
+    cut = F.split(F.coalesce(text, F.lit("")), r"(?<=\n\n)")
+    for pattern in (r"(?<=\n)", "(?<= )"):
+        cut = pieces(cut, pattern)
+    starts = lambda p: F.sequence(F.lit(1), F.greatest(F.length(p), F.lit(1)), F.lit(size))
+    cut = F.flatten(F.transform(cut, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(F.transform(starts(p), lambda s: F.substring(p, s, F.lit(size))))))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("held"))
+    joined = lambda held: F.array_join(held, "")
+
+    def tail(held: Column, more: Column) -> Column:
+        """The last pieces of held that fit into overlap, and into a chunk together with what comes."""
+        room = F.least(F.lit(overlap), size - F.length(more))
+        kept = F.aggregate(F.reverse(held), F.struct(F.array().cast("array<string>").alias("keep"), F.lit(True).alias("open")), lambda a, p: F.when(a["open"] & (F.length(joined(a["keep"])) + F.length(p) <= room), F.struct(F.concat(F.array(p), a["keep"]).alias("keep"), F.lit(True).alias("open"))).otherwise(F.struct(a["keep"].alias("keep"), F.lit(False).alias("open"))))
+        return kept["keep"]
+
+    def step(a: Column, p: Column) -> Column:
+        fits = F.length(joined(a["held"])) + F.length(p) <= size
+        full = F.struct(F.concat(a["done"], F.array(joined(a["held"]))).alias("done"), F.concat(tail(a["held"], p), F.array(p)).alias("held"))
+        return F.when(fits, F.struct(a["done"].alias("done"), F.concat(a["held"], F.array(p)).alias("held"))).otherwise(full)
+
+    every = F.aggregate(cut, start, step, lambda a: F.concat(a["done"], F.array(joined(a["held"]))))
+    return F.transform(F.filter(every, lambda c: F.trim(c) != ""), lambda c, i: F.struct(i.alias("number"), F.trim(c).alias("chunk")))
 
 
 def version_key(version: Column) -> Column:

@@ -8,32 +8,20 @@ from pyspark.sql import functions as F
 from tracequarry.functions import text as tx
 from tracequarry.functions import trees
 from tracequarry.operators import evidence, graph, retrieval, versions
+from tracequarry.plans.registry import QUERIES, SQL
+from tracequarry.plans.registry import query as _query
+from tracequarry.plans.registry import table as _t
 from tracequarry.streaming import sync
 
-_QUERIES: dict = {}
-_SQL: dict[str, str] = {}
-
-
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def _query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def queries() -> dict:
-    return dict(_QUERIES)
+    from tracequarry.plans import links, releases  # noqa: F401
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    queries()
+    return dict(SQL)
 
 
 # ---- retrieval
