@@ -64,6 +64,23 @@ def test_packing_stage(kept):
     assert max(load.values()) <= 1024 and sum(r["piece"] == 0 for r in rows) == kept[4].count()
 
 
-def test_run(spark, documents, tmp_path):
+def _tables(spark):
+    at = spark._jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.checkpoint.dir"))
+    return {f.getPath().getName() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)}
+
+
+def test_run_leaves_its_result_alone(spark, documents, tmp_path):
     documents.write.parquet(f"{tmp_path}/documents.parquet")
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    before = _tables(spark)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert len(_tables(spark) - before) == 1
+    rows = out.collect()
+    assert rows and len({(r["row"], r["piece"]) for r in rows}) == len(rows)
+
+
+def test_stages_of_an_empty_table(spark, empty):
+    docs = empty
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "unused")
+        assert docs.columns == empty.columns and docs.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "unused").count() == 0

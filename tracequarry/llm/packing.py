@@ -6,7 +6,7 @@ that no other set can beat, best fit in decreasing order packs the rest, and the
 sequences, offset). Pieces get a rank among those of their length and join their run.
 
 Nulls: a null text is one end id; a null doc_id is a value like others. Empty texts are one end id. Rows with one doc_id
-are packed on their own. Empty table: no rows. Columns besides doc_id and text are not read.
+are packed on their own, and `row` tells them apart. Empty table: no rows. Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -137,7 +137,7 @@ def encoder(path: str) -> Encoder:
 
 
 def pieces(documents: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2, keep_ids: bool = False) -> DataFrame:
-    """The pieces of each row (doc_id, text): piece, start, length, ids_crc32 and, if wanted, ids (little-endian unsigned 32-bit)."""
+    """The pieces of each row (doc_id, text): row (a number of its own), piece, start, length, ids_crc32 and, if wanted, ids (little-endian unsigned 32-bit)."""
     tail = np.array([end], "<u4").tobytes()
     kind = documents.schema["doc_id"].dataType.simpleString()
 
@@ -159,11 +159,12 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = 1024, end: int
                         crcs.append(zlib.crc32(view[4 * a : 4 * b]))
                         if keep_ids:
                             kept.append(bytes(view[4 * a : 4 * b]))
-                columns = [part.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), *(pa.array(x, pa.int64()) for x in (starts, lengths, crcs))]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                own = pa.array(rows, pa.int64())
+                columns = [part.column("doc_id").take(own), part.column("row").take(own), pa.array(numbers, pa.int32()), *(pa.array(x, pa.int64()) for x in (starts, lengths, crcs))]
+                names = ["doc_id", "row", "piece", "start", "length", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, pa.binary())] if keep_ids else []), names + ["ids"] * keep_ids)
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else ""))
+    return documents.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(run, f"doc_id {kind}, row long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else ""))
 
 
 def plan_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -231,14 +232,14 @@ def plan_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int
 
 
 def packed(cut: DataFrame, capacity: int = 1024) -> DataFrame:
-    """cut, a stored table of pieces, with sequence_id and offset. Pieces of one length take their ranks by doc_id, piece and CRC."""
+    """cut, a stored table of pieces, with sequence_id and offset. Pieces of one length take their ranks by doc_id, piece, CRC and row."""
     spark = cut.sparkSession
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # one row per length, capacity at most
     runs = spark.createDataFrame(plan_runs(counts, capacity) or [(0, 0, 0, 0, 0)], "_length long, _rank long, _n long, _first long, _offset long")
     bucketed = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts(cut, 1 << 22, 64, "ids_crc32"))))
     ahead = F.sum("_m").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     base = bucketed.groupBy("length", "_bucket").agg(F.count("*").alias("_m")).select("length", "_bucket", F.coalesce(ahead, F.lit(0)).alias("_base"))
-    within = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32"))
+    within = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32", "row"))
     ranked = bucketed.withColumn("_own", within).join(base, ["length", "_bucket"]).withColumn("_r", F.col("_base") + F.col("_own") - 1)
     # runs has at most capacity x log2(pieces) rows or so: each length is dealt in runs that halve what is left
     at = (F.col("length") == F.col("_length")) & (F.col("_r") >= F.col("_rank")) & (F.col("_r") < F.col("_rank") + F.col("_n"))
@@ -248,7 +249,7 @@ def packed(cut: DataFrame, capacity: int = 1024) -> DataFrame:
 
 def pack(documents: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2, keep_ids: bool = False) -> DataFrame:
     """Pieces of all documents with their sequence_id and offset."""
-    return packed(stored(pieces(documents, tokenizer, capacity, end, keep_ids), "pieces"), capacity)
+    return packed(stored(pieces(documents, tokenizer, capacity, end, keep_ids), "pieces", keep=True), capacity)
 
 
 def sequences(packed_pieces: DataFrame) -> DataFrame:
