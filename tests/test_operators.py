@@ -27,7 +27,9 @@ def test_nearest_breaks_ties_by_id(spark):
     assert [r["doc_id"] for r in got] == [0, 1, 3]
 
 
-def test_mentions(spark):
+@pytest.mark.parametrize("heads", [10_000, 1])
+def test_mentions(spark, monkeypatch, heads):
+    monkeypatch.setattr(retrieval, "HEADS", heads)
     docs = spark.createDataFrame([(1, "The first name, and last."), (2, "firstname"), (3, None)], "doc_id long, text string")
     terms = spark.createDataFrame([("first name",), ("name last",), ("last",)], "term string")
     assert {tuple(r) for r in retrieval.mention_join(docs, terms).collect()} == {(1, "first name"), (1, "last")}

@@ -1,7 +1,9 @@
 """Symbols of a source corpus (path, content) as tables, and changes between two snapshots.
 
-Packages, imports, classes and mappings come from regular expressions in the JVM. Method bodies need matched braces, so
-one Arrow batch job per partition cuts them; everything after it is DataFrame work.
+One Arrow job reads each file once: comments and the insides of literals are blanked, the rest is cut into names and signs, and
+declarations are read off these with the depth of braces and parentheses, which numpy sums. Everything after it is DataFrame work.
+
+Nulls: a null content is an empty file. Unbalanced braces end with the file. Repeated paths are read each.
 """
 
 from __future__ import annotations
@@ -9,56 +11,220 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_METHOD = re.compile(r"(?:public|protected|private|static|final|\s)*[\w<>\[\],.? ]+\s+(\w+)\s*\(([^()]*)\)\s*(?:throws [\w., ]+)?\{")
-_NOT_NAMES = {"if", "for", "while", "switch", "catch", "synchronized", "return", "new", "else"}
+#: What is not code: comments, text blocks, strings and characters.
+_BLANK = re.compile(r"/\*.*?(?:\*/|\Z)|//[^\n]*|\"{3}(?:\\.|[^\\])*?\"{3}|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.DOTALL)
+_TOKEN = re.compile(r"[^\W\d][\w$]*|\d[\w.]*|\S")
+#: Words of the language that are no names of methods, types or receivers of calls.
+_STATEMENTS = frozenset("if for while switch catch synchronized return new else throw case assert do try finally instanceof super this".split())
+_KINDS = frozenset("class interface enum record".split())
+_MODIFIERS = frozenset("public protected private static final abstract native transient volatile strictfp default sealed".split())
+
+
+class Source:
+    """A file as tokens: text, place, depth of braces before each, and the token that closes each bracket."""
+
+    def __init__(self, content: str) -> None:
+        self.content = content
+        code = _BLANK.sub(lambda m: "".join("\n" if c == "\n" else " " for c in m[0]), content)
+        found = list(_TOKEN.finditer(code))
+        self.text = [t[0] for t in found]
+        self.at = [t.start() for t in found]
+        step = np.array([1 if t == "{" else -1 if t == "}" else 0 for t in self.text], np.int64)
+        self.depth = np.concatenate(([0], np.cumsum(step)))[:-1] if len(step) else np.zeros(0, np.int64)
+        self.closes: dict[int, int] = {}
+        held: dict[str, list[int]] = {"{": [], "(": []}
+        for i, t in enumerate(self.text):
+            if t in held:
+                held[t].append(i)
+            elif t in ("}", ")"):
+                opened = held["{" if t == "}" else "("]
+                if opened:
+                    self.closes[opened.pop()] = i
+
+    def is_name(self, i: int) -> bool:
+        return 0 <= i < len(self.text) and (self.text[i][0].isalpha() or self.text[i][0] in "_$")
+
+    def line(self, i: int) -> int:
+        return self.content.count("\n", 0, self.at[i]) + 1
+
+    def dotted(self, i: int) -> tuple[str, int]:
+        """The dotted name that begins at a token, and the token after it."""
+        parts = []
+        while i < len(self.text) and (self.is_name(i) or self.text[i] in (".", "*")):
+            parts.append(self.text[i])
+            i += 1
+        return "".join(parts), i
+
+    def package(self) -> str | None:
+        return self.dotted(self.text.index("package") + 1)[0] if "package" in self.text else None
 
+    def imports(self) -> list[str]:
+        outer = [i for i, t in enumerate(self.text) if t == "import" and self.depth[i] == 0]
+        return [self.dotted(i + 2 if self.text[i + 1 : i + 2] == ["static"] else i + 1)[0] for i in outer]
 
-def _methods(content: str) -> Iterator[tuple[str, int, str]]:
-    """(name, line, body) of each method, cut at the brace that matches its first."""
-    for found in _METHOD.finditer(content):
-        if found[1] in _NOT_NAMES:
-            continue
-        depth, at = 1, found.end()
-        while depth and at < len(content):
-            depth += {"{": 1, "}": -1}.get(content[at], 0)
-            at += 1
-        name_at = found.start(1)
-        yield found[1], content.count("\n", 0, name_at) + 1, content[found.end() : at - 1]
+    def classes(self) -> list[tuple[str, int, int]]:
+        """(name, token of its opening brace, line)"""
+        out = []
+        for i, t in enumerate(self.text):
+            if t in _KINDS and self.is_name(i + 1) and (i == 0 or self.text[i - 1] != "."):
+                brace = next((k for k in range(i + 2, len(self.text)) if self.text[k] in ("{", ";")), None)
+                if brace is not None and self.text[brace] == "{":
+                    out.append((self.text[i + 1], brace, self.line(i + 1)))
+        return out
+
+    def methods(self) -> list[tuple[str, int, str]]:
+        """(name, line, body): a name with parentheses and a block after them, where something that can be a type or modifier stands before it."""
+        out = []
+        for i in range(1, len(self.text) - 1):
+            if self.text[i + 1] != "(" or not self.is_name(i) or self.text[i] in _STATEMENTS:
+                continue
+            before = self.text[i - 1]
+            if not (before in (">", "]") or (self.is_name(i - 1) and before not in _STATEMENTS)):
+                continue
+            k = self.closes.get(i + 1)
+            if k is None:
+                continue
+            k += 1
+            if self.text[k : k + 1] == ["throws"]:
+                while k < len(self.text) and self.text[k] not in ("{", ";"):
+                    k += 1
+            if self.text[k : k + 1] == ["{"]:
+                end = self.at[self.closes[k]] if k in self.closes else len(self.content)
+                out.append((self.text[i], self.line(i), self.content[self.at[k] + 1 : end]))
+        return out
+
+    def fields(self) -> list[tuple[str, str]]:
+        """(name, type) of declarations directly in a class body: words, then a name, then = , or ;"""
+        out = []
+        for _, brace, _ in self.classes():
+            inside, end = self.depth[brace] + 1, self.closes.get(brace, len(self.text))
+            begin, k = brace + 1, brace + 1
+            while k < end:
+                t = self.text[k]
+                if t == "@":  # an annotation with its arguments belongs to no type
+                    k = self.closes.get(k + 2, k + 1) + 1 if self.text[k + 2 : k + 3] == ["("] else k + 2
+                    begin = k if begin >= k - 2 or all(x in _MODIFIERS for x in self.text[begin:k]) else begin
+                    continue
+                if t in ("(", "{") and k in self.closes:
+                    begin = k = self.closes[k] + 1
+                    if t == "(":  # a method without a body, or an initialiser
+                        while k < end and self.text[k] not in (";", "{"):
+                            k += 1
+                        begin = k + 1 if self.text[k : k + 1] == [";"] else k
+                    continue
+                if t in ("=", ";", ",") and self.depth[k] == inside:
+                    words = [x for x in self.text[begin:k] if x not in _MODIFIERS]
+                    if len(words) >= 2 and self.is_name(k - 1) and words[0] not in _KINDS:
+                        out.append((words[-1], "".join(words[:-1])))
+                    if t == "=":
+                        while k < end and not (self.text[k] == ";" and self.depth[k] == inside):
+                            k += 1
+                        begin = k + 1
+                    elif t == ";":
+                        begin = k + 1
+                k += 1
+        return list(dict.fromkeys(out))
+
+    def calls(self) -> list[tuple[str | None, str]]:
+        """(receiver, name) of each call; what follows `new` is no call."""
+        out = []
+        for i in range(len(self.text) - 1):
+            if self.text[i + 1] == "(" and self.is_name(i) and self.text[i] not in _STATEMENTS and self.text[max(0, i - 1) : i] != ["new"]:
+                receiver = self.text[i - 2] if i >= 2 and self.text[i - 1] == "." and self.is_name(i - 2) and self.text[i - 2] != "super" else None
+                out.append((receiver, self.text[i]))
+        return out
+
+
+_SYMBOLS = "package string, imports array<string>, classes array<struct<name:string,line:int>>, fields array<struct<name:string,type:string>>, methods array<struct<name:string,line:int,body:string>>"
+
+
+def symbols(corpus: DataFrame) -> DataFrame:
+    """path and what each file declares: package, imports, classes, fields and methods."""
+    kinds = {
+        "package": pa.string(), "imports": pa.list_(pa.string()), "classes": pa.list_(pa.struct([("name", pa.string()), ("line", pa.int32())])),
+        "fields": pa.list_(pa.struct([("name", pa.string()), ("type", pa.string())])), "methods": pa.list_(pa.struct([("name", pa.string()), ("line", pa.int32()), ("body", pa.string())])),
+    }
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = [Source(c or "") for c in batch.column("content").to_pylist()]
+            columns = {
+                "package": [s.package() for s in read], "imports": [s.imports() for s in read], "classes": [[{"name": n, "line": k} for n, _, k in s.classes()] for s in read],
+                "fields": [[{"name": n, "type": t} for n, t in s.fields()] for s in read], "methods": [[{"name": n, "line": k, "body": b} for n, k, b in s.methods()] for s in read],
+            }
+            yield pa.RecordBatch.from_arrays([batch.column("path"), *[pa.array(columns[n], k) for n, k in kinds.items()]], ["path", *kinds])
+
+    return corpus.select("path", "content").mapInArrow(run, f"path string, {_SYMBOLS}")
 
 
 def files(corpus: DataFrame) -> DataFrame:
-    """path, package, imports, class_name and fields of each file."""
-    pick = lambda pattern: F.regexp_extract("content", pattern, 1)
-    return corpus.select(
-        "path", F.nullif(pick(r"(?m)^\s*package\s+([\w.]+)\s*;"), F.lit("")).alias("package"),
-        F.regexp_extract_all("content", F.lit(r"(?m)^\s*import\s+(?:static\s+)?([\w.*]+)\s*;"), F.lit(1)).alias("imports"),
-        F.nullif(pick(r"\b(?:class|interface|enum|record)\s+(\w+)"), F.lit("")).alias("class_name"),
-        F.regexp_extract_all("content", F.lit(r"(?m)^\s*(?:private|protected|public)\s+(?:final\s+|static\s+)*[\w<>\[\], ?]+\s+(\w+)\s*(?:=[^;]*)?;"), F.lit(1)).alias("fields"),
-    )
+    """path, package, imports, class_name (the first class) and fields of each file."""
+    return symbols(corpus).select("path", "package", "imports", F.get("classes", F.lit(0))["name"].alias("class_name"), F.transform("fields", lambda f: f["name"]).alias("fields"))
 
 
 def methods(corpus: DataFrame) -> DataFrame:
     """path, method, line and body of each method."""
+    return symbols(corpus).select("path", F.explode("methods").alias("m")).select("path", F.col("m.name").alias("method"), "m.line", "m.body")
+
+
+def calls(bodies: DataFrame) -> DataFrame:
+    """path, method, receiver (null: none) and name of each call."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(p, *m) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in _methods(c or "")]
-            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.string()), strict=True)], ["path", "method", "line", "body"])
+            found = [Source(b or "").calls() for b in batch.column("body").to_pylist()]
+            rows = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
+            flat = [c for f in found for c in f]
+            yield pa.RecordBatch.from_arrays([batch.column("path").take(rows), batch.column("method").take(rows), pa.array([r for r, _ in flat], pa.string()), pa.array([n for _, n in flat], pa.string())], ["path", "method", "receiver", "name"])
 
-    return corpus.select("path", "content").mapInArrow(run, "path string, method string, line int, body string")
+    return bodies.select("path", "method", "body").mapInArrow(run, "path string, method string, receiver string, name string")
 
 
-def calls(bodies: DataFrame) -> DataFrame:
-    """path, method, receiver (null: none) and name of each call."""
-    pattern = r"(?:(\w+)\.)?(\w+)\s*\("
-    part = lambda k: F.regexp_extract_all("body", F.lit(pattern), F.lit(k))
-    each = bodies.select("path", "method", F.explode(F.arrays_zip(part(1).alias("receiver"), part(2).alias("name"))).alias("c"))
-    return each.select("path", "method", F.nullif("c.receiver", F.lit("")).alias("receiver"), F.col("c.name").alias("name")).where(~F.col("name").isin(*sorted(_NOT_NAMES)))
+def test_methods(corpus: DataFrame) -> DataFrame:
+    """path, test_class, test_method, calls, attributes (behind accessors) and assertion_count of the methods of test files."""
+    inside = symbols(corpus.where(F.lower("path").rlike(r"(^|[/\\])tests?[/\\]|tests?\.[a-z]+$")))
+    each = inside.select("path", F.get("classes", F.lit(0))["name"].alias("test_class"), F.explode("methods").alias("m"))
+    bodies = each.select(F.to_json(F.struct("path", "test_class")).alias("path"), F.col("m.name").alias("method"), "m.body")
+    accessor = F.regexp_extract("name", "^(?:get|set|is)([A-Z].*)$", 1)
+    attribute = F.when(accessor != "", F.concat(F.lower(F.substring(accessor, 1, 1)), F.substring(accessor, 2, 1 << 20)))
+    made = calls(bodies).groupBy("path", "method").agg(F.array_sort(F.collect_set("name")).alias("calls"), F.array_sort(F.collect_set(attribute)).alias("attributes"), F.count_if(F.col("name").startswith("assert")).alias("assertion_count"))
+    place = F.from_json("path", "path string, test_class string")
+    out = bodies.select("path", "method").join(made, ["path", "method"], "left")
+    none = F.array().cast("array<string>")
+    return out.select(place["path"].alias("path"), place["test_class"].alias("test_class"), F.col("method").alias("test_method"), F.coalesce("calls", none).alias("calls"), F.coalesce("attributes", none).alias("attributes"), F.coalesce("assertion_count", F.lit(0)).alias("assertion_count"))
+
+
+def code_graph(corpus: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
+    """nodes(id, label, name, project) and edges(source, target, type) of a corpus: the project, its classes, their methods and the
+    attributes that methods' accessors use."""
+    read = symbols(corpus).select(F.concat_ws(".", "package", F.get("classes", F.lit(0))["name"]).alias("owner"), "methods", "path").where("owner <> ''")
+    each = read.select("owner", F.explode("methods").alias("m")).select("owner", F.concat("owner", F.lit("#"), "m.name").alias("method"), F.col("m.name").alias("name"), "m.body")
+    used = calls(each.select(F.col("owner").alias("path"), "method", "body")).select("method", F.regexp_extract("name", "^(?:get|set|is)([A-Z].*)$", 1).alias("a")).where("a <> ''")
+    used = used.select("method", F.concat(F.lower(F.substring("a", 1, 1)), F.substring("a", 2, 1 << 20)).alias("attribute")).distinct()
+    root = F.lit(f"project:{project}")
+    node = lambda df, key, label, name: df.select(key.alias("id"), F.lit(label).alias("label"), name.alias("name"), F.lit(project).alias("project"))
+    nodes = [
+        node(read.limit(1), root, "Project", F.lit(project)), node(read, F.concat(F.lit("class:"), "owner"), "Class", F.col("owner")),
+        node(each, F.concat(F.lit("method:"), "method"), "Method", F.col("name")), node(used, F.concat(F.lit("attribute:"), "attribute"), "Attribute", F.col("attribute")),
+    ]
+    edges = [
+        read.select(root.alias("source"), F.concat(F.lit("class:"), "owner").alias("target"), F.lit("HAS_CLASS").alias("type")),
+        each.select(F.concat(F.lit("class:"), "owner").alias("source"), F.concat(F.lit("method:"), "method").alias("target"), F.lit("HAS_METHOD").alias("type")),
+        used.select(F.concat(F.lit("method:"), "method").alias("source"), F.concat(F.lit("attribute:"), "attribute").alias("target"), F.lit("USES_ATTRIBUTE").alias("type")),
+    ]
+    union = lambda frames: frames[0].unionByName(union(frames[1:])) if len(frames) > 1 else frames[0]
+    return union(nodes).distinct(), union(edges).distinct()
+
+
+def commit_tickets(commits: DataFrame) -> DataFrame:
+    """(sha, ticket): ticket keys that a commit's message states, at key boundaries (ABC-1 is not in ABC-12 or XABC-1). commits(sha, message)."""
+    keys = F.regexp_extract_all("message", F.lit(r"(?<![A-Za-z0-9-])([A-Z][A-Z0-9]+-[0-9]+)(?![A-Za-z0-9-])"), F.lit(1))
+    return commits.select("sha", F.explode(F.array_distinct(keys)).alias("ticket")).distinct()
 
 
 def data_flow(bodies: DataFrame) -> DataFrame:

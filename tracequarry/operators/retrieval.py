@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracequarry.store import scratch, stored
+
 
 def top(scores: DataFrame, k: int, by: str = "score", within: str = "query_id") -> DataFrame:
     """The k best rows of each query with their rank, by score from high to low and doc_id."""
@@ -30,16 +32,23 @@ def bm25(corpus: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75
 
     idf = ln((N - df + 0.5) / (df + 0.5)); negative ones become a quarter of the mean idf over all terms. repeat_terms: a
     token counts as often as the query has it. Only terms of queries are scored, but df, N and the mean cover the corpus.
+
+    A document's distinct terms are counted in a map-side combine for df, which is stored once; documents then look for the
+    queries' terms in their own token arrays, so that only hits of query terms leave a task.
     """
-    post = postings(corpus)
+    spark = corpus.sparkSession
+    with scratch(spark):
+        df = stored(corpus.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "bm25-df", keep=True)
     sizes = corpus.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avgdl"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(sizes)).withColumn("raw", F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # one row of sizes
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     terms = asked.select("term").distinct()
     idf = raw.join(terms, "term").crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("raw") < 0, 0.25 * F.col("mean_idf")).otherwise(F.col("raw")))  # one row of mean
-    hits = post.join(idf.select("term", "idf", "avgdl"), "term")
+    weighed = idf.select("term", "idf", "avgdl")
+    # tokens meet the queries' terms before they are counted: the terms are broadcast if Catalyst's limit allows, else exchanged
+    spots = corpus.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(weighed, "term")
+    hits = spots.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("idf").alias("idf"), F.first("avgdl").alias("avgdl"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     hits = hits.select("term", "doc_id", part.alias("part")).join(asked, "term")
     weight = F.col("qtf") if repeat_terms else F.lit(1)
@@ -155,14 +164,27 @@ def isolation_violations(ranked: DataFrame) -> DataFrame:
     return outside.unionByName(twice)
 
 
+#: First words of a vocabulary that are sent to every task.
+HEADS = 10_000
+
+
 def mention_join(documents: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(doc_id, term): vocabulary terms (one or more words) that a text holds as whole words, through an inverted index.
 
     Texts meet terms on the terms' first words only; the rest is checked on the words that follow.
     """
-    words = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9_]+"), lambda t: t != "")
-    terms = vocabulary.select("term", words(F.col("term")).alias("tw")).where("size(tw) > 0").withColumn("first", F.col("tw")[0])
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9_]+"), F.lit(0))
+    padded = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    terms = vocabulary.select("term", words(F.col("term")).alias("tw")).where("size(tw) > 0").select("term", F.get("tw", F.lit(0)).alias("first"), padded(F.col("tw")).alias("told"))
     heads = terms.select("first").distinct()
-    spots = documents.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", "w", F.posexplode(F.array_distinct("w")).alias("_", "first")).join(heads, "first", "left_semi")
-    found = spots.join(terms, "first").withColumn("padded", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")))
-    return found.where(F.contains("padded", F.concat(F.lit(" "), F.array_join("tw", " "), F.lit(" ")))).select("doc_id", "term").distinct()
+    each = documents.select("doc_id", words(F.col("text")).alias("w"))
+    if heads.limit(HEADS + 1).count() <= HEADS:
+        # few first words: a text keeps those that it holds before anything is exploded
+        few = F.broadcast(heads.agg(F.collect_set("first").alias("heads")))  # one row of at most HEADS words
+        spots = each.crossJoin(few).select("doc_id", padded(F.col("w")).alias("padded"), F.explode(F.array_intersect("w", "heads")).alias("first"))
+        found = spots.join(terms, "first")
+    else:
+        # many: ids meet first words, and texts come back only to the terms that are left
+        spots = each.select("doc_id", F.explode(F.array_distinct("w")).alias("first")).join(heads, "first", "left_semi")
+        found = spots.join(terms, "first").join(each.select("doc_id", padded(F.col("w")).alias("padded")), "doc_id")
+    return found.where(F.contains("padded", F.col("told"))).select("doc_id", "term").distinct()
