@@ -21,6 +21,15 @@ def test_bm25_prefers_rare_terms(spark):
     assert [(r["doc_id"]) for r in retrieval.top(retrieval.bm25(docs, asked), 5).collect()] == [3]
 
 
+def test_bm25_by_blocks_equals_joins(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, [f"t{(k * j) % 7}" for j in range(k % 9)]) for k in range(60)] + [(99, None)], "doc_id long, tokens array<string>").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+    asked = spark.createDataFrame([("a", ["t1", "t2", "t1", "none"]), ("b", ["t3"]), ("c", [])], "query_id string, tokens array<string>")
+    told = lambda repeat: sorted((r["query_id"], r["doc_id"], round(r["score"], 9)) for r in retrieval.bm25(docs, asked, repeat_terms=repeat).collect())
+    want = [told(True), told(False)]
+    monkeypatch.setattr(retrieval, "CELLS", 0)
+    assert [told(True), told(False)] == want and want[0] and want[0] != want[1]
+
+
 def test_nearest_breaks_ties_by_id(spark):
     v = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(5)] + [(9, [0.0, 1.0]), (10, [0.0, 0.0])], "doc_id long, vector array<float>")
     got = retrieval.nearest(v, v.where("doc_id = 2").withColumnRenamed("doc_id", "query_id"), 3, blocks=(3, 2)).orderBy("rank").collect()

@@ -6,11 +6,14 @@ Every ranking breaks ties by doc_id. Common tokens are handled by the join on to
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tracequarry.store import scratch, stored
 
@@ -27,14 +30,14 @@ def postings(corpus: DataFrame) -> DataFrame:
     return sized.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def bm25(corpus: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, repeat_terms: bool = True) -> DataFrame:
-    """(query_id, doc_id, score > 0) of Okapi BM25.
+def bm25(corpus: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, repeat_terms: bool = True, k: int | None = None) -> DataFrame:
+    """(query_id, doc_id, score > 0) of Okapi BM25; with k, at least the k best documents of each query, ties among them.
 
     idf = ln((N - df + 0.5) / (df + 0.5)); negative ones become a quarter of the mean idf over all terms. repeat_terms: a
     token counts as often as the query has it. Only terms of queries are scored, but df, N and the mean cover the corpus.
 
-    A document's distinct terms are counted in a map-side combine for df, which is stored once; documents then look for the
-    queries' terms in their own token arrays, so that only hits of query terms leave a task.
+    A document's distinct terms are counted in a map-side combine for df, which is stored once; then a batch of queries of checked
+    size meets blocks of documents as matrices, and a larger one by joins on terms.
     """
     spark = corpus.sparkSession
     with scratch(spark):
@@ -46,6 +49,9 @@ def bm25(corpus: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75
     terms = asked.select("term").distinct()
     idf = raw.join(terms, "term").crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("raw") < 0, 0.25 * F.col("mean_idf")).otherwise(F.col("raw")))  # one row of mean
     weighed = idf.select("term", "idf", "avgdl")
+    n_terms, n_queries = terms.count(), queries.count()
+    if n_terms * max(1, n_queries) <= CELLS:
+        return _bm25_blocks(corpus, weighed, asked, k1, b, repeat_terms, k)
     # tokens meet the queries' terms before they are counted: the terms are broadcast if Catalyst's limit allows, else exchanged
     spots = corpus.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(weighed, "term")
     hits = spots.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("idf").alias("idf"), F.first("avgdl").alias("avgdl"))
@@ -55,6 +61,46 @@ def bm25(corpus: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75
     return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("part") * weight).alias("score")).where("score > 0")
 
 
+#: Terms times queries up to which a batch of queries is one matrix in every task (8 bytes a cell); a larger batch is joined.
+CELLS = 1 << 22
+
+
+def _bm25_blocks(corpus: DataFrame, weighed: DataFrame, asked: DataFrame, k1: float, b: float, repeat_terms: bool, k: int | None) -> DataFrame:
+    """Scores as the product of a block of documents by terms and the matrix of terms by queries, whose size the caller has checked.
+
+    Pairs of a query and a document leave a task once, with their score; nothing is joined or exchanged."""
+    found = weighed.collect()  # at most CELLS terms
+    number = {r["term"]: i for i, r in enumerate(found)}
+    rows = asked.where(F.col("term").isNotNull()).collect()  # at most CELLS pairs
+    of = {q: i for i, q in enumerate(dict.fromkeys(r["query_id"] for r in rows))}
+    matrix = np.zeros((len(number), len(of)))
+    for r in rows:
+        if r["term"] in number:
+            matrix[number[r["term"]], of[r["query_id"]]] = found[number[r["term"]]]["idf"] * (r["qtf"] if repeat_terms else 1)
+    avgdl = found[0]["avgdl"] if found else 1.0
+    query_kind, doc_kind = asked.schema["query_id"].dataType, corpus.schema["doc_id"].dataType
+    ids, vocabulary = pa.array(list(of), to_arrow_type(query_kind)), pa.array(list(number), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+                tokens = part.column("tokens")
+                dl = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0))
+                at = pc.fill_null(pc.index_in(pc.list_flatten(tokens), vocabulary), -1).to_numpy(zero_copy_only=False)
+                owner = np.repeat(np.arange(part.num_rows), dl)[at >= 0]
+                tf = np.zeros((part.num_rows, len(number)))
+                np.add.at(tf, (owner, at[at >= 0]), 1.0)
+                share = np.divide(tf * (k1 + 1), tf + k1 * (1 - b + b * dl[:, None] / avgdl), out=np.zeros_like(tf), where=tf > 0)
+                scores = share @ matrix
+                keep = scores > 0
+                if k is not None and k < part.num_rows:  # from a little below the kth best score on, which may be more than k rows
+                    keep &= scores >= np.partition(scores, part.num_rows - k, axis=0)[part.num_rows - k] - 1e-6
+                doc, q = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), part.column("doc_id").take(pa.array(doc)), pa.array(scores[doc, q])], ["query_id", "doc_id", "score"])
+
+    return corpus.select("doc_id", "tokens").mapInArrow(run, f"query_id {query_kind.simpleString()}, doc_id {doc_kind.simpleString()}, score double")
+
+
 #: Vectors and queries that a task multiplies at a time.
 BLOCK = (4096, 1024)
 

@@ -45,10 +45,10 @@ dense as (select * from (select *, row_number() over (partition by query_id orde
 """
 
 
-def _bm25(spark: SparkSession, d: str) -> DataFrame:
+def _bm25(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
     corpus = _t(spark, d, "documents").select("doc_id", F.coalesce(tx.search_tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
     asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), tx.search_tokens(F.col("text")).alias("tokens"))
-    return retrieval.bm25(corpus, asked).withColumn("score", F.round("score", 9))
+    return retrieval.bm25(corpus, asked, k=k).withColumn("score", F.round("score", 9))
 
 
 def _dense(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
@@ -59,7 +59,7 @@ def _dense(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
 
 @_query(_BM25 + "select query_id, doc_id, rank, round(score, 6) as score from (select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from bm25) where rank <= 10")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.top(_bm25(spark, d), 10).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+    return retrieval.top(_bm25(spark, d, 10), 10).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 @_query(
@@ -79,7 +79,7 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     select query_id, doc_id, rank, round(score, 6) as score from (select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from fused) where rank <= 10"""
 )
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
-    fused = retrieval.reciprocal_rank_fusion(_dense(spark, d), retrieval.top(_bm25(spark, d), 50)).withColumn("score", F.round("score", 9))
+    fused = retrieval.reciprocal_rank_fusion(_dense(spark, d), retrieval.top(_bm25(spark, d, 50), 50)).withColumn("score", F.round("score", 9))
     return retrieval.top(fused, 10).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
