@@ -318,7 +318,7 @@ def graph_attributes(spark: SparkSession, d: str) -> DataFrame:
     return mappings.graph_attributes(rows, nodes).select("mapping_id", F.size("node_ids").alias("n_nodes"), "status")
 
 
-_ROWS = "select p_size as document_id, p_partkey as row, 'xpath:/' || p_brand as source, p_type as target, case when p_retailprice > 1000 then p_name end as attribute from part"
+_ROWS = "select p_size as document_id, p_partkey as row, 'xpath:/' || p_brand as source, p_type as target, case when p_size > 25 then p_name end as attribute from part"
 
 
 @query(
@@ -333,41 +333,42 @@ def mapping_edges(spark: SparkSession, d: str) -> DataFrame:
 def _mapping_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(
         F.col("p_size").alias("document_id"), F.col("p_partkey").alias("row"), F.concat(F.lit("xpath:/"), "p_brand").alias("source"), F.col("p_type").alias("target"),
-        F.when(F.col("p_retailprice") > 1000, F.col("p_name")).alias("attribute"),
+        F.when(F.col("p_size") > 25, F.col("p_name")).alias("attribute"),
     )
 
 
 @query(
-    """with q as (select distinct '/' || p_brand as source from part where p_size < 49 union select '/none'), m as (select distinct lower('/' || p_brand) as k, lower(p_type) as t from part where p_retailprice > 950), g as (select distinct lower(p_type) as t from part where p_retailprice > 1850)
+    """with q as (select distinct '/' || p_brand as source from part where p_size < 49 union select '/none'), m as (select distinct lower('/' || p_brand) as k, lower(p_name || p_size) as t from part where p_size > 9), g as (select distinct lower(p_name || p_size) as t from part where p_size > 46 and p_type = 'PROMO')
     select source, count(m.t) as n_targets, count(g.t) as n_in_graph, case when count(g.t) > 0 then 'FOUND' when count(m.t) > 0 then 'DOCUMENT_ONLY' else 'NO_MATCH' end as status from q left join m on m.k = lower(source) left join g on g.t = m.t group by source"""
 )
 def mapping_lineage(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
     asked = part.where("p_size < 49").select(F.concat(F.lit("/"), "p_brand").alias("source")).unionByName(part.agg(F.lit("/none").alias("source")))
-    rows = part.where("p_retailprice > 950").select(F.concat(F.lit("xpath:/"), "p_brand").alias("source"), F.col("p_type").alias("target"))
-    return mappings.lineage(asked, rows, part.where("p_retailprice > 1850").select(F.col("p_type").alias("target")))
+    target = F.concat("p_name", "p_size").alias("target")
+    rows = part.where("p_size > 9").select(F.concat(F.lit("xpath:/"), "p_brand").alias("source"), target)
+    return mappings.lineage(asked, rows, part.where("p_size > 46 and p_type = 'PROMO'").select(target))
 
 
 @query(
-    """with i as (select distinct p_type as attribute, case when p_size < 25 then 'TARGET_NOT_FOUND' else 'CONFLICTING_RULES' end as issue from part), e as (select distinct p_type from part where p_retailprice > 1900)
+    """with i as (select distinct p_type as attribute, case when p_size < 25 then 'TARGET_NOT_FOUND' else 'CONFLICTING_RULES' end as issue from part), e as (select distinct p_type from part where p_type < 'N')
     select attribute, case when issue = 'TARGET_NOT_FOUND' and p_type is not null then 'GRAPH_SYNC_MISMATCH' else issue end as issue from i left join e on p_type = attribute"""
 )
 def quality_reconcile(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
     issues = part.select(F.col("p_type").alias("attribute"), F.when(F.col("p_size") < 25, "TARGET_NOT_FOUND").otherwise("CONFLICTING_RULES").alias("issue")).distinct()
-    return mappings.reconciled(issues, part.where("p_retailprice > 1900").select(F.col("p_type").alias("attribute")), "attribute")
+    return mappings.reconciled(issues, part.where("p_type < 'N'").select(F.col("p_type").alias("attribute")), "attribute")
 
 
 @query(
     """with m as (select p_name as attribute, p_brand as family, p_size as version, p_type as rule from part), n as (select family, max(version) as newest from m group by 1), r as (select m.*, version = newest as is_latest from m join n using (family)),
-    b as (select attribute, bool_or(is_latest) as latest, count(distinct (family, rule)) filter (where is_latest) as rules, count(distinct family) filter (where is_latest) as families from r group by 1), g as (select distinct p_name as attribute from part where p_retailprice > 1200), a as (select distinct p_name as attribute from part union select 'none at all')
+    b as (select attribute, bool_or(is_latest) as latest, count(distinct (family, rule)) filter (where is_latest) as rules, count(distinct family) filter (where is_latest) as families from r group by 1), g as (select distinct p_name as attribute from part where p_name < 'm'), a as (select distinct p_name as attribute from part union select 'none at all')
     select a.attribute, case when latest is null then 'NONE' when not latest then 'HISTORICAL_ONLY' when rules > families then 'CONFLICTING' when g.attribute is null then 'TARGET_MISSING' else 'LATEST' end as evidence from a left join b using (attribute) left join g using (attribute)"""
 )
 def mapping_evidence_class(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
     rows = part.select(F.col("p_name").alias("attribute"), F.col("p_brand").alias("family"), F.col("p_size").alias("version"), F.col("p_type").alias("rule"))
     asked = rows.select("attribute").unionByName(part.agg(F.lit("none at all").alias("attribute")))
-    return mappings.evidence_class(asked, rows, part.where("p_retailprice > 1200").select(F.col("p_name").alias("attribute")))
+    return mappings.evidence_class(asked, rows, part.where("p_name < 'm'").select(F.col("p_name").alias("attribute")))
 
 
 @query("select l_partkey, l_suppkey, count(distinct (l_returnflag, l_linestatus)) as variants from lineitem group by all having count(distinct (l_returnflag, l_linestatus)) > 1")
