@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tracequarry.operators import graph
 from tracequarry.operators import requirements as rq
 
 METHODS = [
@@ -71,3 +72,26 @@ def test_buckets_and_counts(spark):
     assert sorted(tuple(r) for r in rq.bucketed(rows, "k", "kind", {"mapping": "mappings"}, "item", first=1).collect()) == [("q", "mappings", 2, [1]), ("q", "other", 1, [5])]
     files = spark.createDataFrame([("p", "A.x", None), ("p", None, "a.X"), ("p", None, None), (None, "b", "c")], "scope string, ref string, name string")
     assert {tuple(r) for r in rq.counts_by_scope(files, "scope", "ref", "name").collect()} == {("p", 1, 3), (None, 1, 1)}
+
+
+def test_dependency_paths(spark):
+    tree = [("r", None, 0, "A.a", True), ("x", "r", 1, "B.b", True), ("y", "x", 0, "C.c", True), ("z", "r", 0, "B.b", True), ("w", "z", 0, "A.a", True), ("u", "r", 2, "D.d", False), ("v", "u", 0, "C.c", True), ("q", None, 0, None, True)]
+    calls = spark.createDataFrame(tree, "id string, parent string, pos int, symbol string, verified boolean")
+    changes = spark.createDataFrame([("C.c",), ("B.b",), ("B.b",), (None,)], "symbol string")
+    got = {(r["flow"], ">".join(r["path"]), r["rank"]) for r in graph.dependency_paths(calls, changes).collect()}
+    assert got == {("r", "A.a>B.b", 1), ("r", "A.a>B.b>C.c", 2)}  # both B.b are one way; A.a does not come twice, D.d is not verified
+    assert [r["rank"] for r in graph.dependency_paths(calls, changes, first=1).collect()] == [1]
+    assert graph.dependency_paths(calls.limit(0), changes).count() == 0
+
+
+def test_focused(spark):
+    nodes = spark.createDataFrame([("a", "p"), ("b", "q"), ("c", "r"), ("d", None)], "id string, project string")
+    edges = spark.createDataFrame([("a", "b", "READS"), ("a", "b", "READS"), ("b", "c", "READS"), ("a", "d", "CALLS"), ("p", "q", "DEPENDS_ON"), ("q", "r", "DEPENDS_ON")], "source string, target string, type string")
+    got = {tuple(r) for r in graph.focused(nodes, edges, spark.createDataFrame([("a",), ("a",), (None,)], "id string"), ["READS"]).collect()}
+    assert got == {("a", "b", "READS"), ("p", "q", "DEPENDS_ON")}
+
+
+def test_evidence_edges(spark):
+    rows = spark.createDataFrame([(1, "t", "e"), (1, "t", "e"), (None, "t", "e")], "source int, target string, evidence string")
+    got = sorted((r["type"], r["classification"]) for r in graph.evidence_edges(rows, rows, rows, rows.limit(0)).collect())
+    assert got == [("COVERS_JIRA", "VERIFIED"), ("POSSIBLY_COVERS_JIRA", "INFERRED"), ("REFERENCES_JIRA", "VERIFIED")]

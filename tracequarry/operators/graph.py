@@ -90,3 +90,46 @@ def keep_main_component(seeds: DataFrame, links: DataFrame) -> DataFrame:
     sizes = placed.groupBy("name", "component").agg(F.countDistinct("project").alias("projects"), F.sum("methods").alias("methods_all"), F.count("*").alias("nodes"))
     best = F.rank().over(Window.partitionBy("name").orderBy(F.desc("projects"), F.desc("methods_all"), F.desc("nodes")))
     return placed.join(sizes.withColumn("_r", best).where("_r = 1").select("name", "component"), ["name", "component"])
+
+
+def focused(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, types: list[str], between_projects: str = "DEPENDS_ON") -> DataFrame:
+    """The edges of some types that begin or end at a seed, and the edges between the projects of what they touch. seeds(id)."""
+    ids = seeds.select("id").distinct()
+    some = edges.select("source", "target", "type").where(F.col("type").isin(types))
+    near = some.join(ids, F.col("source") == F.col("id"), "left_semi").unionByName(some.join(ids, F.col("target") == F.col("id"), "left_semi")).distinct()
+    touched = near.select(F.col("source").alias("id")).unionByName(near.select(F.col("target").alias("id"))).distinct()
+    projects = nodes.join(touched, "id", "left_semi").select("project").where("project is not null").distinct()
+    deps = edges.select("source", "target", "type").where(F.col("type") == between_projects)
+    deps = deps.join(projects, F.col("source") == F.col("project"), "left_semi").join(projects, F.col("target") == F.col("project"), "left_semi")
+    return near.unionByName(deps.distinct()).distinct()
+
+
+def dependency_paths(calls: DataFrame, changes: DataFrame, first: int = 8) -> DataFrame:
+    """(flow, symbol, path, rank): the ways from a call tree's root down to a changed symbol, the first of each tree in the order of its calls.
+
+    calls(id, parent, pos, symbol, verified): nodes of trees whose roots have no parent and give the flow its id; a node that is not verified, or that
+    repeats a symbol above it, ends its way. changes(symbol). Equal paths of a tree count once. All trees go down a level at a time; a level is a table."""
+    spark = calls.sparkSession
+    good = calls.where("verified and symbol is not null").select("id", "parent", "pos", "symbol")
+    found = None
+    with scratch(spark):
+        good = stored(good, "calls")
+        level = stored(good.where("parent is null").select(F.col("id").alias("flow"), "id", "symbol", F.array("symbol").alias("path"), F.array("pos").alias("places")), "paths", keep=True)
+        while not level.isEmpty():
+            found = level if found is None else found.unionByName(level)
+            below = good.select(F.col("id").alias("_id"), F.col("parent").alias("_p"), "pos", F.col("symbol").alias("_s"))
+            down = level.join(below, level["id"] == below["_p"]).where("not array_contains(path, _s)")
+            level = stored(down.select("flow", F.col("_id").alias("id"), F.col("_s").alias("symbol"), F.concat("path", F.array("_s")).alias("path"), F.concat("places", F.array("pos")).alias("places")), "paths", keep=True)
+    ways = (level if found is None else found).join(changes.select("symbol").distinct(), "symbol", "left_semi").groupBy("flow", "symbol", "path").agg(F.min("places").alias("places"))
+    rank = F.row_number().over(Window.partitionBy("flow").orderBy("places", "path"))
+    return ways.select("flow", "symbol", "path", rank.alias("rank")).where(F.col("rank") <= first)
+
+
+def evidence_edges(references: DataFrame, covers: DataFrame, possibly: DataFrame, maps: DataFrame) -> DataFrame:
+    """(source, target, type, evidence, classification): what is verified and what is inferred as edges of different types, each (source, target, evidence)."""
+    kinds = [(references, "REFERENCES_JIRA", "VERIFIED"), (covers, "COVERS_JIRA", "VERIFIED"), (possibly, "POSSIBLY_COVERS_JIRA", "INFERRED"), (maps, "MAPS_TO_ATTRIBUTE", "VERIFIED")]
+    every = None
+    for df, kind, sure in kinds:
+        one = df.select(F.col("source").cast("string"), F.col("target").cast("string"), F.lit(kind).alias("type"), "evidence", F.lit(sure).alias("classification"))
+        every = one if every is None else every.unionByName(one)
+    return every.where("source is not null and target is not null").distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracequarry.operators import graph
 from tracequarry.operators import requirements as rq
 from tracequarry.plans.registry import query, table
 
@@ -147,3 +148,42 @@ def branch_evidence(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("p_size") > 25, "IF").otherwise("ELSE").alias("type")
     branches = part.select(F.col("p_brand").alias("class_name"), F.col("p_type").alias("method"), kind, F.concat(F.lit("size > "), "p_size").alias("condition"), F.split("p_name", " ").alias("attributes"))
     return rq.branch_evidence(branches, part.where("p_size = 10").select(F.upper(F.split("p_name", " ")[0]).alias("attribute")))
+
+
+@query(
+    """with e as (select distinct 'P' || l_partkey as source, 'S' || l_suppkey as target, l_returnflag as type from lineitem where l_quantity > 45), s as (select 'P' || p_partkey as id from part where p_size = 50 union select 'S' || s_suppkey from supplier where s_acctbal < 0),
+    n as (select * from e where type in ('A', 'R') and (source in (select id from s) or target in (select id from s))), p as (select distinct 'N' || s_nationkey as p from supplier where 'S' || s_suppkey in (select target from n))
+    select * from n union select 'N' || a.n_nationkey, 'N' || b.n_nationkey, 'DEPENDS_ON' from nation a join nation b on b.n_regionkey = a.n_regionkey and b.n_nationkey > a.n_nationkey where 'N' || a.n_nationkey in (select p from p) and 'N' || b.n_nationkey in (select p from p)"""
+)
+def focused_subgraph(spark: SparkSession, d: str) -> DataFrame:
+    name = lambda mark, c: F.concat(F.lit(mark), F.col(c))
+    supplier, nation = table(spark, d, "supplier"), table(spark, d, "nation")
+    uses = table(spark, d, "lineitem").where("l_quantity > 45").select(name("P", "l_partkey").alias("source"), name("S", "l_suppkey").alias("target"), F.col("l_returnflag").alias("type"))
+    near = nation.select(F.col("n_nationkey").alias("k"), "n_regionkey").join(nation, "n_regionkey").where("n_nationkey > k").select(name("N", "k").alias("source"), name("N", "n_nationkey").alias("target"), F.lit("DEPENDS_ON").alias("type"))
+    seeds = table(spark, d, "part").where("p_size = 50").select(name("P", "p_partkey").alias("id")).unionByName(supplier.where("s_acctbal < 0").select(name("S", "s_suppkey").alias("id")))
+    nodes = supplier.select(name("S", "s_suppkey").alias("id"), name("N", "s_nationkey").alias("project"))
+    return graph.focused(nodes, uses.unionByName(near), seeds, ["A", "R"])
+
+
+@query(
+    """with recursive n as (select p_partkey as id, case when p_partkey >= 40 then p_partkey // 2 end as parent, p_size as pos, p_brand as symbol from part where p_size > 5), c as (select distinct p_brand as symbol from part where p_size > 40 and p_type = 'PROMO' and p_name < 'g'),
+    w as (select id as flow, id, symbol, [symbol] as path, [pos] as places from n where parent is null union all select flow, n.id, n.symbol, list_append(path, n.symbol), list_append(places, pos) from w join n on n.parent = w.id where not list_contains(path, n.symbol)),
+    k as (select flow, symbol, path, min(places) as places from w where symbol in (select symbol from c) group by all)
+    select flow, symbol, array_to_string(path, '>') as path, rank from (select *, row_number() over (partition by flow order by places, path)::int as rank from k) where rank <= 8"""
+)
+def dependency_paths(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    parent = F.when(F.col("p_partkey") >= 40, F.floor(F.col("p_partkey") / 2))
+    calls = part.select(F.col("p_partkey").alias("id"), parent.alias("parent"), F.col("p_size").alias("pos"), F.col("p_brand").alias("symbol"), (F.col("p_size") > 5).alias("verified"))
+    changes = part.where("p_size > 40 and p_type = 'PROMO' and p_name < 'g'").select(F.col("p_brand").alias("symbol"))
+    return graph.dependency_paths(calls, changes).withColumn("path", F.array_join("path", ">"))
+
+
+@query(
+    """select distinct l_orderkey::varchar as source, l_partkey::varchar as target, case l_returnflag when 'R' then 'REFERENCES_JIRA' when 'A' then 'COVERS_JIRA' else 'POSSIBLY_COVERS_JIRA' end as type, l_linestatus as evidence, case l_returnflag when 'N' then 'INFERRED' else 'VERIFIED' end as classification from lineitem
+    union select distinct p_partkey::varchar, p_name, 'MAPS_TO_ATTRIBUTE', 'EXACT_ATTRIBUTE_MATCH', 'VERIFIED' from part"""
+)
+def evidence_edges(spark: SparkSession, d: str) -> DataFrame:
+    links = lambda flag: table(spark, d, "lineitem").where(F.col("l_returnflag") == flag).select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target"), F.col("l_linestatus").alias("evidence"))
+    maps = table(spark, d, "part").select(F.col("p_partkey").alias("source"), F.col("p_name").alias("target"), F.lit("EXACT_ATTRIBUTE_MATCH").alias("evidence"))
+    return graph.evidence_edges(links("R"), links("A"), links("N"), maps)
