@@ -409,12 +409,12 @@ def shared_component(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    """with strong as (select l_partkey as ticket, count(distinct l_orderkey) as n from lineitem where l_returnflag = 'A' group by 1), every as (select l_partkey as ticket, count(distinct l_orderkey) as n from lineitem group by 1)
+    """with strong as (select l_partkey as ticket, count(distinct l_orderkey) as n from lineitem where l_returnflag = 'A' and l_quantity > 48 group by 1), every as (select l_partkey as ticket, count(distinct l_orderkey) as n from lineitem where l_quantity > 48 group by 1)
     select p_partkey as ticket, case when s.n is not null then 'ACCEPTED_LINE' when e.n is not null then 'ANY_LINE' end as covered_by, coalesce(e.n, 0) as n_items, case when e.n is null then 'GAP' else 'VERIFIED' end as classification
     from part left join strong s on p_partkey = s.ticket left join every e on p_partkey = e.ticket"""
 )
 def coverage_explode(spark: SparkSession, d: str) -> DataFrame:
-    links = _t(spark, d, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.collect_set("l_partkey").alias("ticket_list")).withColumnRenamed("l_orderkey", "item")
+    links = _t(spark, d, "lineitem").where("l_quantity > 48").groupBy("l_orderkey", "l_returnflag").agg(F.collect_set("l_partkey").alias("ticket_list")).withColumnRenamed("l_orderkey", "item")
     return evidence.coverage([("ACCEPTED_LINE", links.where("l_returnflag = 'A'")), ("ANY_LINE", links)], _t(spark, d, "part").select(F.col("p_partkey").alias("ticket")))
 
 

@@ -126,14 +126,14 @@ def file_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """with r as (select lower(case when p_retailprice > 1000 then p_brand end) as rc, lower(p_name) as m, max((p_retailprice, p_partkey, case when p_size > 10 then 'PASSED' else 'FAILED' end)) as run from part group by all), m as (select distinct case when p_size > 25 then 'com.x.' || p_brand end as test_class, p_name || '()' as test_method, lower(case when p_size > 25 then p_brand end) as c, lower(p_name) as k from part),
+    """with r as (select lower(case when p_type < 'N' then p_brand end) as rc, lower(p_name) as m, max((p_retailprice, p_partkey, case when p_size > 10 then 'PASSED' else 'FAILED' end)) as run from part group by all), m as (select distinct case when p_size > 25 then 'com.x.' || p_brand end as test_class, p_name || '()' as test_method, lower(case when p_size > 25 then p_brand end) as c, lower(p_name) as k from part),
     b as (select test_class, test_method, max(run) as run from m join r on m.k = r.m and (rc is null or c is null or c = rc) group by all)
     select m.test_class, m.test_method, coalesce(run[3], 'NO_RUNTIME_EVIDENCE') as status from m left join b on b.test_class is not distinct from m.test_class and b.test_method = m.test_method"""
 )
 def runtime_status(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
     methods = part.select(F.when(F.col("p_size") > 25, F.concat(F.lit("com.x."), "p_brand")).alias("test_class"), F.concat("p_name", F.lit("()")).alias("test_method"))
-    reports = part.select(F.when(F.col("p_retailprice") > 1000, F.col("p_brand")).alias("class_name"), F.concat("p_name", F.lit("[1]")).alias("method"), F.when(F.col("p_size") > 10, "PASSED").otherwise("FAILED").alias("status"), F.col("p_retailprice").alias("created"), F.col("p_partkey").alias("report_id"))
+    reports = part.select(F.when(F.col("p_type") < "N", F.col("p_brand")).alias("class_name"), F.concat("p_name", F.lit("[1]")).alias("method"), F.when(F.col("p_size") > 10, "PASSED").otherwise("FAILED").alias("status"), F.col("p_retailprice").alias("created"), F.col("p_partkey").alias("report_id"))
     return linking.runtime_status(methods, reports)
 
 
