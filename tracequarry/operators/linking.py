@@ -25,16 +25,15 @@ def endpoint_matches(scenarios: DataFrame, endpoints: DataFrame, scenario: str =
 def overlapping_tests(tests: DataFrame, scenarios: DataFrame, first: int = 30) -> DataFrame:
     """(scenario, test, n_calls, n_attributes, basis, rank): tests that share a call and an attribute with a scenario, at most `first` for each.
 
-    tests(test, calls, attributes), scenarios(scenario, calls, attributes, entry). basis: DIRECT if the test calls the entry, TRANSITIVE if it
-    shares calls of two or more, else SHARED. Shared items are counted by joins on items, never by pairs of tests and scenarios."""
-    def shared(column: str, name: str) -> DataFrame:
-        a = tests.select("test", F.explode(F.array_distinct(column)).alias("x"))
-        b = scenarios.select("scenario", F.explode(F.array_distinct(column)).alias("x"))
-        return a.join(b, "x").groupBy("scenario", "test").agg(F.count("*").alias(name))
-
-    both = shared("calls", "n_calls").join(shared("attributes", "n_attributes"), ["scenario", "test"])
-    direct = tests.select("test", F.explode(F.array_distinct("calls")).alias("entry")).join(scenarios.select("scenario", "entry"), "entry").select("scenario", "test", F.lit(True).alias("_d")).distinct()
-    out = both.join(direct, ["scenario", "test"], "left")
+    tests(test, calls, attributes), scenarios(scenario, calls, attributes, entry), one row for each. basis: DIRECT if the test calls the entry, TRANSITIVE if it
+    shares calls of two or more, else SHARED. Pairs come from shared calls alone; attributes, of which there may be few in all, are
+    intersected in the rows of these pairs, so that they make no pairs of their own."""
+    named = lambda df, key: df.select(key, F.explode(F.array_distinct("calls")).alias("x"))
+    pairs = named(tests, "test").join(named(scenarios, "scenario"), "x").groupBy("scenario", "test").agg(F.count("*").alias("n_calls"))
+    of_scenario = scenarios.select("scenario", "entry", F.array_compact(F.array_distinct("attributes")).alias("_s"))
+    of_test = tests.select("test", F.col("calls").alias("_c"), F.array_compact(F.array_distinct("attributes")).alias("_t"))
+    out = pairs.join(of_scenario, "scenario").join(of_test, "test").withColumn("n_attributes", F.size(F.array_intersect("_s", "_t")).cast("long")).where("n_attributes > 0")
+    out = out.withColumn("_d", F.coalesce(F.array_contains("_c", F.col("entry")), F.lit(False)))
     basis = F.when(F.col("_d"), "DIRECT").when(F.col("n_calls") >= 2, "TRANSITIVE").otherwise("SHARED")
     order = F.when(F.col("_d"), 0).when(F.col("n_calls") >= 2, 1).otherwise(2)
     rank = F.row_number().over(Window.partitionBy("scenario").orderBy(order, F.desc(F.col("n_calls") + F.col("n_attributes")), "test"))
