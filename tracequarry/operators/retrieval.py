@@ -173,6 +173,33 @@ def exact_score(query: Column, content: Column, tokens: Column, identifiers: Col
     return F.when(F.contains(lower, F.lower(query)), 80).otherwise(0) + by_token + 90 * found
 
 
+def exact_scores(documents: DataFrame, queries: DataFrame, least: int = 7) -> DataFrame:
+    """(query_id, doc_id, score) above 0: 80 for the whole query text, 12 per occurrence of each of its tokens of `least` characters or more, up to 48 each.
+
+    documents(doc_id, text), queries(query_id, text), one row for each id, case aside. A token occurs inside runs of token characters only, so tokens meet the distinct
+    runs of all documents by their first `least` characters, and runs meet documents by equality. The whole text is looked up where all
+    tokens occur; of a query without tokens where its longest inner run stands, which the text must hold as it is. Only queries of less than
+    three short runs go past every document. Null texts meet nothing."""
+    runs = lambda c: F.regexp_extract_all(F.col(c), F.lit("[a-z0-9_./:-]+"), F.lit(0))
+    texts = documents.select("doc_id", F.lower("text").alias("t")).where("t is not null")
+    asked = queries.select("query_id", F.lower("text").alias("q")).where("q is not null").withColumn("rs", runs("q"))
+    asked = asked.withColumn("ts", F.filter("rs", lambda r: F.length(r) >= least))
+    tokens = asked.select("query_id", F.size(F.array_distinct("ts")).alias("n"), F.explode("ts").alias("token")).groupBy("query_id", "n", "token").agg(F.count("*").alias("m"))
+    words = texts.select("doc_id", F.explode(F.filter(runs("t"), lambda r: F.length(r) >= least)).alias("run")).groupBy("doc_id", "run").agg(F.count("*").alias("tf"))
+    grams = F.transform(F.sequence(F.lit(1), F.length("run") - (least - 1)), lambda i: F.substring(F.col("run"), i, F.lit(least)))
+    opened = words.select("run").distinct().select("run", F.explode(F.array_distinct(grams)).alias("g"))
+    times = (F.length("run") - F.length(F.replace(F.col("run"), F.col("token"), F.lit("")))) / F.length("token")
+    held = opened.join(tokens.select("token", F.substring("token", 1, least).alias("g")).distinct(), "g").select("run", "token", times.alias("times")).where("times > 0")
+    found = words.join(held, "run").groupBy("doc_id", "token").agg(F.sum(F.col("tf") * F.col("times")).alias("times")).join(tokens, "token")
+    by_token = found.groupBy("query_id", "doc_id").agg(F.sum(F.col("m") * F.least(12 * F.col("times"), F.lit(48.0))).alias("score"), (F.count("*") == F.max("n")).alias("_all"))
+    inner = asked.where("size(ts) = 0 and size(rs) > 2").withColumn("run", F.array_max(F.transform(F.slice("rs", 2, F.size("rs") - 2), lambda r: F.struct(F.length(r).alias("l"), r.alias("r"))))["r"])
+    inner = texts.select("doc_id", F.explode(F.array_distinct(runs("t"))).alias("run")).join(inner.select("query_id", "run"), "run").select("query_id", "doc_id")
+    maybe = by_token.where("_all").select("query_id", "doc_id").unionByName(inner).join(asked.select("query_id", "q"), "query_id").join(texts, "doc_id").where(F.contains("t", F.col("q")))
+    short = texts.join(asked.where("size(ts) = 0 and size(rs) < 3").select("query_id", "q"), F.contains("t", F.col("q")))
+    whole = maybe.select("query_id", "doc_id", F.lit(80.0).alias("score")).unionByName(short.select("query_id", "doc_id", F.lit(80.0).alias("score")))
+    return by_token.select("query_id", "doc_id", "score").unionByName(whole).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+
+
 def linear_fusion(scores: DataFrame, weights: dict[str, float], floor: float = 0.30, share: float = 0.58, k: int = 10, digits: int = 12) -> DataFrame:
     """Weighted sum of score columns, each divided by its greatest value within the query; kept from max(floor, share * best) on."""
     of_query = Window.partitionBy("query_id")

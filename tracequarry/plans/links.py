@@ -310,12 +310,9 @@ def contract_diff(spark: SparkSession, d: str) -> DataFrame:
     select item_id, doc_id, round(score, 6)::double as score, rank from (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from s where score > 0) where rank <= 10"""
 )
 def exact_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Exact scores of a stated set of queries (the benchmark's items, broadcast) against all documents."""
-    asked = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("q"))
-    asked = asked.withColumn("ts", F.filter(tx.search_tokens(F.col("q")), lambda t: F.length(t) > 6))
-    met = table(spark, d, "documents").where("length(text) > 0").select("doc_id", "text").crossJoin(F.broadcast(asked))
-    scored = met.select("item_id", "doc_id", retrieval.exact_score(F.col("q"), F.col("text"), F.col("ts"), F.array().cast("array<string>")).alias("score")).where("score > 0")
-    return retrieval.top(scored, 10, within="item_id").select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("text"))
+    ranked = retrieval.top(retrieval.exact_scores(table(spark, d, "documents").where("length(text) > 0").select("doc_id", "text"), asked), 10)
+    return ranked.select(F.col("query_id").alias("item_id"), "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(
