@@ -1,11 +1,11 @@
-"""The queries of the ten operators, as their contracts fix them, and SQL where SQL can express them."""
+"""The queries of the thirteen operators, as their contracts fix them, and SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracequarry.llm import attention, chat, fingerprints, lattice, mixing, neardup, packing, quality, repeats, sharding
+from tracequarry.llm import attention, audit, chat, fingerprints, innerproducts, lattice, mixing, neardup, packing, quality, repeats, sharding, spelling
 from tracequarry.llm._store import crc, stored
 
 
@@ -207,6 +207,96 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents").select("doc_id", "text"), least=6, often=5, times=5)
+
+
+# CRC32 by the table of its polynomial; a run's letters are U+0041 to U+007A, one byte each, or U+00C0 to U+00FF, two bytes each
+OP11_SQL = r"""
+with recursive crc_table as (
+  select range as i, list_reduce([range::bigint] || range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v from range(256)),
+crc as (select list(v order by i) as t from crc_table),
+runs as (
+  select coalesce(doc_id::varchar, '') as d, run, count(*) as n
+  from (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) as run from documents)
+  where length(run) >= 6 group by all),
+bytes as (
+  select d, run, n, flatten(list_transform(string_split(d || ':' || run, ''), lambda c: case when unicode(c) < 128 then [unicode(c)] else [195, unicode(c) - 64] end)) as b
+  from runs),
+hashed as (
+  select run, n, xor(list_reduce([4294967295::bigint] || b, lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) as h
+  from bytes, crc),
+words as (
+  select word, sum(n)::bigint as n
+  from (select case when h % 199 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, n from hashed)
+  where length(word) >= 6 group by word having sum(n) >= 5),
+cut as (select word, n, i, left(word, i - 1) || substr(word, i + 1) as rest from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+near as (
+  select distinct * from (
+    select a.word, b.word as other, b.n as other_n from cut a join cut b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+    union all select c.word, w.word, w.n from cut c join words w on c.rest = w.word
+    union all select w.word, c.word, c.n from cut c join words w on c.rest = w.word)),
+best as (select word, count(*)::bigint as n_near, arg_min(other, (-other_n, other)) as other, max(other_n)::bigint as other_n from near group by word),
+formed as (
+  select words.word, n, coalesce(n_near, 0)::bigint as n_near, case when other_n >= 5 * n then other end as form, case when other_n >= 5 * n then other_n end as form_n
+  from words left join best using (word)),
+ways as (select word, word as upto, 0 as steps from formed union all select ways.word, form, steps + 1 from ways join formed on upto = formed.word where form is not null),
+roots as (select word, arg_max(upto, steps) as root from ways group by word)
+select word, form, root, n, n_near, form_n from formed join roots using (word)
+"""
+
+
+def op12_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), innerproducts.quantised(F.col("embedding")).alias("vector"))
+    return innerproducts.top_products(vectors, every=50, k=5)
+
+
+OP12_SQL = """
+with v as (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.r, q.vec_id as query_id, c.vec_id, coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1] * p[2], 0))), 0)::bigint as score
+  from v q join v c on q.r <> c.r where q.vec_id % 50 = 0)
+select query_id, rank, vec_id, score
+from (select *, row_number() over (partition by r order by score desc, vec_id nulls last)::int as rank from scored) where rank <= 5
+"""
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audited(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), _table(spark, sf_dir, "labels"), part="lang")
+
+
+OP13_SQL = r"""
+with marks as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+texts as (select doc_id, coalesce(text, '') as text, coalesce(lang, '') as part from documents),
+read as (
+  select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, coalesce(doc_id > min(doc_id) over (partition by text), false) as is_copy from texts),
+masked as (
+  select part, doc_id,
+         (len(w) < 100)::int + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::int + 4 * (100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text))::int
+         + 8 * regexp_matches(text, '[#$%&*|]')::int + 16 * is_copy::int as m
+  from read),
+cells as (
+  select part, m, count(*) as n, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic from masked left join marks using (doc_id) group by part, m),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as l, unnest([1, 2, 4, 8, 16]) as bit),
+orders as (
+  select a.l || b.l || c.l || d.l || e.l as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+  from letters a, letters b, letters c, letters d, letters e where a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps as (select filter_order, step, bits[step] as bit, list_sum(bits[1:step - 1])::int as before from (select *, unnest(range(1, 6)) as step from orders)),
+laid as (
+  select part, filter_order, step::int as step, bit,
+         sum(case when m & (coalesce(before, 0) | bit) = 0 then n else 0 end)::bigint as kept,
+         sum(case when m & coalesce(before, 0) = 0 and m & bit <> 0 then n else 0 end)::bigint as removed,
+         sum(case when m & coalesce(before, 0) <> 0 and m & bit <> 0 then n else 0 end)::bigint as redundant,
+         sum(case when m = bit then n else 0 end)::bigint as unique_fails,
+         sum(case when m & coalesce(before, 0) = 0 and m & bit <> 0 then good else 0 end)::bigint as good_lost,
+         sum(case when m & coalesce(before, 0) = 0 and m & bit <> 0 then toxic else 0 end)::bigint as toxic_lost
+  from cells, steps group by part, filter_order, step, bit)
+select * exclude (bit), sum(removed) over (partition by part, bit)::bigint as shapley from laid
+"""
+
+
 def queries() -> dict:
     return {
         "op1_sharding": op1_sharding,
@@ -219,8 +309,14 @@ def queries() -> dict:
         "op8_attention": op8_attention,
         "op9_mixing": op9_mixing,
         "op10_fingerprints": op10_fingerprints,
+        "op11_spelling": op11_spelling,
+        "op12_products": op12_products,
+        "op13_audit": op13_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash": OP2_SQL, "op7_repeats": OP7_SQL, "op4_quality": OP4_SQL, "op5_chat": OP5_SQL, "op9_mixing": OP9_SQL}
+    return {
+        "op2_minhash": OP2_SQL, "op7_repeats": OP7_SQL, "op4_quality": OP4_SQL, "op5_chat": OP5_SQL, "op9_mixing": OP9_SQL,
+        "op11_spelling": OP11_SQL, "op12_products": OP12_SQL, "op13_audit": OP13_SQL,
+    }
