@@ -133,8 +133,10 @@ class Bucket:
         for f in np.unique(focus):
             asks = np.flatnonzero((focus == f).any(axis=1))
             middle, reach = unit[asks, f] * cosine[asks], np.sqrt(np.maximum(0, (1 - cosine[asks] ** 2) * (1 - unit[asks, f] ** 2)))
-            values = self.coordinate(int(f))[1]
-            a, b = np.searchsorted(values, middle - reach - 1e-9), np.searchsorted(values, middle + reach + 1e-9, "right")
+            values, own = self.coordinate(int(f))[1], unit[asks, f]
+            # a coordinate beyond the cosine can be met by a vector that lies along it
+            least, most = np.where(own < -cosine[asks], -1.0, middle - reach), np.where(own > cosine[asks], 1.0, middle + reach)
+            a, b = np.searchsorted(values, least - 1e-9), np.searchsorted(values, most + 1e-9, "right")
             better = b - a < high[asks] - low[asks]
             at = asks[better]
             best[at], low[at], high[at] = f, a[better], b[better]
