@@ -5,7 +5,7 @@ is one lower, so their L1 distance is at most two. Words of each length stand in
 tree of its own length (replaced) and that of the next (inserted or deleted), and a branch is left where its box is further away than
 one up and one down. What is left in the leaves is compared by shared letters, and the order of the letters is verified at last.
 
-The upper levels of the trees are split on a bounded sample of words (parameter `sample`, by hash; it decides how even the leaves are and
+The upper levels of the trees are split on a bounded sample of words (about `sample` of them, by hash; it decides how even the leaves are and
 nothing else); their leaves are dealt over the cluster in blocks of bounded bytes, whichever words they hold, and each block
 builds the lower levels for itself. Words go to the blocks of the leaves that their box test reaches, in blocks as well.
 Letters beyond the 63 most frequent of the sample share one count, which keeps distances or lowers them.
@@ -197,8 +197,9 @@ def near_pairs(asking: list[str], words: list[str], letters: Letters) -> Iterato
 def _trees(words: DataFrame, sample: int) -> tuple[Letters, dict[int, Tree], dict[int, int]]:
     """Letters, the upper tree of each length, and how many words there are of each length."""
     sizes = {r[0]: r[1] for r in words.groupBy("length").count().collect()}  # one for each length
-    some = [r[0] for r in words.orderBy(F.xxhash64("word"), "word").select("word").limit(sample).collect()]
-    letters, every = Letters(some), max(1, sum(sizes.values()))
+    every = max(1, sum(sizes.values()))
+    some = sorted(r[0] for r in words.where(F.pmod(F.xxhash64("word"), F.lit(-(-every // sample))) == 0).select("word").collect())  # about `sample` at most
+    letters = Letters(some)
     each = max(LEAF, -(-every // LEAVES))
     trees = {}
     for length in sizes:
