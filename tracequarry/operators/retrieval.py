@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tracequarry.functions import text as tx
 from tracequarry.store import scratch, stored
 
 
@@ -173,31 +174,50 @@ def exact_score(query: Column, content: Column, tokens: Column, identifiers: Col
     return F.when(F.contains(lower, F.lower(query)), 80).otherwise(0) + by_token + 90 * found
 
 
-def exact_scores(documents: DataFrame, queries: DataFrame, least: int = 7) -> DataFrame:
-    """(query_id, doc_id, score) above 0: 80 for the whole query text, 12 per occurrence of each of its tokens of `least` characters or more, up to 48 each.
-
-    documents(doc_id, text), queries(query_id, text), one row for each id, case aside. A token occurs inside runs of token characters only, so tokens meet the distinct
-    runs of all documents by their first `least` characters, and runs meet documents by equality. The whole text is looked up where all
-    tokens occur; of a query without tokens where its longest inner run stands, which the text must hold as it is. Only queries of less than
-    three short runs go past every document. Null texts meet nothing."""
-    runs = lambda c: F.regexp_extract_all(F.col(c), F.lit("[a-z0-9_./:-]+"), F.lit(0))
-    texts = documents.select("doc_id", F.lower("text").alias("t")).where("t is not null")
-    asked = queries.select("query_id", F.lower("text").alias("q")).where("q is not null").withColumn("rs", runs("q"))
-    asked = asked.withColumn("ts", F.filter("rs", lambda r: F.length(r) >= least))
-    tokens = asked.select("query_id", F.size(F.array_distinct("ts")).alias("n"), F.explode("ts").alias("token")).groupBy("query_id", "n", "token").agg(F.count("*").alias("m"))
-    words = texts.select("doc_id", F.explode(F.filter(runs("t"), lambda r: F.length(r) >= least)).alias("run")).groupBy("doc_id", "run").agg(F.count("*").alias("tf"))
-    grams = F.transform(F.sequence(F.lit(1), F.length("run") - (least - 1)), lambda i: F.substring(F.col("run"), i, F.lit(least)))
-    opened = words.select("run").distinct().select("run", F.explode(F.array_distinct(grams)).alias("g"))
-    times = (F.length("run") - F.length(F.replace(F.col("run"), F.col("token"), F.lit("")))) / F.length("token")
-    held = opened.join(tokens.select("token", F.substring("token", 1, least).alias("g")).distinct(), "g").select("run", "token", times.alias("times")).where("times > 0")
-    found = words.join(held, "run").groupBy("doc_id", "token").agg(F.sum(F.col("tf") * F.col("times")).alias("times")).join(tokens, "token")
-    by_token = found.groupBy("query_id", "doc_id").agg(F.sum(F.col("m") * F.least(12 * F.col("times"), F.lit(48.0))).alias("score"), (F.count("*") == F.max("n")).alias("_all"))
-    inner = asked.where("size(ts) = 0 and size(rs) > 2").withColumn("run", F.array_max(F.transform(F.slice("rs", 2, F.size("rs") - 2), lambda r: F.struct(F.length(r).alias("l"), r.alias("r"))))["r"])
-    inner = texts.select("doc_id", F.explode(F.array_distinct(runs("t"))).alias("run")).join(inner.select("query_id", "run"), "run").select("query_id", "doc_id")
-    maybe = by_token.where("_all").select("query_id", "doc_id").unionByName(inner).join(asked.select("query_id", "q"), "query_id").join(texts, "doc_id").where(F.contains("t", F.col("q")))
-    short = texts.join(asked.where("size(ts) = 0 and size(rs) < 3").select("query_id", "q"), F.contains("t", F.col("q")))
-    whole = maybe.select("query_id", "doc_id", F.lit(80.0).alias("score")).unionByName(short.select("query_id", "doc_id", F.lit(80.0).alias("score")))
-    return by_token.select("query_id", "doc_id", "score").unionByName(whole).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+def exact_scores(documents: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) above 0: 80 for the whole query text, 12 for each occurrence of each of its distinct tokens up to 48 a token, 90
+    for each identifier of the document that the query names.
+
+    documents(doc_id, text, optionally identifiers array), queries(query_id, text, optionally tokens array of letters, digits and _ . / : -; else all such runs
+    of the text), one row for each id; case aside. Whole texts, and tokens of any length. A token occurs inside maximal runs of its characters only, so tokens meet
+    the distinct runs of all documents by equality with the runs' substrings of the tokens' lengths, and runs meet documents by equality. The whole
+    text is looked up where all its tokens occur; a query without tokens is itself looked up inside runs of other characters. Identifiers (letters and
+    digits compared) meet the queries' substrings of their lengths. Null or empty texts and identifiers meet nothing."""
+    token_runs, other_runs = F.lit("[a-z0-9_./:-]+"), F.lit("[^a-z0-9_./:-]+")
+    runs = lambda c, kind: F.regexp_extract_all(F.col(c), kind, F.lit(0))
+    asked = queries.select("query_id", F.lower("text").alias("q"), *(["tokens"] if "tokens" in queries.columns else [])).where("q <> ''")
+    tokens = F.array_distinct(F.transform("tokens", F.lower)) if "tokens" in queries.columns else F.array_distinct(runs("q", token_runs))
+    parts = F.array_distinct(runs("q", token_runs))
+    asked = asked.select("query_id", "q", F.coalesce(tokens, F.array().cast("array<string>")).alias("ts"), F.when(F.size(parts) > 0, parts).otherwise(F.array("q")).alias("ps"))
+    both = F.transform(F.array_union("ts", "ps"), lambda x: F.struct(x.alias("needle"), F.array_contains("ts", x).alias("scored"), F.array_contains("ps", x).alias("needed")))
+    needles = asked.select("query_id", F.size("ps").alias("n"), F.explode(both).alias("b")).select("query_id", "n", "b.*").where("needle <> ''")
+    texts = documents.select("doc_id", F.lower("text").alias("t")).where("t <> ''")
+    lengths = [r[0] for r in needles.select(F.length("needle")).distinct().collect()]  # no more than the longest has characters
+    odd = not needles.where(~F.col("needle").rlike("[a-z0-9_./:-]")).isEmpty()
+    pieces = F.concat(runs("t", token_runs), runs("t", other_runs)) if odd else runs("t", token_runs)
+    words = texts.select("doc_id", F.explode(pieces).alias("run")).groupBy("doc_id", "run").agg(F.count("*").alias("tf"))
+    held = _parts(words.select("run").distinct(), "run", lengths).join(needles.select(F.col("needle").alias("part")).distinct(), "part")
+    times = (F.length("run") - F.length(F.replace(F.col("run"), F.col("part"), F.lit("")))) / F.length("part")
+    found = words.join(held.select("run", F.col("part").alias("needle"), times.alias("times")), "run").groupBy("doc_id", "needle").agg(F.sum(F.col("tf") * F.col("times")).alias("times"))
+    points = F.when(F.col("scored"), F.least(12 * F.col("times"), F.lit(48.0))).otherwise(0.0)
+    by_token = found.join(needles, "needle").groupBy("query_id", "doc_id").agg(F.sum(points).alias("score"), (F.count_if("needed") == F.max("n")).alias("_all"))
+    maybe = by_token.where("_all").select("query_id", "doc_id").join(asked.select("query_id", "q"), "query_id").join(texts, "doc_id")
+    scores = by_token.select("query_id", "doc_id", "score").unionByName(maybe.where(F.contains("t", F.col("q"))).select("query_id", "doc_id", F.lit(80.0).alias("score")))
+    if "identifiers" in documents.columns:
+        names = documents.select("doc_id", F.explode("identifiers").alias("i")).select("doc_id", tx.compact(F.col("i")).alias("part")).where("part <> ''")
+        each = names.groupBy("doc_id", "part").agg((90.0 * F.count("*")).alias("score"))
+        sizes = [r[0] for r in names.select(F.length("part")).distinct().collect()]
+        said = _parts(asked.select("query_id", tx.compact(F.col("q")).alias("c")), "c", sizes).select("query_id", "part")
+        scores = scores.unionByName(said.join(each, "part").select("query_id", "doc_id", "score"))
+    return scores.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score")).where("score > 0")
+
+
+def _parts(df: DataFrame, column: str, lengths: list[int]) -> DataFrame:
+    """df with `part`, a row for each distinct substring of the column that has one of the lengths."""
+    sizes = F.array(*[F.lit(x) for x in sorted(lengths)]).cast("array<int>")
+    fitting = F.filter(sizes, lambda x: x <= F.length(column))
+    every = F.flatten(F.transform(fitting, lambda x: F.transform(F.sequence(F.lit(1), F.length(column) - x + 1), lambda i: F.substring(F.col(column), i, x))))
+    return df.withColumn("part", F.explode(F.array_distinct(every)))
 
 
 def linear_fusion(scores: DataFrame, weights: dict[str, float], floor: float = 0.30, share: float = 0.58, k: int = 10, digits: int = 12) -> DataFrame:

@@ -305,13 +305,16 @@ def contract_diff(spark: SparkSession, d: str) -> DataFrame:
 # ---- text, scores and graphs that had no query
 
 @query(
-    """with q as (select item_id, lower(left(text, 60)) as q, list_filter(regexp_extract_all(lower(left(text, 60)), '[a-z0-9_./:-]+'), lambda t: length(t) > 6) as ts from benchmark where item_id < 10000000), d as (select doc_id, lower(text) as t from documents where length(text) > 0),
-    s as (select item_id, doc_id, case when contains(t, q) then 80 else 0 end + coalesce(list_sum(list_transform(ts, lambda x: least(12.0 * (length(t) - length(replace(t, x, ''))) / length(x), 48.0))), 0) as score from q, d)
+    r"""with q as (select item_id, lower(text) as q, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_./:-]+')) as ts, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') as c from benchmark where text <> ''),
+    d as (select doc_id, lower(text) as t, [source, regexp_extract(lower(text), '([a-z]{6,} [a-z]+)', 1), regexp_extract(lower(text), '([a-z]{6,} [a-z]+)', 1)] as ids from documents),
+    n as (select doc_id, t, list_filter(list_transform(ids, lambda i: regexp_replace(lower(i), '[^a-z0-9]', '', 'g')), lambda i: i <> '') as ids from d),
+    s as (select item_id, doc_id, case when contains(t, q) then 80 else 0 end + coalesce(list_sum(list_transform(ts, lambda x: least(12.0 * (length(t) - length(replace(t, x, ''))) / length(x), 48.0))), 0) + 90 * len(list_filter(ids, lambda i: contains(c, i))) as score from q, n)
     select item_id, doc_id, round(score, 6)::double as score, rank from (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from s where score > 0) where rank <= 10"""
 )
 def exact_scores(spark: SparkSession, d: str) -> DataFrame:
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("text"))
-    ranked = retrieval.top(retrieval.exact_scores(table(spark, d, "documents").where("length(text) > 0").select("doc_id", "text"), asked), 10)
+    name = F.regexp_extract(F.lower("text"), "([a-z]{6,} [a-z]+)", 1)  # of a document that has no other identifier than its source
+    documents = table(spark, d, "documents").select("doc_id", "text", F.array("source", name, name).alias("identifiers"))
+    ranked = retrieval.top(retrieval.exact_scores(documents, table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")), 10)
     return ranked.select(F.col("query_id").alias("item_id"), "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -341,7 +344,7 @@ _G = """e as (select distinct 'c' || o_custkey as s, 'o' || o_orderkey as t, 'CA
     b as (select am.seed, e.t as node, min(am.depth + 1) as depth from am join e on e.s = am.node and y <> 'CALLS' group by all)
     select seed, node, 'CALLERS' as direction, depth::int as depth from am where depth > 0 union all select seed, node, 'BUSINESS', depth::int from b"""
 )
-def attribute_impact(spark: SparkSession, d: str) -> DataFrame:
+def graph_impact(spark: SparkSession, d: str) -> DataFrame:
     link = lambda df, a, x, b, y, kind: df.select(F.concat(F.lit(a), x).alias("source"), F.concat(F.lit(b), y).alias("target"), F.lit(kind).alias("type"))
     orders, customer = table(spark, d, "orders"), table(spark, d, "customer")
     edges = link(orders, "c", "o_custkey", "o", "o_orderkey", "CALLS").unionByName(link(table(spark, d, "lineitem").where("l_quantity > 49"), "o", "l_orderkey", "p", "l_partkey", "CALLS"))

@@ -14,6 +14,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def query(sql: str | None = None):
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"there is a query {f.__name__} already")
         QUERIES[f.__name__] = f
         if sql:
             SQL[f.__name__] = sql

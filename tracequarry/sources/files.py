@@ -89,12 +89,6 @@ def ticket_feed(spark: SparkSession, path: str, stream: bool = False) -> DataFra
     return raw.select(F.col("key").alias("external_id"), F.col("fields.summary").alias("title"), F.concat_ws("\n", F.coalesce("fields.description", F.lit("")), F.concat(F.lit("Jira metadata: "), meta)).alias("content"), F.col("fields.updated").alias("version_token"))
 
 
-def write_snapshot(current: DataFrame, incoming: DataFrame, key: str, folder_out: str) -> None:
-    """Upsert and delete: rows of incoming win, and rows whose key incoming lacks go. The result is a new snapshot folder."""
-    kept = current.join(incoming.select(key), key, "left_semi").join(incoming.select(key), key, "left_anti")
-    incoming.unionByName(kept, allowMissingColumns=True).write.mode("errorifexists").parquet(folder_out)
-
-
 def write_report(sheets: dict[str, DataFrame], folder_out: str) -> None:
     """One CSV folder with a header for each sheet."""
     for name, df in sheets.items():
