@@ -2,8 +2,9 @@
 
 Every window of `window` words holds a phrase of eight words that is picked by its content (the least hash), so equal windows
 pick equal phrases. The picked phrases of all documents are counted, and those that recur anywhere are confirmed. The confirmed
-phrases are sharded by the chunks of documents that asked for them: each chunk gets the words of its share, compiles them into
-one Aho-Corasick automaton, and streams all its documents through it, which locates every occurrence. Around an occurrence stand
+phrases are sharded by the chunks of documents that asked for them: each chunk gets the words of those that it picked itself, compiles them into
+one Aho-Corasick automaton, and streams its own documents through it, which locates their occurrences there. A document meets no phrase that
+its chunk did not pick; equal windows pick equal phrases, so none that may repeat is missed. Around an occurrence stand
 the windows that may repeat; their counts over all documents then say exactly which do, and the words that they cover go.
 
 Words are runs of bytes other than space and 0x09-0x0D. Phrases are told apart by 21 bits of the hash of each of their words,
@@ -15,7 +16,6 @@ other's windows. Empty table: no rows. Other columns pass through, whatever thei
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 
 import ahocorasick
@@ -147,7 +147,7 @@ def _cut(documents: DataFrame, chunks: DataFrame, window: int, words_only: bool,
         bits[starts] = True
         hashes, often = np.unique(passages.hashes(starts), return_counts=True)
         n = len(hashes)
-        values = np.append(hashes, random.getrandbits(63))  # the chunk's own row counts twice and comes back
+        values = np.append(hashes, chunk)  # the chunk's own row counts twice and comes back; a task that runs again makes the same row
         marks = pa.array([None] * n + [np.packbits(bits).tobytes()], pa.binary())
         return pa.table([pa.array(np.full(n + 1, chunk)), pa.array(values), pa.array(np.append(often >= 2, True)), marks], names)
 
