@@ -188,7 +188,7 @@ X_BLOCK, Y_BLOCK = 128, 512
 
 
 def _met_in_blocks(vertices: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members outside a family's main part and members of other parts; one for each part that a member is linked to.
+    """Links (a, b) between members of a family (a bucket) outside its main part and its members of other parts; one for each part that a member is linked to.
 
     vertices: family, sid, part, asks and answers (on which sides the member stands), out and all (how many ask and answer). A group of rows holds one block of either side, or some small families; no pairs are listed."""
     few = max(1, -(-(vertices.where(f"out <= {X_BLOCK} and all <= {Y_BLOCK}").count()) // 2048))
@@ -255,11 +255,10 @@ def _grouped(chunks: DataFrame, kind: str, shingle: int, percent: int, coordinat
     mixed = by_part.groupBy("key").agg(F.count("*").alias("k"), F.min("part").alias("b")).where("k > 1").select("key", "b")
     grouped = stored(grouped.join(mixed, "key"), "near-mixed")
 
-    # families: groups that mixed buckets tie together
-    ties = grouped.where("part <> b").select(F.col("part").alias("source"), F.col("b").alias("target")).distinct()
-    family = components(ties).select(F.col("node").alias("part"), F.col("component").alias("family"))
-    members_of = grouped.select("sid", "part").distinct()
-    vertices = stored(met(members_of, family, "part", hot_keys(members_of, "part")).select("family", "sid", "part"), "near-families")
+    # a family is a mixed bucket; of buckets with the same members, which several bands of near copies make, one is enough
+    hashed = lambda salt: F.bit_xor(F.xxhash64("sid", F.lit(salt)))
+    same = grouped.groupBy("key").agg(F.count("*").alias("m"), hashed(1).alias("x"), hashed(2).alias("y")).groupBy("m", "x", "y").agg(F.min("key").alias("key"))
+    vertices = stored(grouped.join(same.select("key"), "key", "left_semi").select(F.col("key").alias("family"), "sid", "part"), "near-families")
     sizes = vertices.groupBy("family", "part").agg(F.count("*").alias("m")).groupBy("family").agg(F.max(F.struct("m", "part")).alias("top"), F.sum("m").alias("all"))
     sizes = stored(sizes.select("family", F.col("top.part").alias("main"), "all", (F.col("all") - F.col("top.m")).alias("out")), "near-sizes")
     vertices = met(vertices, sizes, "family", hot_keys(vertices, "family")).withColumn("asks", F.col("part") != F.col("main")).withColumn("answers", F.lit(True))
