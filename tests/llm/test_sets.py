@@ -14,7 +14,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracequarry.llm import attention, fingerprints, lattice, neardup, packing, repeats
+from tracequarry.llm import _chunks, attention, fingerprints, lattice, neardup, packing, repeats
+from tracequarry.llm._store import stored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -363,3 +364,36 @@ def test_classifier_learns_and_scores_all(spark, documents, empty):
 def test_passages_cover_whole_texts():
     x, rows = attention.encoded(pa.array(["a " * 300, None, "", "b"]))
     assert list(np.diff(rows)) == [3, 1, 1, 1] and abs(x[:, :128].sum(axis=1)[[0, 1, 2, 5]] - 1).max() < 1e-5
+
+
+def test_repeats_do_not_depend_on_partitions(spark, documents):
+    """What a task sends is the same whenever and wherever it runs, so a lost executor changes nothing."""
+    chunks = stored(_chunks.chunked(documents), "test-chunks")
+    before, out = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in ("1", "13"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            cut = repeats._cut(documents, chunks.repartition(int(parts), "chunk"), 20, False, True)
+            out.append(sorted(map(str, cut.select("doc_id", "text", "n_words", "n_removed", "removed").collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert out[0] == out[1] and any("n_removed=0" not in r for r in out[0])
+
+
+def test_chained_buckets_are_compared_each_by_itself(spark, monkeypatch):
+    """Sets in a long chain, each of which is like the next by half and like no other, meet their own buckets only."""
+    seen = []
+    real = neardup._met_in_blocks
+
+    def watched(vertices, sets, percent):
+        rows = vertices.groupBy("family", "asks", "answers").count().collect()
+        seen.append(sum(a["count"] * b["count"] for a in rows for b in rows if a["family"] == b["family"] and a["asks"] and b["answers"]))
+        return real(vertices, sets, percent)
+
+    monkeypatch.setattr(neardup, "_met_in_blocks", watched)
+    n, half = 600, 12
+    rows = [(i, " ".join(f"w{i + k}x{j}" for k in range(2) for j in range(half))) for i in range(n)]
+    rows += [(n + i, rows[i][1] + " tail") for i in range(0, n, 50)]
+    got = {r.doc_id: r.component_id for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string"), shingle=1, percent=80).collect()}
+    assert all(got[i] == i for i in range(n)) and all(got[n + i] == i for i in range(0, n, 50))
+    assert sum(seen) < 60 * n  # compared pairs grow with the members of buckets, not with the square of the chain
