@@ -228,8 +228,9 @@ def commit_tickets(commits: DataFrame) -> DataFrame:
 
 
 def data_flow(bodies: DataFrame) -> DataFrame:
-    """path, method, attribute and event of each statement with accessors: TRANSFER if it gets and sets, else READ or WRITE."""
-    statement = bodies.select("path", "method", F.explode(F.split("body", "[;{}]")).alias("s"))
+    """path, method, attribute and event of each statement with accessors: TRANSFER if it gets and sets, else READ or WRITE. Comments and literals are no statements."""
+    code = F.regexp_replace("body", "(?s)" + _BLANK.pattern.replace(r"\Z", r"\z"), " ")
+    statement = bodies.select("path", "method", F.explode(F.split(code, "[;{}]")).alias("s"))
     names = lambda verb: F.transform(F.regexp_extract_all("s", F.lit(rf"\.{verb}([A-Z]\w*)\s*\("), F.lit(1)), lambda n: F.concat(F.lower(F.substring(n, 1, 1)), F.substring(n, 2, 1 << 20)))
     both = statement.select("path", "method", names("(?:get|is)").alias("reads"), names("set").alias("writes"))
     moved = (F.size("reads") > 0) & (F.size("writes") > 0)

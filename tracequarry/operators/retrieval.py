@@ -81,10 +81,11 @@ def _bm25_blocks(corpus: DataFrame, weighed: DataFrame, asked: DataFrame, k1: fl
     avgdl = found[0]["avgdl"] if found else 1.0
     query_kind, doc_kind = asked.schema["query_id"].dataType, corpus.schema["doc_id"].dataType
     ids, vocabulary = pa.array(list(of), to_arrow_type(query_kind)), pa.array(list(number), pa.string())
+    step = max(1, min(512, CELLS // max(1, len(number))))  # so that documents times terms are no more cells than the matrix has
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+            for part in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
                 tokens = part.column("tokens")
                 dl = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0))
                 at = pc.fill_null(pc.index_in(pc.list_flatten(tokens), vocabulary), -1).to_numpy(zero_copy_only=False)

@@ -14,7 +14,7 @@ from tracequarry.plans.registry import table as _t
 from tracequarry.streaming import sync
 
 def queries() -> dict:
-    from tracequarry.plans import hybrid, ingestion, knowledge, lineage, lines, links, releases, requirements, reviews  # noqa: F401
+    from tracequarry.plans import hybrid, ingestion, knowledge, lineage, lines, links, releases, requirements, reviews, sources  # noqa: F401
 
     return dict(QUERIES)
 
