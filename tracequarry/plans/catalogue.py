@@ -224,13 +224,17 @@ def boundary_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    """select n_nationkey as doc_id, 'regionCode' as attribute, array_to_string(list_sort([left(n_name, 2), left(r_name, 2)].list_distinct()), ',') as accepted, left(r_name, 2) as rejected, left(r_name, 2) as contradicted
-    from nation join region on n_regionkey = r_regionkey"""
+    """with c as (select c_custkey, upper(left(c_mktsegment, 2)) as m, upper(left(r_name, 2)) as r, c_custkey % 4 as k from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey)
+    select c_custkey as doc_id, case when c_custkey % 3 = 0 then 'regionCode' else 'unitCode' end as attribute, array_to_string(list_sort([m, r].list_distinct()), ',') as accepted,
+      array_to_string(list_sort((case k when 0 then [r] when 1 then [m, 'ZZ'] when 2 then [r, m] end).list_distinct()), ',') as rejected, array_to_string(list_sort((case k when 0 then [r] when 1 then [m] when 2 then [r, m] end).list_distinct()), ',') as contradicted from c where k < 3"""
 )
 def value_rule_conflict(spark: SparkSession, d: str) -> DataFrame:
-    joined = _t(spark, d, "nation").join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    codes = [F.upper(F.substring(c, 1, 2)) for c in ("n_name", "r_name")]
-    texts = joined.select(F.col("n_nationkey").alias("doc_id"), F.concat(F.lit("For regionCode accept "), codes[0], F.lit(", "), codes[1], F.lit(". It shall reject "), codes[1], F.lit(".")).alias("text"))
+    joined = _t(spark, d, "customer").join(_t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    m, r = (F.upper(F.substring(c, 1, 2)) for c in ("c_mktsegment", "r_name"))
+    k = F.col("c_custkey") % 4
+    rejected = F.when(k == 0, r).when(k == 1, F.concat(m, F.lit(", ZZ"))).when(k == 2, F.concat(r, F.lit(" and "), m)).otherwise("ZZ")
+    name = F.when(F.col("c_custkey") % 3 == 0, "regionCode").otherwise("unitCode")
+    texts = joined.select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("For "), name, F.lit(" accept "), m, F.lit(", "), r, F.lit(". It shall reject "), rejected, F.lit(".")).alias("text"))
     out = evidence.rule_conflicts(evidence.value_rules(texts))
     return out.select("doc_id", "attribute", *[F.array_join(c, ",").alias(c) for c in ("accepted", "rejected", "contradicted")])
 
@@ -286,12 +290,13 @@ def quality_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    """with e as (select doc_id // 2 as path, sha256(text) as h from documents where doc_id % 2 = 0), o as (select doc_id // 2 as path, sha256(text) as h from documents where doc_id % 2 = 1)
+    """with d as (select doc_id, doc_id // 2 as path, sha256(case when doc_id // 2 % 3 = 0 then lang else text end) as h from documents), e as (select * from d where doc_id % 2 = 0 and doc_id % 14 > 0), o as (select * from d where doc_id % 2 = 1 and doc_id % 11 > 0)
     select cast(path as varchar) as path, case when e.h is null then 'ADDED' when o.h is null then 'REMOVED' when e.h <> o.h then 'MODIFIED' else 'UNCHANGED' end as change from e full join o using (path)"""
 )
 def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
-    docs = _t(spark, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 2).cast("string").alias("path"), F.col("text").alias("content"))
-    return versions.snapshot_diff(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"))
+    path = F.floor(F.col("doc_id") / 2)
+    docs = _t(spark, d, "documents").select("doc_id", path.cast("string").alias("path"), F.when(path % 3 == 0, F.col("lang")).otherwise(F.col("text")).alias("content"))
+    return versions.snapshot_diff(docs.where("doc_id % 2 = 0 and doc_id % 14 > 0"), docs.where("doc_id % 2 = 1 and doc_id % 11 > 0"))
 
 
 @_query("select source, lang, 1 as version from documents group by source, lang")
@@ -322,10 +327,10 @@ def risk_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    """select lower(trim(text)) as case_key, count(*) as n_rows, count(distinct role) > 1 as conflict, count(distinct conv_id) as n_sources from conversations group by 1"""
+    """select split_part(lower(trim(text)), ' ', 1) as case_key, count(*) as n_rows, count(distinct role) > 1 as conflict, count(distinct conv_id) as n_sources from conversations group by 1"""
 )
 def dedup_consolidate(spark: SparkSession, d: str) -> DataFrame:
-    out = versions.consolidate(_t(spark, d, "conversations"), F.lower(F.trim("text")), F.struct("conv_id", "turn"), ["role"], "conv_id")
+    out = versions.consolidate(_t(spark, d, "conversations"), F.split(F.lower(F.trim("text")), " ")[0], F.struct("conv_id", "turn"), ["role"], "conv_id")
     return out.select("case_key", "n_rows", "conflict", F.size("sources").cast("long").alias("n_sources"))
 
 
@@ -337,11 +342,11 @@ def json_leaf_flatten(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    """with o as (select o_orderkey, o_orderstatus as a, o_orderpriority as b, lag(o_orderstatus) over w as pa, lag(o_orderpriority) over w as pb from orders window w as (partition by o_custkey order by o_orderkey))
-    select o_orderkey, 'status' as path, 'CHANGED' as change from o where pa is not null and pa <> a union all select o_orderkey, 'order.priority', 'CHANGED' from o where pb is not null and pb <> b"""
+    """with o as (select o_orderkey, nullif(o_orderstatus, 'P') as a, o_orderpriority as b, nullif(lag(o_orderstatus) over w, 'P') as pa, lag(o_orderpriority) over w as pb from orders window w as (partition by o_custkey order by o_orderkey))
+    select o_orderkey, 'status' as path, case when pa is null then 'ADDED' when a is null then 'REMOVED' else 'CHANGED' end as change from o where pb is not null and pa is distinct from a union all select o_orderkey, 'order.priority', 'CHANGED' from o where pb is not null and pb <> b"""
 )
 def json_leaf_diff(spark: SparkSession, d: str) -> DataFrame:
-    body = F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.struct(F.col("o_orderpriority").alias("priority")).alias("order")))
+    body = F.to_json(F.struct(F.nullif("o_orderstatus", F.lit("P")).alias("status"), F.struct(F.col("o_orderpriority").alias("priority")).alias("order")))
     pairs = _t(spark, d, "orders").withColumn("new", body).withColumn("old", F.lag("new").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).where("old is not null")
     return trees.leaf_diff(pairs.select("o_orderkey", "old", "new"), "o_orderkey", "old", "new").select("o_orderkey", "path", "change")
 
@@ -357,9 +362,9 @@ def json_structural_compare(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- joins, evidence
 
-@_query("select c_custkey, o.n is not null as found from customer left join (select o_custkey, count(*) as n from orders group by 1) o on c_custkey = o_custkey")
+@_query("select c_custkey, o.n is not null as found from customer left join (select o_custkey, count(*) as n from orders where o_orderkey % 10 = 0 group by 1) o on c_custkey = o_custkey")
 def semi_anti_validate(spark: SparkSession, d: str) -> DataFrame:
-    customers, orders = _t(spark, d, "customer").select("c_custkey"), _t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    customers, orders = _t(spark, d, "customer").select("c_custkey"), _t(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("c_custkey"))
     gone = evidence.without(customers, orders, ["c_custkey"]).withColumn("found", F.lit(False))
     return customers.join(orders, "c_custkey", "left_semi").withColumn("found", F.lit(True)).unionByName(gone)
 
@@ -400,11 +405,11 @@ def impact_classify(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(
     """select l_partkey, count(distinct n_regionkey) as n_regions, count(distinct o_custkey) as n_customers, count(distinct n_regionkey) >= 2 as shared
-    from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1"""
+    from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where l_quantity = 50 group by 1"""
 )
 def shared_component(spark: SparkSession, d: str) -> DataFrame:
     o = _t(spark, d, "orders").join(_t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(_t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    uses = _t(spark, d, "lineitem").select("l_partkey", "l_orderkey").join(o.select("o_orderkey", "o_custkey", "n_regionkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    uses = _t(spark, d, "lineitem").where("l_quantity = 50").select("l_partkey", "l_orderkey").join(o.select("o_orderkey", "o_custkey", "n_regionkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return evidence.reverse_rollup(uses, "l_partkey", {"n_regions": "n_regionkey", "n_customers": "o_custkey"})
 
 

@@ -94,13 +94,13 @@ def trusted_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """with t as (select distinct item_id as ticket, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) as attribute from benchmark), tk as (select ticket, attribute, regexp_replace(lower(attribute), '[^a-z0-9]', '', 'g') as k from t where length(attribute) >= 10),
-    l as (select doc_id as path, string_split(text, chr(10)) as ls from documents), n as (select path, unnest(range(1, len(ls) + 1)) as line, ls from l), w as (select distinct path, line, ls[line] as text, unnest(regexp_extract_all(ls[line], '[A-Za-z_][A-Za-z0-9_]*')) as word from n),
+    l as (select doc_id as path, list_transform(string_split(text, chr(10)), lambda x, i: case when i % 3 = 1 then '// ' || x else x end) as ls from documents), n as (select path, unnest(range(1, len(ls) + 1)) as line, ls from l), w as (select distinct path, line, ls[line] as text, unnest(regexp_extract_all(ls[line], '[A-Za-z_][A-Za-z0-9_]*')) as word from n),
     m as (select ticket, path, line, attribute, max(round(least(0.9, 0.65 + case when regexp_matches(word, '^(get|set|is)[A-Z]') then 0.15 else 0 end + case when not regexp_matches(trim(text), '^(//|\\*|/\\*)') then 0.1 else 0 end), 2)) as score
       from w join tk on regexp_replace(lower(case when regexp_matches(word, '^(get|set|is)[A-Z]') then regexp_replace(word, '^(get|set|is)', '') else word end), '[^a-z0-9]', '', 'g') = k group by all)
     select ticket, path, line, attribute, score::double as score, rank from (select *, row_number() over (partition by ticket order by score desc, path, line, attribute)::int as rank from m) where rank <= 40"""
 )
 def attribute_lines(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.posexplode(F.split("text", "\n")).alias("at", "text")).select("path", (F.col("at") + 1).alias("line"), "text")
+    lines = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.posexplode(F.split("text", "\n")).alias("at", "text")).select("path", (F.col("at") + 1).alias("line"), F.when(F.col("at") % 3 == 0, F.concat(F.lit("// "), "text")).otherwise(F.col("text")).alias("text"))
     named = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))))
     tickets = table(spark, d, "benchmark").select(F.col("item_id").alias("ticket"), named.alias("attribute")).where("length(attribute) >= 10")
     return linking.attribute_lines(lines, tickets)
@@ -220,12 +220,12 @@ def domain_inference(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with a as (select distinct w as attribute from ({_WORDS('benchmark', 'item_id', 9)}) where length(w) >= 9), b as (select doc_id as body_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) as attribute from documents), c as (select attribute, body_id, count(*) as n from b join a using (attribute) group by all)
+    f"""with a as (select distinct w as attribute from ({_WORDS('benchmark', 'item_id', 5)}) where length(w) >= 5), b as (select doc_id as body_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) as attribute from documents), c as (select attribute, body_id, count(*) as n from b join a using (attribute) group by all)
     select attribute, body_id, n, rank from (select *, row_number() over (partition by attribute order by n desc, body_id)::int as rank from c) where rank <= 120"""
 )
 def mention_counts(spark: SparkSession, d: str) -> DataFrame:
     bodies = table(spark, d, "documents").select(F.col("doc_id").alias("body_id"), F.col("text").alias("body"))
-    return linking.mention_counts(bodies, _words(spark, d, "benchmark", "item_id", 9).select(F.col("w").alias("attribute")))
+    return linking.mention_counts(bodies, _words(spark, d, "benchmark", "item_id", 5).select(F.col("w").alias("attribute")))
 
 
 @query(
@@ -319,13 +319,13 @@ def exact_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """with s as (select p_partkey as doc_id, lower(p_name) as lhs, '<' as op, p_size::double as t from part where p_size < 20), c as (select lower(p_name) as lhs, case when p_size % 2 = 0 then '<' else '<=' end as op, p_size::double as t from part where p_size > 48)
+    """with s as (select p_partkey as doc_id, lower(p_name) as lhs, case when p_size % 3 = 0 then '<=' else '<' end as op, (p_size + 30)::double as t from part where p_size < 20), c as (select lower(p_name) as lhs, case when p_size % 2 = 0 then '<' else '<=' end as op, p_size::double as t from part where p_size > 48)
     select distinct s.doc_id, s.lhs, s.op as stated_op, s.t as stated_threshold, c.op as code_op, c.t as code_threshold from s join c using (lhs) where s.op <> c.op or s.t <> c.t"""
 )
 def threshold_mismatch(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("lhs"), F.col("p_size").cast("double").alias("threshold"), "p_size")
     even = F.when(F.col("p_size") % 2 == 0, "<").otherwise("<=")
-    return evidence.threshold_mismatches(part.where("p_size < 20").withColumn("op", F.lit("<")), part.where("p_size > 48").withColumn("op", even))
+    return evidence.threshold_mismatches(part.where("p_size < 20").withColumns({"op": F.when(F.col("p_size") % 3 == 0, "<=").otherwise("<"), "threshold": F.col("threshold") + 30}), part.where("p_size > 48").withColumn("op", even))
 
 
 @query(

@@ -131,10 +131,10 @@ def release_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """with p as (select distinct l_suppkey, l_orderkey, l_linenumber from lineitem) select l_suppkey, md5(string_agg(l_orderkey || '/' || l_linenumber, ',' order by l_orderkey, l_linenumber)) as evidence, count(distinct l_orderkey) as n_tickets, count(distinct l_linenumber) as n_tests from p group by 1"""
+    """with p as (select distinct l_suppkey, l_orderkey, l_linenumber from lineitem where l_quantity = 50 and l_tax = 0.08) select l_suppkey, md5(string_agg(l_orderkey || '/' || l_linenumber, ',' order by l_orderkey, l_linenumber)) as evidence, count(distinct l_orderkey) as n_tickets, count(distinct l_linenumber) as n_tests from p group by 1"""
 )
 def endpoint_evidence(spark: SparkSession, d: str) -> DataFrame:
-    out = releases.endpoint_evidence(table(spark, d, "lineitem"), "l_suppkey", "l_orderkey", "l_linenumber")
+    out = releases.endpoint_evidence(table(spark, d, "lineitem").where("l_quantity = 50 and l_tax = 0.08"), "l_suppkey", "l_orderkey", "l_linenumber")
     told = F.array_join(F.transform("evidence", lambda e: F.concat_ws("/", e["l_orderkey"], e["l_linenumber"])), ",")
     return out.select("l_suppkey", F.md5(told.cast("binary")).alias("evidence"), "n_tickets", "n_tests")
 
@@ -149,12 +149,12 @@ def report_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """with t as (select l_partkey, year(l_shipdate) >= 1996 as side, list_sort(list_distinct(list(l_linenumber))) as a, list_sort(list_distinct(list(l_suppkey))) as b, list_sort(list_distinct(list(l_returnflag))) as c from lineitem group by all),
+    """with t as (select l_partkey, year(l_shipdate) >= 1996 as side, list_sort(list_distinct(list(l_linenumber % 2))) as a, list_sort(list_distinct(list(l_suppkey % 2))) as b, list_sort(list_distinct(list(l_returnflag))) as c from lineitem where l_quantity > 35 group by all),
     o as (select * from t where not side), n as (select * from t where side), b as (select coalesce(o.l_partkey, n.l_partkey) as l_partkey, o.a is distinct from n.a as tests_changed, o.b is distinct from n.b as tickets_changed, o.c is distinct from n.c as statuses_changed from o full join n on o.l_partkey = n.l_partkey)
     select *, tests_changed or tickets_changed or statuses_changed as changed from b"""
 )
 def test_summary_changes(spark: SparkSession, d: str) -> DataFrame:
-    tests = table(spark, d, "lineitem").select("l_partkey", F.col("l_linenumber").alias("test_id"), F.col("l_suppkey").alias("ticket"), F.col("l_returnflag").alias("status"), "l_shipdate")
+    tests = table(spark, d, "lineitem").where("l_quantity > 35").select("l_partkey", (F.col("l_linenumber") % 2).alias("test_id"), (F.col("l_suppkey") % 2).alias("ticket"), F.col("l_returnflag").alias("status"), "l_shipdate")
     return releases.test_summary_changes(tests, "l_partkey", F.year("l_shipdate") >= 1996).drop("old", "new")
 
 
@@ -175,21 +175,21 @@ def lifecycle_closure(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """with c as (select o_custkey, o_orderpriority as i, max(o_orderstatus) filter (where year(o_orderdate) < 1996) as a, max(o_orderstatus) filter (where year(o_orderdate) >= 1996) as b from orders group by all),
-    y as (select o_custkey, month(o_orderdate)::varchar as i, max(o_orderpriority) filter (where year(o_orderdate) < 1996) as a, max(o_orderpriority) filter (where year(o_orderdate) >= 1996) as b from orders group by all),
+    """with oo as (select * from orders where o_orderkey % 4 = 0), c as (select o_custkey, (o_orderkey % 8)::varchar as i, max(o_orderstatus) filter (where year(o_orderdate) < 1996) as a, max(o_orderstatus) filter (where year(o_orderdate) >= 1996) as b from oo group by all),
+    y as (select o_custkey, 'f' as i, max(left(o_orderpriority, 1)) filter (where year(o_orderdate) < 1996) as a, max(left(o_orderpriority, 1)) filter (where year(o_orderdate) >= 1996) as b from oo group by all),
     e as (select 'methods' as part, * from c union all select 'files', * from y)
     select o_custkey, """
     + ", ".join(f"count(*) filter (where part = '{p}' and {t}) as {p}_{n}" for p in ("methods", "files") for n, t in (("added", "a is null and b is not null"), ("removed", "a is not null and b is null"), ("changed", "a <> b")))
     + ", bool_or(a is distinct from b) as changed from e group by 1"
 )
 def baseline_pair_compare(spark: SparkSession, d: str) -> DataFrame:
-    orders = table(spark, d, "orders")
+    orders = table(spark, d, "orders").where("o_orderkey % 4 = 0")
     late = F.year("o_orderdate") >= 1996
 
     def part(item, value) -> DataFrame:
         return orders.groupBy("o_custkey", item.alias("item")).agg(F.max(F.when(~late, value)).alias("old"), F.max(F.when(late, value)).alias("new"))
 
-    parts = {"methods": part(F.col("o_orderpriority"), F.col("o_orderstatus")), "files": part(F.month("o_orderdate").cast("string"), F.col("o_orderpriority"))}
+    parts = {"methods": part((F.col("o_orderkey") % 8).cast("string"), F.col("o_orderstatus")), "files": part(F.lit("f"), F.substring("o_orderpriority", 1, 1))}
     return releases.pair_compare(parts, ["o_custkey"])
 
 
@@ -206,10 +206,11 @@ def relevant_files(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """with a as (select o_custkey, '[' || string_agg('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}', ',' order by o_orderkey, o_orderstatus) || ']' as archive from orders group by 1)
-    select o_custkey, sha256(archive) as archive_sha256, true as intact from a"""
+    select o_custkey, sha256(archive) as archive_sha256, o_custkey % 7 > 0 as intact from a"""
 )
 def archive_verified(spark: SparkSession, d: str) -> DataFrame:
-    out = releases.verified(releases.archived(table(spark, d, "orders"), ["o_custkey"], ["o_orderkey", "o_orderstatus"]))
+    archive = releases.archived(table(spark, d, "orders"), ["o_custkey"], ["o_orderkey", "o_orderstatus"])
+    out = releases.verified(archive.withColumn("archive", F.when(F.col("o_custkey") % 7 == 0, F.replace("archive", F.lit("]"), F.lit(",{}]"))).otherwise(F.col("archive"))))  # some were changed since
     return out.select("o_custkey", "archive_sha256", "intact")
 
 
@@ -288,13 +289,13 @@ def substring_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """with k as (select 'JSON: $.' || p_brand as path, lower('$.' || p_brand) as k from (select distinct p_brand from part where p_size < 40)), m as (select lower('$.' || p_brand) as k, p_type as target from part where p_size > 10)
+    """with k as (select 'JSON: $.' || p_brand as path, lower('$.' || p_brand) as k from (select distinct p_brand from part where p_size < 40)), m as (select lower('$.' || p_brand) as k, p_type as target from part where p_size = 50)
     select path, md5(coalesce(array_to_string(list_sort(list_distinct(list(target) filter (where target is not null))), ','), '')) as targets, count(target) as n_rows, case when count(target) > 0 then 'FOUND' else 'NO_MATCH' end as status from k left join m using (k) group by path"""
 )
 def source_path_lookup(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
     asked = part.where("p_size < 40").select(F.concat(F.lit("JSON: $."), "p_brand").alias("path"))
-    rows = part.where("p_size > 10").select(F.concat(F.lit("jsonpath:$."), "p_brand").alias("path"), F.col("p_type").alias("target"))
+    rows = part.where("p_size = 50").select(F.concat(F.lit("jsonpath:$."), "p_brand").alias("path"), F.col("p_type").alias("target"))
     return mappings.by_source_path(asked, rows, "path", "target").withColumn("targets", F.md5(F.array_join("targets", ",").cast("binary")))
 
 
