@@ -155,3 +155,24 @@ def likely_divergence(spark: SparkSession, d: str) -> DataFrame:
     actual = F.when(key % 6 == 0, None).when(key % 2 == 0, "5").otherwise("8")
     defects = table(spark, d, "customer").select(key.alias("defect"), F.lit("sum").alias("attribute"), F.when(key % 5 > 0, "7").alias("expected"), actual.alias("actual"), F.when(key % 11 > 0, "7").alias("input"))
     return lineage.likely_divergence(lineage.divergence_ranking(_events(spark, d), first=None), defects).drop("attribute")
+
+
+@query(
+    """with o as (select o_orderkey as k, o_custkey as c, ['Requirement', 'MAPPING', 'JIRA', null][o_orderkey % 4 + 1] as y from orders),
+    e as (select k, y, unnest([('jira_ids', 1, 'TK-' || c), ('jira_ids', 2, 'ORD-' || k), ('attributes', 1, 'total' || c), ('attributes', 2, 'status'), ('attributes', 3, case when y in ('Requirement', 'JIRA') then 'extra' || k end), ('scenarios', 1, 'S_' || c % 9), ('endpoints', 1, case when y is distinct from 'MAPPING' then '/o/' || k end),
+      ('endpoints', 2, case when y is distinct from 'MAPPING' then '/c/' || c end), ('http_methods', 1, 'POST'), ('classes', 1, 'Order' || k % 5), ('classes', 2, case when y in ('Requirement', 'JIRA') then 'Customer' end), ('classes', case when y in ('Requirement', 'JIRA') then 3 else 2 end, 'OrderService'), ('methods', 1, 'find' || k % 7), ('release_names', 1, 'September 2026'),
+      ('release_names', 2, 'R' || c % 3), ('tests', 1, 'T' || k), ('tests', 2, 'OrderTest'), ('commits', 1, lpad(k::varchar, 8, 'a')), ('files', 1, 'src/O' || k || '.java'), ('files', 2, 'pom.xml')]) as e from o)
+    select k as doc_id, e[1] as kind, e[2]::int as rank, e[3] as entity from e where e[3] is not null"""
+)
+def entity_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """A text for each order that names all kinds of entities, some twice, some only in prose and some out of scope."""
+    from tracequarry.operators import entities
+
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    parts = [
+        "JIRA: TK-", c, " and ORD-", k, " and TK-", c, ". Attribute: total", c, ", `status`, TOTAL", c, "; Scenario: S_", c % 9, ".\nEndpoint: /c/", c, "\npost /o/", k, ", post /c/", c, "\nClass: Order", k % 5, ".\nfind", k % 7, "() by the OrderService and x.find", k % 7,
+        "( ).\nRelease: R", c % 3, ". It came in september 2026\nTest: T", k, ". See OrderTest; commit ", F.lpad(k.cast("string"), 8, "a"), "\nFiles: src/O", k, ".java, pom.xml\nAdd a new Customer attribute named extra", k, ".\nOut of scope\nsecret belongs to the Vault.\n",
+    ]
+    kind = F.get(F.array(*[F.lit(x) for x in ("Requirement", "MAPPING", "JIRA")]), k % 4)
+    text = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    return entities.extracted(table(spark, d, "orders").select(k.alias("doc_id"), kind.alias("source_type"), text.alias("text")))
