@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracequarry.store import scratch, stored
+
 
 def signature(json: Column) -> Column:
     """A digest that does not depend on the order of keys."""
@@ -48,7 +50,7 @@ def _opened(level: DataFrame, keep: list[str]) -> DataFrame:
 def nodes(payloads: DataFrame, key: str, json: str, depth: int | None = None) -> DataFrame:
     """(key, path, kind, value, opened) of every node of every tree; path is like a.b[0].c and the root's is empty.
 
-    One level is opened in each round, so a round moves no rows between tasks; text that is not JSON has no nodes. Without
+    One level is opened in each round, which reads the level above from a table and moves no rows between tasks; text that is not JSON has no nodes. Without
     `depth`, one pass over the payloads finds how deep they are and every level is opened; with it, containers at that depth
     stay unopened, with their JSON text as value.
     """
@@ -57,11 +59,13 @@ def nodes(payloads: DataFrame, key: str, json: str, depth: int | None = None) ->
         depth = payloads.agg(F.max(depths(F.col(json)))).first()[0] or 0
     container = F.col("kind").isin("list", "dict")
     out = None
-    for d in range(depth + 1):
-        own = level.select(key, "path", "kind", F.to_json("v").alias("value"), (container if d < depth else F.lit(False)).alias("opened"))
-        out = own if out is None else out.unionByName(own)
-        if d < depth:
-            level = _opened(level, [key])
+    with scratch(payloads.sparkSession):
+        for d in range(depth + 1):
+            level = stored(level, "json-level", keep=True)  # so that no tree is read again for the levels below
+            own = level.select(key, "path", "kind", F.to_json("v").alias("value"), (container if d < depth else F.lit(False)).alias("opened"))
+            out = own if out is None else out.unionByName(own)
+            if d < depth:
+                level = _opened(level, [key])
     return out
 
 
@@ -104,9 +108,12 @@ def leaf_diff(pairs: DataFrame, key: str, old: str, new: str, depth: int | None
 
 def compare(pairs: DataFrame, key: str, expected: str, actual: str, depth: int | None = None) -> DataFrame:
     """(key, path, issue): missing and unexpected nodes at their topmost path, differing types, values and list lengths; containers left unopened at `depth` compare like values."""
-    a = nodes(pairs, key, expected, depth).select(key, "path", F.col("kind").alias("k1"), F.col("value").alias("v1"), F.col("opened").alias("o1"))
-    b = nodes(pairs, key, actual, depth).select(key, "path", F.col("kind").alias("k2"), F.col("value").alias("v2"), F.col("opened").alias("o2"))
-    both = a.join(b, [key, "path"], "full_outer")
+    side = lambda c, name: pairs.select(F.struct(F.col(key), F.lit(name).alias("side")).alias("_of"), F.col(c).alias("_json"))
+    each = nodes(side(expected, "e").unionByName(side(actual, "a")).where("_json is not null"), "_of", "_json", depth)
+    pick = lambda name, c: F.max(F.when(F.col("_of.side") == name, F.struct(c)))[c]
+    sides = [pick(name, c).alias(c[0] + n) for name, n in (("e", "1"), ("a", "2")) for c in ("kind", "value", "opened")]
+    with scratch(pairs.sparkSession):
+        both = stored(each.groupBy(F.col(f"_of.{key}").alias(key), "path").agg(*sides), "json-both", keep=True)
     up = F.regexp_replace("path", r"(\.[^.\[\]]*|\[\d+\]|^[^.\[\]]+)$", "")
     both = both.withColumn("above", F.when(F.col("path") != "", up))
     there = both.select(F.col(key).alias("_k"), F.col("path").alias("_p"), F.col("k1").isNotNull().alias("in1"), F.col("k2").isNotNull().alias("in2"))

@@ -351,7 +351,16 @@ def json_leaf_diff(spark: SparkSession, d: str) -> DataFrame:
     return trees.leaf_diff(pairs.select("o_orderkey", "old", "new"), "o_orderkey", "old", "new").select("o_orderkey", "path", "change")
 
 
-@_query()
+@_query(
+    """with t as (select conv_id, turn, role, text, lag(role) over w as r0, lag(text) over w as t0, lag(1) over w as has from conversations window w as (partition by conv_id order by turn)),
+    p as (select conv_id || '/' || turn as pair_id, r0, role as r1, length(t0) as c0, length(text) as c1, string_split(t0, ' ') as w0, string_split(text, ' ') as w1 from t where has is not null),
+    w as (select pair_id, i, w0[i] as a, w1[i] as b from (select *, unnest(range(1, greatest(len(w0), len(w1)) + 1)) as i from p where w0 is not null and w1 is not null)),
+    n as (select pair_id, 'role' as path, to_json(r0)::varchar as e, to_json(r1)::varchar as a from p where r0 is distinct from r1 union all select pair_id, 'said.chars', c0::varchar, c1::varchar from p where c0 is distinct from c1
+      union all select pair_id, 'said.words', to_json(w0)::varchar, to_json(w1)::varchar from p where (w0 is null) <> (w1 is null) union all select pair_id, 'said.words[' || (i - 1) || ']', to_json(a)::varchar, to_json(b)::varchar from w where a is distinct from b),
+    m as (select pair_id, path, nullif(e, 'null') as expected, nullif(a, 'null') as actual from n)
+    select pair_id, path, case when actual is null then 'MISSING_IN_ACTUAL' when expected is null then 'UNEXPECTED_IN_ACTUAL' else 'VALUE_MISMATCH' end as issue, expected, actual from m
+    union all select pair_id, 'said.words', 'LIST_LENGTH_MISMATCH', to_json(w0)::varchar, to_json(w1)::varchar from p where len(w0) <> len(w1)"""
+)
 def json_structural_compare(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     body = F.to_json(F.struct("role", F.struct(F.length("text").alias("chars"), F.split("text", " ").alias("words")).alias("said")))
