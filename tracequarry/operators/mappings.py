@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracequarry.operators.retrieval import exact_scores
 from tracequarry.functions.text import compact, source_key
 
 
@@ -57,13 +58,24 @@ def owners_by_prefix(items: DataFrame, owners: DataFrame, item: str, path: str,
     return met.withColumn("_r", best).where("_r = 1").select(*items.columns, F.col("_o").alias(owner), F.col("_p").alias("matched_prefix"))
 
 
+#: Characters of all queries up to which they are broadcast.
+BROADCAST = 1 << 16
+
+
 def substring_search(rows: DataFrame, queries: DataFrame, columns: list[str], key: str, limit: int = 50) -> DataFrame:
     """(query_id, key, rank) of rows that hold a query's text in any of the columns, whatever the case; the first `limit` (1 to 250) by key.
 
-    queries(query_id, query), a stated set, is broadcast: rows are read once, whatever the number of queries. Empty queries find nothing."""
+    queries(query_id, query), rows and queries with an id of their own each. Queries of up to BROADCAST characters in all are sent to every task, and rows are read once;
+    more of them meet rows through an index of runs (see retrieval.exact_scores). Empty queries find nothing."""
     limit = max(1, min(250, limit))
-    text = F.lower(F.concat_ws("\x01", *columns))
-    met = rows.select(key, text.alias("_t")).join(F.broadcast(queries.where("trim(query) <> ''")), F.contains("_t", F.lower(F.trim("query"))))
+    texts = rows.select(F.col(key).alias("doc_id"), F.lower(F.concat_ws("\x01", *columns)).alias("text"))
+    asked = queries.select("query_id", F.lower(F.trim("query")).alias("text")).where("text <> ''")
+    size = asked.agg(F.sum(F.length("text"))).first()[0] or 0
+    if size <= BROADCAST:
+        found = texts.join(F.broadcast(asked.withColumnRenamed("text", "_q")), F.contains("text", F.col("_q"))).select("query_id", "doc_id")
+    else:
+        found = exact_scores(texts, asked.withColumn("tokens", F.array().cast("array<string>"))).select("query_id", "doc_id")
+    met = found.withColumnRenamed("doc_id", key)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(key))
     return met.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", key, "rank")
 
