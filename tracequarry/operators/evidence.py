@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tracequarry.store import scratch, stored
 
 
 def classify_impact(items: DataFrame, direct: DataFrame, possible: DataFrame, key: str) -> DataFrame:
@@ -46,14 +49,43 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], ts: str = "ts", ot
     """left with the columns of the last right row of its keys before or at its time; of right rows with one time the greatest counts.
 
     One sort of both sides, no join of pairs. Left columns keep their names whatever they are; right columns of a name that left has are
-    an error, as in a join. The last right row is found in the sort of its keys, so one key's rows are ordered by one task.
+    an error, as in a join. Rows of a key with more than MANY are dealt into ranges of time of about equal size, if their times are numbers, dates or
+    timestamps; each range is sorted by itself and takes the last right row of the ranges before from a table of one row for each range. Nulls in keys
+    or times meet nothing.
     """
     added = [c for c in right.columns if c not in keys]
+    ks = [f"k{i}" for i in range(len(keys))]
     a = left.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)], F.col(ts).alias("t"), F.lit(1).alias("side"), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("row"))
     b = right.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)], F.col(other_ts).alias("t"), F.lit(0).alias("side"), F.struct(*[F.col(f"`{c}`") for c in added]).alias("seen"))
+    b = b.where(F.col("t").isNotNull() & F.concat(*[F.col(k).cast("string") for k in ks]).isNotNull()) if ks else b.where("t is not null")
     both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(*[f"k{i}" for i in range(len(keys))]).orderBy("t", "side", "seen").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("last", F.last("seen", ignorenulls=True).over(w)).where("side = 1")
+    kind = both.schema["t"].dataType
+    if not ks or not isinstance(kind, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return _last_seen(both, ks, added)
+    number = (F.col("t") if isinstance(kind, (T.NumericType, T.TimestampType)) else F.col("t").cast("timestamp")).cast("double")
+    with scratch(left.sparkSession):
+        large = stored(both.groupBy(*ks).agg(F.count("*").alias("n")).where(F.col("n") > MANY).select(*ks), "large-keys")
+        if large.isEmpty():
+            return _last_seen(both, ks, added)
+        bounds = both.join(large, ks, "left_semi").groupBy(*ks).agg(F.percentile_approx(number, [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("_b"))
+        large = stored(bounds, "large-keys", keep=True)
+    placed = both.join(large, ks, "left").withColumn("_at", F.coalesce(F.size(F.filter("_b", lambda x: x < number)), F.lit(0))).drop("_b")
+    ends = placed.where("side = 0").join(large.select(*ks), ks, "left_semi").groupBy(*ks, "_at").agg(F.max(F.struct("t", "seen"))["seen"].alias("end"))
+    every = large.select(*ks, F.explode(F.sequence(F.lit(0), F.lit(RANGES - 1))).alias("_at")).join(ends, [*ks, "_at"], "left")
+    before = Window.partitionBy(*ks).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.withColumn("carried", F.last("end", ignorenulls=True).over(before)).select(*ks, "_at", "carried")
+    return _last_seen(placed.join(carried, [*ks, "_at"], "left"), [*ks, "_at"], added, carried=True)
+
+
+#: Rows of a key from which on its time is dealt into so many ranges.
+MANY, RANGES = 1 << 20, 256
+
+
+def _last_seen(both: DataFrame, by: list[str], added: list[str], carried: bool = False) -> DataFrame:
+    """The rows of side 1 with the last `seen` of side 0 before or at their time, or what is carried into their range."""
+    w = Window.partitionBy(*by).orderBy("t", "side", "seen").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last("seen", ignorenulls=True).over(w)
+    out = both.withColumn("last", F.coalesce(last, "carried") if carried else last).where("side = 1")
     return out.select("row.*", *[F.col(f"last.`{c}`").alias(c) for c in added])
 
 
