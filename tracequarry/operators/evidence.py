@@ -144,6 +144,41 @@ def value_rules(texts: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "attribute").agg(every("a").alias("accepted"), every("r").alias("rejected")).where("size(accepted) + size(rejected) > 0")
 
 
+#: Verbs that accept or reject, words between a verb and its values, and words that are no values.
+_ACCEPTS, _REJECTS = "accept|allow|permit|support", "reject|deny|disallow"
+_INSTRUCTION = (
+    rf"(?i)\b((?:continue\s+(?:to\s+)?(?:{_ACCEPTS}|{_REJECTS})|(?:{_ACCEPTS}|{_REJECTS})(?:ing|ed)?|excluding|exclude))"
+    r"\s+(?:only\s+|the\s+values?\s+|values?\s+|codes?\s+|for\s+)?([A-Z]{2,}(?:\s*(?:,|and|or)\s*[A-Z]{2,})*)"
+)
+_NO_VALUES = ("ONLY", "VALUES", "VALUE", "CODE", "CODES", "THE", "FOR", "AND", "OR")
+
+
+def value_instructions(documents: DataFrame, attributes: DataFrame) -> DataFrame:
+    """(doc_id, attribute, polarity, value, pos): values that a document's clauses ACCEPT or REJECT for an attribute, each once a clause.
+
+    documents(doc_id, text), attributes(doc_id, attribute) that count in a document. Clauses end at . ; or a line. A clause speaks of the attributes that it names as whole words, case
+    aside, or, if it names none, of those that the last clause before it named. Values are words of two letters or more after a verb, between commas, and, or; in capitals."""
+    clause = documents.select("doc_id", F.posexplode(F.split("text", r"[.;\n]+")).alias("pos", "clause")).where("trim(clause) <> ''")
+    words = clause.select("doc_id", "pos", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("clause"), F.lit(r"(?U)\w+"), F.lit(0)))).alias("_w"))
+    asked = attributes.select("doc_id", "attribute", F.lower("attribute").alias("_w")).where("_w <> ''").distinct()
+    named = words.join(asked, ["doc_id", "_w"]).groupBy("doc_id", "pos").agg(F.collect_set("attribute").alias("_named"))
+    upto = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    spoken = clause.join(named, ["doc_id", "pos"], "left").withColumn("_of", F.last("_named", ignorenulls=True).over(upto)).where("_of is not null")
+    told = F.transform(F.regexp_extract_all("clause", F.lit(_INSTRUCTION), F.lit(0)), lambda x: F.struct(F.regexp_extract(x, _INSTRUCTION, 1).alias("verb"), F.regexp_extract(x, _INSTRUCTION, 2).alias("values")))
+    each = spoken.select("doc_id", "pos", "_of", F.explode(told).alias("i")).select("doc_id", "pos", F.explode("_of").alias("attribute"), "i")
+    polarity = F.when(F.col("i.verb").rlike("(?i)reject|deny|disallow|exclud"), "REJECT").otherwise("ACCEPT")
+    values = each.select("doc_id", "attribute", polarity.alias("polarity"), F.explode(F.split(F.upper("i.values"), r"\s*(?:,|\bAND\b|\bOR\b)\s*")).alias("value"), "pos")
+    return values.where(~F.col("value").isin(*_NO_VALUES) & (F.col("value") != "")).distinct()
+
+
+def instruction_conflicts(instructions: DataFrame) -> DataFrame:
+    """(doc_id, attribute, values, accepting, rejecting): values of value_instructions that are both accepted and rejected, sorted, with the clauses that say so."""
+    clauses = lambda p: F.array_sort(F.collect_set(F.when(F.col("polarity") == p, F.col("pos"))))
+    each = instructions.groupBy("doc_id", "attribute", "value").agg(clauses("ACCEPT").alias("a"), clauses("REJECT").alias("r")).where("size(a) > 0 and size(r) > 0")
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    return each.groupBy("doc_id", "attribute").agg(F.array_sort(F.collect_list("value")).alias("values"), every("a").alias("accepting"), every("r").alias("rejecting"))
+
+
 def rule_conflicts(rules: DataFrame) -> DataFrame:
     """Rules that both accept and reject a value."""
     return rules.withColumn("contradicted", F.array_intersect("accepted", "rejected")).where("size(contradicted) > 0")

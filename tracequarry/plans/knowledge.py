@@ -176,3 +176,24 @@ def entity_kinds(spark: SparkSession, d: str) -> DataFrame:
     kind = F.get(F.array(*[F.lit(x) for x in ("Requirement", "MAPPING", "JIRA")]), k % 4)
     text = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     return entities.extracted(table(spark, d, "orders").select(k.alias("doc_id"), kind.alias("source_type"), text.alias("text")))
+
+
+@query(
+    """with c as (select c_custkey as k, upper(left(c_mktsegment, 4)) as a, 'R' || chr(65 + c_nationkey) as b, c_custkey % 6 as m from customer),
+    i as (select k, unnest([('region', 'ACCEPT', a, 0), ('region', 'ACCEPT', b, 0), ('region', 'REJECT', case when m < 3 then b else 'ZZ' end, 1), ('segment', case when m % 2 = 0 then 'ACCEPT' else 'REJECT' end, a, 2), ('segment', 'REJECT', case when m % 3 = 0 then a else 'NONE' end, 3), ('region', 'REJECT', case when m = 5 then a end, 4)]) as i from c),
+    x as (select distinct k, i[1] as attribute, i[2] as polarity, i[3] as value, i[4] as pos from i where i[3] is not null),
+    v as (select k, attribute, value, list_sort(list(pos) filter (polarity = 'ACCEPT')) as a, list_sort(list(pos) filter (polarity = 'REJECT')) as r from x group by all having bool_or(polarity = 'ACCEPT') and bool_or(polarity = 'REJECT'))
+    select k as doc_id, attribute, array_to_string(list_sort(list(value)), ',') as values_, array_to_string(list_sort(list_distinct(flatten(list(a)))), ',') as accepting, array_to_string(list_sort(list_distinct(flatten(list(r)))), ',') as rejecting from v group by all"""
+)
+def instruction_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """Five clauses for each customer, some of which contradict an earlier one, name another attribute or go on with the last."""
+    from tracequarry.operators import evidence
+
+    k = F.col("c_custkey")
+    a, b, m = F.upper(F.substring("c_mktsegment", 1, 4)), F.concat(F.lit("r"), F.char(F.lit(97) + F.col("c_nationkey"))), k % 6
+    parts = ["The Region shall accept only ", a, " and ", b, ". Continue to reject ", F.when(m < 3, b).otherwise("zz"), "; the segment: ", F.when(m % 2 == 0, "supporting values ").otherwise("disallow "), a, "\nexcluding ", F.when(m % 3 == 0, a).otherwise("none"), F.when(m == 5, F.concat(F.lit(". region deny "), a)).otherwise("")]
+    text = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    customer = table(spark, d, "customer")
+    attributes = customer.select(k.alias("doc_id"), F.explode(F.array(F.lit("region"), F.lit("segment"), F.lit("other"))).alias("attribute"))
+    out = evidence.instruction_conflicts(evidence.value_instructions(customer.select(k.alias("doc_id"), text.alias("text")), attributes))
+    return out.select("doc_id", "attribute", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(n) for c, n in (("values", "values_"), ("accepting", "accepting"), ("rejecting", "rejecting"))])

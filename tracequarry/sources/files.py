@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,6 +84,54 @@ def openapi_operations(specs: DataFrame) -> DataFrame:
     return rows.select("spec", "path", "method", F.array_sort(F.array_distinct(F.regexp_extract_all("body", F.lit(r'"\$ref":"#/components/schemas/(\w+)"'), F.lit(1)))).alias("refs"))
 
 
+def schema_refs(value: object) -> list[str]:
+    """Names of the local schemas that a parsed OpenAPI value refers to, each once, in the order of the text; read with a stack."""
+    out, todo = {}, [value]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, dict):
+            ref = node.get("$ref")
+            if isinstance(ref, str) and ref.startswith("#/components/schemas/") and ref.rsplit("/", 1)[-1]:
+                out[ref.rsplit("/", 1)[-1]] = True
+        if isinstance(node, (dict, list)):
+            todo += list(node.values() if isinstance(node, dict) else node)[::-1]
+    return list(out)
+
+
+def openapi_schemas(specs: DataFrame) -> DataFrame:
+    """(spec, kind, path, method, name, type) of OpenAPI JSON texts (spec, text): REQUEST and RESPONSE schemas of each operation, found by a walk over its
+    body and responses, and each PROPERTY (name, type) of each schema (path). A reference inside other text is none. Texts that are no JSON objects have no rows."""
+
+    def rows(text: str | None) -> list[tuple]:
+        try:
+            spec = json.loads(text or "")
+        except (ValueError, RecursionError):
+            return []
+        out = []
+        part = lambda node, name: node.get(name) if isinstance(node, dict) and isinstance(node.get(name), dict) else {}
+        for path, methods in part(spec, "paths").items():
+            for method, operation in (methods if isinstance(methods, dict) else {}).items():
+                if method in ("get", "post", "put", "patch", "delete") and isinstance(operation, dict):
+                    out += [(kind, path, method, n, None) for kind, at in (("REQUEST", "requestBody"), ("RESPONSE", "responses")) for n in schema_refs(operation.get(at))]
+        for name, schema in part(part(spec, "components"), "schemas").items():
+            for field, kind in part(schema, "properties").items():
+                told = kind.get("type") if isinstance(kind, dict) else None
+                out.append(("PROPERTY", name, None, field, told if isinstance(told, str) else next(iter(schema_refs(kind)), None)))
+        return out
+
+    names = ["kind", "path", "method", "name", "type"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [rows(t) for t in batch.column("text").to_pylist()]
+            owner = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
+            flat = list(zip(*[r for f in found for r in f], strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column("spec").take(owner), *[pa.array(c, pa.string()) for c in flat]], ["spec", *names])
+
+    kind = specs.schema["spec"].dataType.simpleString()
+    return specs.select("spec", "text").mapInArrow(run, f"spec {kind}, " + ", ".join(f"{n} string" for n in names))
+
+
 def ticket_feed(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """Landed issue JSON lines as flat rows with their metadata appended to the requirement."""
     fields = "struct<summary:string,description:string,status:string,updated:timestamp>"
