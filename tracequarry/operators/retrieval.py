@@ -37,19 +37,19 @@ def bm25(corpus: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75
     idf = ln((N - df + 0.5) / (df + 0.5)); negative ones become a quarter of the mean idf over all terms. repeat_terms: a
     token counts as often as the query has it. Only terms of queries are scored, but df, N and the mean cover the corpus.
 
-    A document's distinct terms are counted in a map-side combine for df, which is stored once; then a batch of queries of checked
+    A document's distinct terms are counted in a map-side combine for df, which is stored once, sizes and the mean are three numbers; then a batch of queries of checked
     size meets blocks of documents as matrices, and a larger one by joins on terms.
     """
     spark = corpus.sparkSession
     with scratch(spark):
         df = stored(corpus.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "bm25-df", keep=True)
-    sizes = corpus.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avgdl"))
-    raw = df.crossJoin(F.broadcast(sizes)).withColumn("raw", F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # one row of sizes
-    mean = raw.agg(F.avg("raw").alias("mean_idf"))
+    n_docs, avgdl = corpus.agg(F.count("*"), F.avg(F.size("tokens"))).first()
+    raw = df.withColumn("raw", F.ln((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    mean = raw.agg(F.avg("raw")).first()[0]
     asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     terms = asked.select("term").distinct()
-    idf = raw.join(terms, "term").crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("raw") < 0, 0.25 * F.col("mean_idf")).otherwise(F.col("raw")))  # one row of mean
-    weighed = idf.select("term", "idf", "avgdl")
+    idf = F.when(F.col("raw") < 0, 0.25 * F.lit(mean)).otherwise(F.col("raw"))
+    weighed = raw.join(terms, "term").select("term", idf.alias("idf"), F.lit(avgdl).cast("double").alias("avgdl"))
     n_terms, n_queries = terms.count(), queries.count()
     if n_terms * max(1, n_queries) <= CELLS:
         return _bm25_blocks(corpus, weighed, asked, k1, b, repeat_terms, k)
