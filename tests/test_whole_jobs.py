@@ -21,3 +21,7 @@ def run(spark, name):
 
 def test_semi_anti_validate(spark):
     assert run(spark, "semi_anti_validate").where("found").count() == given(spark, "orders").select("o_custkey").distinct().count()
+
+
+def test_shared_component(spark):
+    assert run(spark, "shared_component").count() == given(spark, "lineitem").select("l_partkey").distinct().count()
