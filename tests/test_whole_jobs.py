@@ -25,3 +25,9 @@ def test_semi_anti_validate(spark):
 
 def test_shared_component(spark):
     assert run(spark, "shared_component").count() == given(spark, "lineitem").select("l_partkey").distinct().count()
+
+
+def test_endpoint_evidence(spark):
+    lines = given(spark, "lineitem")
+    found = {r["l_suppkey"]: r["n_tickets"] for r in run(spark, "endpoint_evidence").collect()}
+    assert found == {r["l_suppkey"]: r["n"] for r in lines.groupBy("l_suppkey").agg(F.countDistinct("l_orderkey").alias("n")).collect()}
