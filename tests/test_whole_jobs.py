@@ -31,3 +31,7 @@ def test_endpoint_evidence(spark):
     lines = given(spark, "lineitem")
     found = {r["l_suppkey"]: r["n_tickets"] for r in run(spark, "endpoint_evidence").collect()}
     assert found == {r["l_suppkey"]: r["n"] for r in lines.groupBy("l_suppkey").agg(F.countDistinct("l_orderkey").alias("n")).collect()}
+
+
+def test_baseline_pair_compare(spark):
+    assert run(spark, "baseline_pair_compare").count() == given(spark, "orders").select("o_custkey").distinct().count()
