@@ -35,3 +35,9 @@ def test_endpoint_evidence(spark):
 
 def test_baseline_pair_compare(spark):
     assert run(spark, "baseline_pair_compare").count() == given(spark, "orders").select("o_custkey").distinct().count()
+
+
+def test_source_path_lookup(spark):
+    part = given(spark, "part")
+    asked = part.where("p_size < 40").select("p_brand").distinct()
+    assert run(spark, "source_path_lookup").agg(F.sum("n_rows")).first()[0] == part.where("p_size > 10").join(asked, "p_brand", "left_semi").count()
