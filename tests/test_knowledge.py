@@ -159,3 +159,11 @@ def test_ranking_and_the_likely_place(spark):
         1: ("NULL_OVERWRITE", "HIGH", "m", 9), 2: ("MISSING_MAPPING", "HIGH", "m", 4), 3: ("VALUE_OVERWRITTEN", "HIGH", "m", 8), 4: ("MISSING_MAPPING", "MEDIUM", None, None), 5: ("MAPPING_REVIEW_REQUIRED", "MEDIUM", "m", 3),
         6: ("NO_DETERMINISTIC_DIVERGENCE_FOUND", "LOW", None, None), 7: ("INPUT_MISSING_OR_NULL", "HIGH", None, None),
     }
+
+
+def test_a_write_without_a_line_comes_after_all_others(spark):
+    ev = lambda d, c, line, code: (d, "sum", c, "m", line, 1, code, None, False)
+    events = spark.createDataFrame([ev(1, "C", 4, "x.setSum(r.sum());"), ev(1, "C", None, "x.setSum(5);"), ev(2, "C", None, "x.setSum(r.sum());"), ev(2, "C", None, "x.setSum(5);"), ev(3, "C", 4, "x.setSum(r.sum());"), ev(3, "C", 6, "x.setSum(5);"), ev(3, "C", None, "y.setSum(5);")], EVENTS)
+    defects = spark.createDataFrame([(i, "sum", "7", "5", "7") for i in (1, 2, 3)], "defect int, attribute string, expected string, actual string, input string")
+    got = {r.defect: (r.classification, r.class_name, r.line) for r in lineage.likely_divergence(lineage.divergence_ranking(events, first=None), defects).collect()}
+    assert got == {1: ("VALUE_OVERWRITTEN", "C", None), 2: ("MAPPING_REVIEW_REQUIRED", "C", None), 3: ("VALUE_OVERWRITTEN", "C", 6)}

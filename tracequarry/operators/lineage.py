@@ -280,19 +280,19 @@ def likely_divergence(ranking: DataFrame, defects: DataFrame) -> DataFrame:
 
     ranking: all rows of divergence_ranking (first=None), defects(defect, attribute, expected, actual, input). In this order: no input value; the first risk of the ranking; no
     mapping at all where a value is missing (HIGH, at a commented-out write, if there is one); a literal equal to the actual value that is written after
-    another write of the same method; the strongest mapping; nothing. Accessors of plain models are no mappings."""
+    another write of the same method (a line that is not known, null, is after all others); the strongest mapping; nothing. Accessors of plain models are no mappings."""
     a = F.col("attribute")
     writes = _matches(F.col("code"), r"\.set", a, r"\s*\(|\b", a, r"\s*=")
     accessor = F.lower("method").isin(F.lower(F.concat(F.lit("get"), a)), F.lower(F.concat(F.lit("set"), a)), F.lower(F.concat(F.lit("is"), a)))
     declared = F.col("code").rlike("public |private |protected ") & _matches(F.col("code"), r"\b(?:get|set|is)", a, r"\s*\(")
     rows = ranking.withColumns({"_w": writes, "_map": F.col("usage").isin("MAPPING", "ASSIGNMENT") & ~F.coalesce(accessor | declared, F.lit(False))})
     at = F.struct("rank", "usage", "class_name", "method", "line")
-    earlier = F.max(F.when(F.col("_w"), F.col("line"))).over(Window.partitionBy("defect", "attribute", "class_name", "method").orderBy("line").rangeBetween(Window.unboundedPreceding, -1))
+    earlier = F.max(F.when(F.col("_w"), F.col("line"))).over(Window.partitionBy("defect", "attribute", "class_name", "method").orderBy(F.asc_nulls_last("line")).rangeBetween(Window.unboundedPreceding, -1))
     literal = F.coalesce(F.regexp_extract(F.regexp_substr("code", _pattern(r"\.set", a, r"\s*\(\s*" + _LITERAL + r"\s*\)")), r"(?i)^\.set\w*\s*\(\s*" + _LITERAL, 1), F.regexp_extract(F.regexp_substr("code", _pattern(r"\b", a, r"\s*=\s*" + _LITERAL + r"\s*;")), r"(?i)^\w+\s*=\s*" + _LITERAL, 1))
     value = F.when(literal.rlike("(?i)^(null|true|false)$"), F.lower(literal)).when(literal.rlike("^[\"']"), F.regexp_replace(F.substring(literal, 2, F.length(literal) - 2), r"\\(.)", "$1")).otherwise(literal)
     mapped = rows.where("_map").withColumns({"_e": earlier, "_v": value})
     over = mapped.where(F.col("_e").isNotNull() & F.col("_v").isNotNull()).join(defects.select("defect", "attribute", F.coalesce("actual", F.lit("null")).alias("_a")), ["defect", "attribute"]).where("_v = _a")
-    place = F.struct("class_name", "method", "line", "rank", "usage")
+    place = F.struct("class_name", "method", F.col("line").isNull().alias("_last"), "line", "rank", "usage")
     overs = over.groupBy("defect", "attribute").agg(F.min(place).alias("over"))
     best = rows.groupBy("defect", "attribute").agg(
         F.min(F.when(F.col("usage").isin(*RISKS), at)).alias("risk"), F.min(F.when(F.col("_map"), at)).alias("mapping"), F.min(F.when((F.col("usage") == "COMMENTED_OUT") & F.col("_w"), at)).alias("comment")
