@@ -33,3 +33,8 @@ def test_words_of_sources_are_not_broadcast(spark):
     names = spark.createDataFrame([("name1",), ("name1",), ("code",)], "attribute string")
     found = corpus.occurrences(sources._corpus(spark, DATA), names)
     assert "BuildLeft" not in plan(found)
+
+
+def test_clauses_are_not_broadcast(spark):
+    documents, attributes = spark.createDataFrame([(1, "Region: accept AB.")], "doc_id int, text string"), spark.createDataFrame([(1, "region")], "doc_id int, attribute string")
+    assert "BroadcastHashJoin" not in plan(evidence.value_instructions(documents, attributes))

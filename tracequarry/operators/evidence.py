@@ -161,9 +161,10 @@ def value_instructions(documents: DataFrame, attributes: DataFrame) -> DataFrame
     clause = documents.select("doc_id", F.posexplode(F.split("text", r"[.;\n]+")).alias("pos", "clause")).where("trim(clause) <> ''")
     words = clause.select("doc_id", "pos", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("clause"), F.lit(r"(?U)\w+"), F.lit(0)))).alias("_w"))
     asked = attributes.select("doc_id", "attribute", F.lower("attribute").alias("_w")).where("_w <> ''").distinct()
-    named = words.join(asked, ["doc_id", "_w"]).groupBy("doc_id", "pos").agg(F.collect_set("attribute").alias("_named"))
+    # Spark takes exploded words for as small as the rows that they come from, and would broadcast them
+    named = words.hint("merge").join(asked, ["doc_id", "_w"]).groupBy("doc_id", "pos").agg(F.collect_set("attribute").alias("_named"))
     upto = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    spoken = clause.join(named, ["doc_id", "pos"], "left").withColumn("_of", F.last("_named", ignorenulls=True).over(upto)).where("_of is not null")
+    spoken = clause.hint("merge").join(named, ["doc_id", "pos"], "left").withColumn("_of", F.last("_named", ignorenulls=True).over(upto)).where("_of is not null")
     told = F.transform(F.regexp_extract_all("clause", F.lit(_INSTRUCTION), F.lit(0)), lambda x: F.struct(F.regexp_extract(x, _INSTRUCTION, 1).alias("verb"), F.regexp_extract(x, _INSTRUCTION, 2).alias("values")))
     each = spoken.select("doc_id", "pos", "_of", F.explode(told).alias("i")).select("doc_id", "pos", F.explode("_of").alias("attribute"), "i")
     polarity = F.when(F.col("i.verb").rlike("(?i)reject|deny|disallow|exclud"), "REJECT").otherwise("ACCEPT")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracequarry.operators import knowledge, lineage
 from tracequarry.plans.registry import query, table
+from tracequarry.store import spread
 
 _HISTORY, _CHANGE, _RELEASE, _DOMAINS, _GENERIC = ("with", "hein"), ("whou",), ("hein",), ("reer", "thre", "itin"), ("the", "and", "of", "with", "that", "hein", "whou", "reer", "thre", "itin")
 
@@ -193,7 +194,7 @@ def instruction_conflicts(spark: SparkSession, d: str) -> DataFrame:
     a, b, m = F.upper(F.substring("c_mktsegment", 1, 4)), F.concat(F.lit("r"), F.char(F.lit(97) + F.col("c_nationkey"))), k % 6
     parts = ["The Region shall accept only ", a, " and ", b, ". Continue to reject ", F.when(m < 3, b).otherwise("zz"), "; the segment: ", F.when(m % 2 == 0, "supporting values ").otherwise("disallow "), a, "\nexcluding ", F.when(m % 3 == 0, a).otherwise("none"), F.when(m == 5, F.concat(F.lit(". region deny "), a)).otherwise("")]
     text = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    customer = table(spark, d, "customer")
+    customer = spread(table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey"), "c_custkey")
     attributes = customer.select(k.alias("doc_id"), F.explode(F.array(F.lit("region"), F.lit("segment"), F.lit("other"))).alias("attribute"))
     out = evidence.instruction_conflicts(evidence.value_instructions(customer.select(k.alias("doc_id"), text.alias("text")), attributes))
     return out.select("doc_id", "attribute", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(n) for c, n in (("values", "values_"), ("accepting", "accepting"), ("rejecting", "rejecting"))])
