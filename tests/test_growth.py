@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracequarry import store
-from tracequarry.operators import corpus, evidence
+from tracequarry.operators import corpus, evidence, mappings
 from tracequarry.plans import sources
 
 DATA = "/root/testdata/sf0.001"
@@ -38,3 +38,11 @@ def test_words_of_sources_are_not_broadcast(spark):
 def test_clauses_are_not_broadcast(spark):
     documents, attributes = spark.createDataFrame([(1, "Region: accept AB.")], "doc_id int, text string"), spark.createDataFrame([(1, "region")], "doc_id int, attribute string")
     assert "BroadcastHashJoin" not in plan(evidence.value_instructions(documents, attributes))
+
+
+def test_graph_attributes_are_counted_as_they_are_listed(spark):
+    asked = [(1, "Name", None), (2, "name", "A"), (3, "name", "a"), (3, "NAME", None), (4, "name", "a"), (4, "name", "b"), (5, "none", None), (6, None, None), (7, "age", "c"), (7, "name", "a"), (8, "name", "z")]
+    nodes = [(10, "name", "a"), (10, "NAME", "A"), (11, "name", "b"), (12, "name", "a"), (12, "name", "b"), (13, "age", "C"), (13, "name", "a"), (14, "name", None), (None, "name", "a"), (15, None, "a")]
+    m, n = spark.createDataFrame(asked, "mapping_id int, attribute string, owner string"), spark.createDataFrame(nodes, "node_id int, attribute string, owner string")
+    listed = {(r.mapping_id, len(r.node_ids), r.status) for r in mappings.graph_attributes(m, n).collect()}
+    assert {tuple(r) for r in mappings.graph_attribute_counts(m, n).collect()} == listed
