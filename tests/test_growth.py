@@ -46,3 +46,10 @@ def test_graph_attributes_are_counted_as_they_are_listed(spark):
     m, n = spark.createDataFrame(asked, "mapping_id int, attribute string, owner string"), spark.createDataFrame(nodes, "node_id int, attribute string, owner string")
     listed = {(r.mapping_id, len(r.node_ids), r.status) for r in mappings.graph_attributes(m, n).collect()}
     assert {tuple(r) for r in mappings.graph_attribute_counts(m, n).collect()} == listed
+
+
+def test_conditions_of_code_meet_once(spark):
+    stated = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("A").alias("lhs"), F.lit("<").alias("op"), F.lit(1.0).alias("threshold"))
+    applied = spark.range(1000).select(F.lit("a").alias("lhs"), F.lit("<=").alias("op"), F.lit(1.0).alias("threshold"))
+    out = evidence.threshold_mismatches(stated, applied)
+    assert out.count() == 3 and plan(out).count("HashAggregate") >= 4  # of conditions, then of pairs

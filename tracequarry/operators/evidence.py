@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracequarry.store import scratch, stored
+from tracequarry.store import scratch, stored, with_few
 
 
 def classify_impact(items: DataFrame, direct: DataFrame, possible: DataFrame, key: str) -> DataFrame:
@@ -188,8 +188,8 @@ def rule_conflicts(rules: DataFrame) -> DataFrame:
 def threshold_mismatches(stated: DataFrame, applied: DataFrame) -> DataFrame:
     """Conditions (lhs, op, threshold) that documents state and code applies otherwise."""
     s = stated.select("doc_id", F.lower("lhs").alias("lhs"), F.col("op").alias("stated_op"), F.col("threshold").alias("stated_threshold"))
-    c = applied.select(F.lower("lhs").alias("lhs"), F.col("op").alias("code_op"), F.col("threshold").alias("code_threshold"))
-    return s.join(c, "lhs").where("stated_op <> code_op or stated_threshold <> code_threshold").distinct()
+    c = applied.select(F.lower("lhs").alias("lhs"), F.col("op").alias("code_op"), F.col("threshold").alias("code_threshold")).distinct()
+    return with_few(s, c, "lhs").where("stated_op <> code_op or stated_threshold <> code_threshold").distinct()
 
 
 def percentiles(samples: DataFrame, group: str, value: str, steps: int = 40) -> DataFrame:
