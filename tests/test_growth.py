@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracequarry import store
 from tracequarry.operators import corpus, evidence, mappings
-from tracequarry.plans import sources
+from tracequarry.plans import knowledge, sources
 
 DATA = "/root/testdata/sf0.001"
 given = pytest.mark.skipif(not os.path.isdir(DATA), reason="the given tables are absent")
@@ -53,3 +53,9 @@ def test_conditions_of_code_meet_once(spark):
     applied = spark.range(1000).select(F.lit("a").alias("lhs"), F.lit("<=").alias("op"), F.lit(1.0).alias("threshold"))
     out = evidence.threshold_mismatches(stated, applied)
     assert out.count() == 3 and plan(out).count("HashAggregate") >= 4  # of conditions, then of pairs
+
+
+@given
+def test_texts_with_entities_are_read_in_several_tasks(spark):
+    found = knowledge.entity_kinds(spark, DATA)
+    assert "REPARTITION_BY_NUM" in plan(found) and plan(found).count("Exchange") == 1  # ranks need no exchange of entities

@@ -56,7 +56,9 @@ def extracted(documents: DataFrame, first: dict[str, int] | None = LIMITS) -> Da
     rows of one doc_id are read as one document."""
     t, kind = F.coalesce("text", F.lit("")), F.upper(F.trim(F.coalesce("source_type", F.lit(""))))
     nothing = F.array().cast("array<string>")
-    prose = F.when(kind.isin(*PROSE_TYPES), without_section(t, r"out\s+of\s+scope")).otherwise("")
+    told = F.when(kind.isin(*PROSE_TYPES), without_section(t, r"out\s+of\s+scope")).otherwise("")
+    documents = documents.select("doc_id", "source_type", "text", told.alias("_prose"))  # cut once for all that reads it
+    prose = F.col("_prose")
     named = r"\s+(?:attribute|field|property)\s+(?:named|called)\s+"
     added = r"(?i)\b(?:add|create|introduce|support)\s+(?:a\s+)?(?:new\s+)?([A-Z][A-Za-z0-9_$]*)" + named + r"([A-Za-z_$][\w$]*)\b"
     belongs = r"\b([a-z_$][A-Za-z0-9_$]*)\s+belongs\s+to\s+(?:the\s+)?([A-Z][A-Za-z0-9_$]*)\b"

@@ -176,7 +176,7 @@ def entity_kinds(spark: SparkSession, d: str) -> DataFrame:
     ]
     kind = F.get(F.array(*[F.lit(x) for x in ("Requirement", "MAPPING", "JIRA")]), k % 4)
     text = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    return entities.extracted(table(spark, d, "orders").select(k.alias("doc_id"), kind.alias("source_type"), text.alias("text")))
+    return entities.extracted(spread(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").select(k.alias("doc_id"), kind.alias("source_type"), text.alias("text")))
 
 
 @query(
