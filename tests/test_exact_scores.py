@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 
 from tracequarry.operators import retrieval
@@ -28,6 +29,25 @@ def test_exact_scores(spark):
     assert retrieval.exact_scores(docs.limit(0), asked).count() == 0 and retrieval.exact_scores(docs, asked.limit(0)).count() == 0
 
 
+def test_a_batch_of_questions_meets_no_exchange(spark, monkeypatch):
+    """Questions of checked size are matrices in tasks (before, every document's words met every question's by exchanges); a larger batch is joined, with equal scores."""
+    docs, asked = spark.createDataFrame(DOCS, "doc_id int, text string, identifiers array<string>"), spark.createDataFrame(ASKED, "query_id int, text string")
+    blocks = retrieval.exact_scores(docs, asked)
+    assert "Join" not in blocks._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted(blocks.collect())
+    best = sorted(retrieval.top(retrieval.exact_scores(docs.coalesce(1), asked, 1), 1).collect())
+    assert best == sorted(retrieval.top(blocks, 1).collect()) and len(best) < len(want)
+    monkeypatch.setattr(retrieval, "CELLS", 1)
+    joined = retrieval.exact_scores(docs, asked)
+    assert "Join" in joined._jdf.queryExecution().optimizedPlan().toString() and sorted(joined.collect()) == want
+
+
+def test_blocks_end_by_rows_and_by_text():
+    batch = pa.RecordBatch.from_arrays([pa.array(["aaa", None, "b", "c" * 9, "d", ""])], ["t"])
+    assert [b.num_rows for b in retrieval.blocks(batch, "t", 2, 4)] == [2, 1, 1, 2] and [b.num_rows for b in retrieval.blocks(batch, "t", 4)] == [4, 2]
+    assert list(retrieval.blocks(batch.slice(0, 0), "t", 2)) == []
+
+
 def test_given_tokens(spark):
     docs = spark.createDataFrame([(1, "of maps of")], "doc_id int, text string")
     asked = spark.createDataFrame([(1, "Of maps", ["maps"]), (2, "nothing", None), (3, "maps of", ["absent", "OF"]), (4, "s o", [])], "query_id int, text string, tokens array<string>")

@@ -6,7 +6,10 @@ Every ranking breaks ties by doc_id. Common tokens are handled by the join on to
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -175,21 +178,26 @@ def exact_score(query: Column, content: Column, tokens: Column, identifiers: Col
     return F.when(F.contains(lower, F.lower(query)), 80).otherwise(0) + by_token + 90 * found
 
 
-def exact_scores(documents: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) above 0: 80 for the whole query text, 12 for each occurrence of each of its distinct tokens up to 48 a token, 90
+def exact_scores(documents: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, doc_id, score) above 0; with k, at least the k best documents of each query, by score and doc_id: 80 for the whole query text, 12 for each occurrence of each of its distinct tokens up to 48 a token, 90
     for each identifier of the document that the query names.
 
     documents(doc_id, text, optionally identifiers array), queries(query_id, text, optionally tokens array of letters, digits and _ . / : -; else all such runs
     of the text), one row for each id; case aside. Whole texts, and tokens of any length. A token occurs inside maximal runs of its characters only, so tokens meet
     the distinct runs of all documents by equality with the runs' substrings of the tokens' lengths, and runs meet documents by equality. The whole
     text is looked up where all its tokens occur; a query without tokens is itself looked up inside runs of other characters. Identifiers (letters and
-    digits compared) meet the queries' substrings of their lengths. Null or empty texts and identifiers meet nothing."""
+    digits compared) meet the queries' substrings of their lengths. Null or empty texts and identifiers meet nothing.
+
+    A batch of queries of checked size meets blocks of documents as matrices, where nothing is joined or exchanged; a larger one by the joins told above."""
     token_runs, other_runs = F.lit("[a-z0-9_./:-]+"), F.lit("[^a-z0-9_./:-]+")
     runs = lambda c, kind: F.regexp_extract_all(F.col(c), kind, F.lit(0))
     asked = queries.select("query_id", F.lower("text").alias("q"), *(["tokens"] if "tokens" in queries.columns else [])).where("q <> ''")
     tokens = F.array_distinct(F.transform("tokens", F.lower)) if "tokens" in queries.columns else F.array_distinct(runs("q", token_runs))
     parts = F.array_distinct(runs("q", token_runs))
     asked = asked.select("query_id", "q", F.coalesce(tokens, F.array().cast("array<string>")).alias("ts"), F.when(F.size(parts) > 0, parts).otherwise(F.array("q")).alias("ps"))
+    told = asked.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("q")), F.lit(0)), F.coalesce(F.sum(F.size("ts") + F.size("ps")), F.lit(0))).first()
+    if told[0] * told[2] <= 4 * CELLS and told[1] <= 8 * CELLS and asked.select(F.explode(F.array_union("ts", "ps"))).distinct().count() * max(1, told[0]) <= CELLS:
+        return _exact_blocks(documents, asked.withColumn("c", tx.compact(F.col("q"))), k)
     both = F.transform(F.array_union("ts", "ps"), lambda x: F.struct(x.alias("needle"), F.array_contains("ts", x).alias("scored"), F.array_contains("ps", x).alias("needed")))
     needles = asked.select("query_id", F.size("ps").alias("n"), F.explode(both).alias("b")).select("query_id", "n", "b.*").where("needle <> ''")
     texts = documents.select("doc_id", F.lower("text").alias("t")).where("t <> ''")
@@ -213,6 +221,140 @@ def exact_scores(documents: DataFrame, queries: DataFrame) -> DataFrame:
     return scores.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score")).where("score > 0")
 
 
+class Exact:
+    """Exact scores of a batch of questions, as matrices: rows of asked are (query_id, q, ts, ps, c), see exact_scores."""
+
+    #: Runs and identifiers that a task remembers.
+    MOST = 200_000
+
+    def __init__(self, asked: list) -> None:
+        self.questions = [r["q"] for r in asked]
+        self.compacts = [r["c"] for r in asked]
+        self.number: dict[str, int] = {}
+        self.scored: list[tuple[int, int]] = []  # needle, question
+        self.needed: list[tuple[int, int]] = []
+        self.odd: list[tuple[str, int]] = []  # tokens of other characters
+        for i, r in enumerate(asked):
+            for t in r["ts"]:
+                if t and _RUN.fullmatch(t):
+                    self.scored.append((self.number.setdefault(t, len(self.number)), i))
+                elif t:
+                    self.odd.append((t, i))
+            self.needed += [(self.number.setdefault(t, len(self.number)), i) for t in r["ps"] if _RUN.fullmatch(t)]
+        self.longest = max(map(len, self.number), default=0)
+        self.ready = False
+
+    def _begin(self) -> None:
+        """What is large or remembered is made in the task."""
+        self.ready, shape = True, (len(self.number), len(self.questions))
+        self.points, self.parts = np.zeros(shape), np.zeros(shape, np.float32)
+        for a, pairs in ((self.points, self.scored), (self.parts, self.needed)):
+            if pairs:
+                a[tuple(np.array(pairs).T)] = 1
+        self.n_parts = self.parts.sum(axis=0)
+        self.runs: dict[str, tuple[list[int], list[int]]] = {}
+        self.named: dict[str, list[int]] = {}
+        self.trie: dict = {}  # letters to nodes; "" to the needle that ends there
+        for needle in self.number:
+            node = self.trie
+            for c in needle:
+                node = node.setdefault(c, {})
+            node[""] = needle
+
+    def _inside(self, run: str) -> tuple[list[int], list[int]]:
+        """Needles that a run holds, and how often, without overlap."""
+        if (found := self.runs.get(run)) is None:
+            if len(self.runs) >= self.MOST:
+                self.runs.clear()
+            held = set()
+            for i in range(len(run)):
+                node = self.trie
+                for c in run[i : i + self.longest]:
+                    node = node.get(c)
+                    if node is None:
+                        break
+                    if "" in node:
+                        held.add(node[""])
+            found = self.runs[run] = ([self.number[h] for h in held], [run.count(h) for h in held])
+        return found
+
+    def scores(self, texts: list[str | None], identifiers: list[list[str | None] | None] | None = None) -> np.ndarray:
+        """Scores of texts (lower case) by questions; identifiers are compact."""
+        if not self.ready:
+            self._begin()
+        n, (n_needles, n_questions) = len(texts), self.points.shape
+        local: dict[str, int] = {}
+        counts = [Counter(_RUN.findall(t)) if t else {} for t in texts]
+        spots = [[local.setdefault(r, len(local)) for r in c] for c in counts]
+        held = [self._inside(r) for r in local]
+        sizes = np.array([len(h) for h, _ in held], np.int64)
+        needle, often = (np.fromiter(chain.from_iterable(h[c] for h in held), np.int64, int(sizes.sum())) for c in (0, 1))
+        first = np.concatenate(([0], np.cumsum(sizes)))
+        run = np.fromiter(chain.from_iterable(spots), np.int64, sum(map(len, spots)))
+        tf = np.fromiter(chain.from_iterable(c.values() for c in counts), np.int64, len(run))
+        owner = np.repeat(np.arange(n), [len(s) for s in spots])
+        many = sizes[run]
+        at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[run], many)
+        times = np.bincount(np.repeat(owner * n_needles, many) + needle[at], np.repeat(tf, many) * often[at], n * n_needles).reshape(n, n_needles)
+        out = np.minimum(12 * times, 48) @ self.points
+        for token, q in self.odd:
+            out[:, q] += [min(12 * t.count(token), 48) if t else 0 for t in texts]
+        maybe = ((times > 0).astype(np.float32) @ self.parts) == self.n_parts
+        for d, q in zip(*np.nonzero(maybe), strict=True):
+            if texts[d] and self.questions[q] in texts[d]:
+                out[d, q] += 80
+        for d, names in enumerate(identifiers or []):
+            for name in names or []:
+                if name:
+                    if (of := self.named.get(name)) is None:
+                        if len(self.named) >= self.MOST:
+                            self.named.clear()
+                        of = self.named[name] = [q for q, c in enumerate(self.compacts) if name in c]
+                    out[d, of] += 90
+        return out
+
+
+_RUN = re.compile("[a-z0-9_./:-]+")
+
+
+def blocks(batch: pa.RecordBatch, text: str, rows: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in blocks of so many rows, and of about that many bytes of text or one row, at most."""
+    begin = held = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()):
+        if i > begin and (i - begin >= rows or held + n > size):
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += n
+    if batch.num_rows > begin:
+        yield batch.slice(begin)
+
+
+def _exact_blocks(documents: DataFrame, asked: DataFrame, k: int | None) -> DataFrame:
+    """exact_scores of a batch whose size the caller has checked. Pairs of a query and a document leave a task once, with their score; with k no more than the k best of a block."""
+    query_kind, doc_kind = asked.schema["query_id"].dataType, documents.schema["doc_id"].dataType
+    rows = asked.collect()
+    exact, ids = Exact(rows), pa.array([r["query_id"] for r in rows], to_arrow_type(query_kind))
+    names = "identifiers" in documents.columns
+    step = max(1, min(512, CELLS // max(1, len(exact.number))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, "t", step):
+                docs = part.column("doc_id")
+                order = pc.sort_indices(docs).to_numpy()
+                scores = exact.scores(part.column("t").to_pylist(), part.column("identifiers").to_pylist() if names else None)[order]
+                keep = scores > 0
+                if k is not None and k < part.num_rows:
+                    best = np.zeros_like(keep)
+                    np.put_along_axis(best, np.argsort(-scores, axis=0, kind="stable")[:k], True, axis=0)
+                    keep &= best
+                doc, q = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), docs.take(pa.array(order[doc])), pa.array(scores[doc, q], pa.float64())], ["query_id", "doc_id", "score"])
+
+    told = documents.select("doc_id", F.lower("text").alias("t"), *([F.transform("identifiers", lambda i: tx.compact(i)).alias("identifiers")] if names else []))
+    return told.mapInArrow(run, f"query_id {query_kind.simpleString()}, doc_id {doc_kind.simpleString()}, score double")
+
+
 def _parts(df: DataFrame, column: str, lengths: list[int]) -> DataFrame:
     """df with `part`, a row for each distinct substring of the column that has one of the lengths."""
     sizes = F.array(*[F.lit(x) for x in sorted(lengths)]).cast("array<int>")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracequarry.functions import text as tx
 from tracequarry.operators import evidence, graph, linking, mappings, retrieval
 from tracequarry.plans.registry import query, table
+from tracequarry.store import spread
 
 _KEY = r"regexp_replace(regexp_replace(regexp_replace(split_part(url, '?', 1), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', ''), '/+', '/', 'g'), '\{[^/}]*\}', '{}', 'g')"
 _CANON = f"case when length({_KEY}) > 1 then regexp_replace({_KEY}, '/$', '') else {_KEY} end"
@@ -313,8 +314,8 @@ def contract_diff(spark: SparkSession, d: str) -> DataFrame:
 )
 def exact_scores(spark: SparkSession, d: str) -> DataFrame:
     name = F.regexp_extract(F.lower("text"), "([a-z]{6,} [a-z]+)", 1)  # of a document that has no other identifier than its source
-    documents = table(spark, d, "documents").select("doc_id", "text", F.array("source", name, name).alias("identifiers"))
-    ranked = retrieval.top(retrieval.exact_scores(documents, table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")), 10)
+    documents = spread(table(spark, d, "documents").select("doc_id", "text", "source"), "doc_id", each=1 << 22).select("doc_id", "text", F.array("source", name, name).alias("identifiers"))
+    ranked = retrieval.top(retrieval.exact_scores(documents, table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10), 10)
     return ranked.select(F.col("query_id").alias("item_id"), "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
