@@ -10,6 +10,7 @@ from tracequarry.operators import hybrid, knowledge, retrieval
 from tracequarry.plans import catalogue
 from tracequarry.plans.knowledge import _CHANGE, _DOMAINS, _GENERIC, _HISTORY, _RELEASE
 from tracequarry.plans.registry import query, table
+from tracequarry.store import spread
 
 
 @query(
@@ -95,6 +96,6 @@ def correlation_candidates(spark: SparkSession, d: str) -> DataFrame:
     changes = words.select("change", F.explode(kinds).alias("kind"), F.col("term").alias("name"), "term")
     item = F.col("item_id")
     rules = table(spark, d, "benchmark").select(item.alias("change"), F.lit(1).alias("rule"), F.concat(F.lit("src"), (item + 3) % 10).alias("old"), F.concat(F.lit("src"), item % 10, F.lit(">"), item % 9).alias("new"), F.lit(True).alias("differs"))
-    documents = table(spark, d, "documents")
+    documents = spread(table(spark, d, "documents").select("doc_id", "text", "source", "n_chars"), "doc_id", each=1 << 22)
     tickets = documents.select(F.col("doc_id").alias("ticket"), F.array_distinct(tx.search_tokens(F.col("text"))).alias("terms"), F.array(F.concat("source", F.lit(">"), F.col("n_chars") % 9), F.col("source")).alias("rules"))
-    return hybrid.correlated(changes, rules, tickets, documents.where("doc_id % 9 = 0").select(F.col("doc_id").alias("ticket")), first=None)
+    return hybrid.correlated(changes, rules, tickets, table(spark, d, "documents").where("doc_id % 9 = 0").select(F.col("doc_id").alias("ticket")), first=None)
