@@ -43,19 +43,9 @@ def bm25(corpus: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75
     A document's distinct terms are counted in a map-side combine for df, which is stored once, sizes and the mean are three numbers; then a batch of queries of checked
     size meets blocks of documents as matrices, and a larger one by joins on terms.
     """
-    spark = corpus.sparkSession
-    with scratch(spark):
-        df = stored(corpus.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "bm25-df", keep=True)
-    n_docs, avgdl = corpus.agg(F.count("*"), F.avg(F.size("tokens"))).first()
-    raw = df.withColumn("raw", F.ln((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    mean = raw.agg(F.avg("raw")).first()[0]
-    asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    terms = asked.select("term").distinct()
-    idf = F.when(F.col("raw") < 0, 0.25 * F.lit(mean)).otherwise(F.col("raw"))
-    weighed = raw.join(terms, "term").select("term", idf.alias("idf"), F.lit(avgdl).cast("double").alias("avgdl"))
-    n_terms, n_queries = terms.count(), queries.count()
-    if n_terms * max(1, n_queries) <= CELLS:
-        return _bm25_blocks(corpus, weighed, asked, k1, b, repeat_terms, k)
+    weighed, asked, n_cells = _weighed(corpus, queries)
+    if n_cells <= CELLS:
+        return _bm25_blocks(corpus, Lexical(weighed, asked, k1, b, repeat_terms), asked, k)
     # tokens meet the queries' terms before they are counted: the terms are broadcast if Catalyst's limit allows, else exchanged
     spots = corpus.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(weighed, "term")
     hits = spots.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("idf").alias("idf"), F.first("avgdl").alias("avgdl"))
@@ -69,34 +59,58 @@ def bm25(corpus: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75
 CELLS = 1 << 22
 
 
-def _bm25_blocks(corpus: DataFrame, weighed: DataFrame, asked: DataFrame, k1: float, b: float, repeat_terms: bool, k: int | None) -> DataFrame:
-    """Scores as the product of a block of documents by terms and the matrix of terms by queries, whose size the caller has checked.
-
-    Pairs of a query and a document leave a task once, with their score; nothing is joined or exchanged."""
-    found = weighed.collect()  # at most CELLS terms
-    number = {r["term"]: i for i, r in enumerate(found)}
-    rows = asked.where(F.col("term").isNotNull()).collect()  # at most CELLS pairs
-    of = {q: i for i, q in enumerate(dict.fromkeys(r["query_id"] for r in rows))}
-    matrix = np.zeros((len(number), len(of)))
-    for r in rows:
-        if r["term"] in number:
-            matrix[number[r["term"]], of[r["query_id"]]] = found[number[r["term"]]]["idf"] * (r["qtf"] if repeat_terms else 1)
-    avgdl = found[0]["avgdl"] if found else 1.0
+def _weighed(corpus: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The queries' terms that the corpus has (term, idf, avgdl), those asked (query_id, term, qtf), and the number of terms times queries."""
+    with scratch(corpus.sparkSession):
+        df = stored(corpus.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "bm25-df", keep=True)
+    n_docs, avgdl = corpus.agg(F.count("*"), F.avg(F.size("tokens"))).first()
+    raw = df.withColumn("raw", F.ln((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    mean = raw.agg(F.avg("raw")).first()[0]
+    asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    terms = asked.select("term").distinct()
+    idf = F.when(F.col("raw") < 0, 0.25 * F.lit(mean)).otherwise(F.col("raw"))
+    weighed = raw.join(terms, "term").select("term", idf.alias("idf"), F.lit(avgdl).cast("double").alias("avgdl"))
+    return weighed, asked, terms.count() * max(1, queries.count())
+
+
+class Lexical:
+    """BM25 of a batch of questions whose size the caller has checked: the product of a block of documents by terms and the matrix of terms by questions.
+
+    weighed and asked as of _weighed; questions: their ids in the order of the columns, by default those that have terms."""
+
+    def __init__(self, weighed: DataFrame, asked: DataFrame, k1: float = 1.5, b: float = 0.75, repeat_terms: bool = True, questions: list | None = None) -> None:
+        found = weighed.collect()  # at most CELLS terms
+        number = {r["term"]: i for i, r in enumerate(found)}
+        rows = asked.where(F.col("term").isNotNull()).collect()  # at most CELLS pairs
+        self.questions = list(dict.fromkeys(r["query_id"] for r in rows)) if questions is None else questions
+        of = {q: i for i, q in enumerate(self.questions)}
+        self.matrix = np.zeros((len(number), len(of)))
+        for r in rows:
+            if r["term"] in number:
+                self.matrix[number[r["term"]], of[r["query_id"]]] = found[number[r["term"]]]["idf"] * (r["qtf"] if repeat_terms else 1)
+        self.avgdl = found[0]["avgdl"] if found else 1.0
+        self.k1, self.b, self.vocabulary = k1, b, pa.array(list(number), pa.string())
+        self.step = max(1, min(512, CELLS // max(1, len(number))))  # so that documents times terms are no more cells than the matrix has
+
+    def scores(self, tokens: pa.ListArray) -> np.ndarray:
+        """Scores of documents, at most `step`, by questions."""
+        dl = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0))
+        at = pc.fill_null(pc.index_in(pc.list_flatten(tokens), self.vocabulary), -1).to_numpy(zero_copy_only=False)
+        n, n_terms = len(tokens), len(self.vocabulary)
+        tf = np.bincount(np.repeat(np.arange(n), dl)[at >= 0] * n_terms + at[at >= 0], minlength=n * n_terms).reshape(n, n_terms).astype(np.float64)
+        share = np.divide(tf * (self.k1 + 1), tf + self.k1 * (1 - self.b + self.b * dl[:, None] / self.avgdl), out=np.zeros_like(tf), where=tf > 0)
+        return share @ self.matrix
+
+
+def _bm25_blocks(corpus: DataFrame, lexical: Lexical, asked: DataFrame, k: int | None) -> DataFrame:
+    """Scores in blocks. Pairs of a query and a document leave a task once, with their score; nothing is joined or exchanged."""
     query_kind, doc_kind = asked.schema["query_id"].dataType, corpus.schema["doc_id"].dataType
-    ids, vocabulary = pa.array(list(of), to_arrow_type(query_kind)), pa.array(list(number), pa.string())
-    step = max(1, min(512, CELLS // max(1, len(number))))  # so that documents times terms are no more cells than the matrix has
+    ids = pa.array(lexical.questions, to_arrow_type(query_kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
-                tokens = part.column("tokens")
-                dl = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0))
-                at = pc.fill_null(pc.index_in(pc.list_flatten(tokens), vocabulary), -1).to_numpy(zero_copy_only=False)
-                owner = np.repeat(np.arange(part.num_rows), dl)[at >= 0]
-                tf = np.zeros((part.num_rows, len(number)))
-                np.add.at(tf, (owner, at[at >= 0]), 1.0)
-                share = np.divide(tf * (k1 + 1), tf + k1 * (1 - b + b * dl[:, None] / avgdl), out=np.zeros_like(tf), where=tf > 0)
-                scores = share @ matrix
+            for part in (batch.slice(i, lexical.step) for i in range(0, batch.num_rows, lexical.step)):
+                scores = lexical.scores(part.column("tokens"))
                 keep = scores > 0
                 if k is not None and k < part.num_rows:  # from a little below the kth best score on, which may be more than k rows
                     keep &= scores >= np.partition(scores, part.num_rows - k, axis=0)[part.num_rows - k] - 1e-6
@@ -189,14 +203,10 @@ def exact_scores(documents: DataFrame, queries: DataFrame, k: int | None = None)
     digits compared) meet the queries' substrings of their lengths. Null or empty texts and identifiers meet nothing.
 
     A batch of queries of checked size meets blocks of documents as matrices, where nothing is joined or exchanged; a larger one by the joins told above."""
-    token_runs, other_runs = F.lit("[a-z0-9_./:-]+"), F.lit("[^a-z0-9_./:-]+")
+    token_runs, other_runs = F.lit(_RUN.pattern), F.lit("[^a-z0-9_./:-]+")
     runs = lambda c, kind: F.regexp_extract_all(F.col(c), kind, F.lit(0))
-    asked = queries.select("query_id", F.lower("text").alias("q"), *(["tokens"] if "tokens" in queries.columns else [])).where("q <> ''")
-    tokens = F.array_distinct(F.transform("tokens", F.lower)) if "tokens" in queries.columns else F.array_distinct(runs("q", token_runs))
-    parts = F.array_distinct(runs("q", token_runs))
-    asked = asked.select("query_id", "q", F.coalesce(tokens, F.array().cast("array<string>")).alias("ts"), F.when(F.size(parts) > 0, parts).otherwise(F.array("q")).alias("ps"))
-    told = asked.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("q")), F.lit(0)), F.coalesce(F.sum(F.size("ts") + F.size("ps")), F.lit(0))).first()
-    if told[0] * told[2] <= 4 * CELLS and told[1] <= 8 * CELLS and asked.select(F.explode(F.array_union("ts", "ps"))).distinct().count() * max(1, told[0]) <= CELLS:
+    asked, fits = exact_questions(queries)
+    if fits:
         return _exact_blocks(documents, asked.withColumn("c", tx.compact(F.col("q"))), k)
     both = F.transform(F.array_union("ts", "ps"), lambda x: F.struct(x.alias("needle"), F.array_contains("ts", x).alias("scored"), F.array_contains("ps", x).alias("needed")))
     needles = asked.select("query_id", F.size("ps").alias("n"), F.explode(both).alias("b")).select("query_id", "n", "b.*").where("needle <> ''")
@@ -221,6 +231,18 @@ def exact_scores(documents: DataFrame, queries: DataFrame, k: int | None = None)
     return scores.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score")).where("score > 0")
 
 
+def exact_questions(queries: DataFrame) -> tuple[DataFrame, bool]:
+    """(query_id, q, ts, ps) of queries as of exact_scores: lower text, its tokens, and the runs it needs; and whether they are few enough to be matrices in every task."""
+    runs = lambda c: F.regexp_extract_all(F.col(c), F.lit(_RUN.pattern), F.lit(0))
+    asked = queries.select("query_id", F.lower("text").alias("q"), *(["tokens"] if "tokens" in queries.columns else [])).where("q <> ''")
+    tokens = F.array_distinct(F.transform("tokens", F.lower)) if "tokens" in queries.columns else F.array_distinct(runs("q"))
+    parts = F.array_distinct(runs("q"))
+    asked = asked.select("query_id", "q", F.coalesce(tokens, F.array().cast("array<string>")).alias("ts"), F.when(F.size(parts) > 0, parts).otherwise(F.array("q")).alias("ps"))
+    told = asked.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("q")), F.lit(0)), F.coalesce(F.sum(F.size("ts") + F.size("ps")), F.lit(0))).first()
+    few = told[0] * told[2] <= 4 * CELLS and told[1] <= 8 * CELLS
+    return asked, few and asked.select(F.explode(F.array_union("ts", "ps"))).distinct().count() * max(1, told[0]) <= CELLS
+
+
 class Exact:
     """Exact scores of a batch of questions, as matrices: rows of asked are (query_id, q, ts, ps, c), see exact_scores."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracequarry.functions import text as tx
 from tracequarry.functions import trees
-from tracequarry.operators import evidence, graph, retrieval, versions
+from tracequarry.operators import evidence, graph, hybrid, retrieval, versions
 from tracequarry.plans.registry import QUERIES, SQL
 from tracequarry.plans.registry import query as _query
 from tracequarry.plans.registry import table as _t
@@ -45,10 +45,15 @@ dense as (select * from (select *, row_number() over (partition by query_id orde
 """
 
 
+def _texts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """documents(doc_id, text, tokens) and queries(query_id, text, tokens)"""
+    corpus = _t(spark, d, "documents").select("doc_id", "text", F.coalesce(tx.search_tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
+    return corpus, _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text", tx.search_tokens(F.col("text")).alias("tokens"))
+
+
 def _bm25(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
-    corpus = _t(spark, d, "documents").select("doc_id", F.coalesce(tx.search_tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
-    asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), tx.search_tokens(F.col("text")).alias("tokens"))
-    return retrieval.bm25(corpus, asked, k=k).withColumn("score", F.round("score", 9))
+    corpus, asked = _texts(spark, d)
+    return retrieval.bm25(corpus.select("doc_id", "tokens"), asked.select("query_id", "tokens"), k=k).withColumn("score", F.round("score", 9))
 
 
 def _dense(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
@@ -110,9 +115,8 @@ near as (select query_id, vec_id as doc_id, round(list_cosine_similarity(q, embe
 )
 def hybrid_rrf_whole(spark: SparkSession, d: str) -> DataFrame:
     """hybrid_rrf with the reference's 8 k dense candidates and the lexical rank of every document with a score above 0."""
-    every = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    fused = retrieval.reciprocal_rank_fusion(_dense(spark, d, 80), _bm25(spark, d).withColumn("rank", F.row_number().over(every)))
-    return retrieval.top(fused.withColumn("score", F.round("score", 9)), 10).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+    found = hybrid.fused_search(*_texts(spark, d), _dense(spark, d, 80), k=10, boosted=False)
+    return found.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 @_query(

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracequarry.functions import text as tx
-from tracequarry.operators import hybrid, knowledge, retrieval
+from tracequarry.operators import hybrid, knowledge
 from tracequarry.plans import catalogue
 from tracequarry.plans.knowledge import _CHANGE, _DOMAINS, _GENERIC, _HISTORY, _RELEASE
 from tracequarry.plans.registry import query, table
-from tracequarry.store import spread
+from tracequarry.store import spread, stored
 
 
 @query(
@@ -32,10 +32,7 @@ from tracequarry.store import spread
 )
 def hybrid_rrf_boosts(spark: SparkSession, d: str) -> DataFrame:
     """Dense ranks within the budget of ten results, all lexical ranks, and boosts of every document."""
-    every = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    lexical = catalogue._bm25(spark, d).withColumn("rank", F.row_number().over(every))
-    boosted = hybrid.boosts(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
-    found = hybrid.rrf_search(catalogue._dense(spark, d, hybrid.dense_budget(10)), lexical, boosted.withColumn("boost", F.round("boost", 9)), k=10)
+    found = hybrid.fused_search(*catalogue._texts(spark, d), catalogue._dense(spark, d, hybrid.dense_budget(10)), k=10)
     return found.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -61,12 +58,12 @@ def hybrid_linear_scoped(spark: SparkSession, d: str) -> DataFrame:
     """Exact, lexical and vector parts of all documents, the scope of a named baseline, the filter on what may be quoted and releases as a whole."""
     documents = table(spark, d, "documents").where("text <> ''")
     items = table(spark, d, "benchmark").where("text <> ''").select(F.col("item_id").alias("query_id"), "text")
-    exact = retrieval.exact_scores(documents.select("doc_id", "text"), items).withColumnRenamed("score", "exact")
+    kind = F.get(F.array(*map(F.lit, ("test_baseline", "release", "scenario"))), F.col("doc_id") % 3)
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    near = retrieval.similarities(vectors, vectors.join(items.select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id")).select("query_id", "doc_id", F.greatest("score", F.lit(0.0)).alias("vector"))
-    scores = exact.join(catalogue._bm25(spark, d).withColumnRenamed("score", "bm25"), ["query_id", "doc_id"], "full_outer").join(near, ["query_id", "doc_id"], "left")
+    directions = vectors.join(items.select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id")
+    texts, questions = catalogue._texts(spark, d)
+    scores = stored(hybrid.linear_scores(texts.withColumn("kind", kind), questions, vectors, directions), "linear-scores")
     tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
-    kind = F.get(F.array(*map(F.lit, ("test_baseline", "release", "scenario"))), F.col("doc_id") % 3)
     known = documents.select("doc_id", kind.alias("kind"), F.regexp_extract(F.lower("text"), "([a-z]{6,})", 1).alias("baseline"))
     terms = documents.select("doc_id", tokens("text").alias("tokens"), F.when(F.col("n_chars") % 4 > 0, "R1").alias("release"), F.lit(1).alias("n_tests"))
     asked = items.withColumn("tokens", tokens("text"))
