@@ -84,6 +84,17 @@ def test_flow_methods(spark):
     assert got(rv.flow_methods(flows, "k", "t")) == [(1, want), (2, want)]
 
 
+def test_flow_methods_where_trees_lie(spark):
+    """Before, every tree was exploded level by level and its names met in three exchanges."""
+    leaf = '{"class_name":"B","method_name":"b"}'
+    tree = '{"flow":{"class_name":"A","method_name":"a","calls":[%s]},"class_name":"C"}' % leaf
+    flows = frame(spark, "k int, t string", (1, tree), (2, '{"class_name":"A","class_name":"B","method_name":"b"}'), (3, '[' + leaf + ']'), (4, '{"class_name":7,"method_name":"m","calls":{"0":1}}'), (5, '{"class_name":"","method_name":"m","calls":[null,%s]}' % leaf))
+    out = rv.flow_methods(flows, "k", "t")
+    assert got(out) == [(1, ["C.a", "B.b"]), (5, ["B.b"])]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert got(rv.flow_methods(flows, "k", "t", 3)) == [(1, ["C.a"]), (5, ["B.b"])]
+
+
 def test_roles_and_scope(spark):
     rows = frame(spark, "v string, t boolean", ("patch", True), ("PATCH", None), ("GET", True), ("DELETE", True), (None, None), ("post", False))
     role = rv.operation_role(F.col("v"), F.col("t"))

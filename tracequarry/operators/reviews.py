@@ -6,12 +6,14 @@ nothing, repeated rows count once unless a docstring says otherwise, and empty t
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracequarry.functions import trees
 from tracequarry.functions.text import compact, endpoint_key, family_and_version, scope_key
 from tracequarry.operators import graph, versions
 from tracequarry.operators.linking import best_per
@@ -187,16 +189,46 @@ def reconciled(documents: DataFrame, project: str) -> DataFrame:
     return out.select("document", F.lit(canonical).alias("project"), "family", "version", status.alias("status"), "metadata_fixed", "project_fixed")
 
 
+def _methods_of(tree: str | None, depth: int | None) -> list[str]:
+    """Distinct Class.method of one call tree in the order of a walk."""
+    try:
+        root = json.loads(tree, object_pairs_hook=_once, parse_constant=_once) if tree else None
+    except ValueError:
+        return []
+    at: dict[tuple[int, ...], list[str]] = {}  # names by the places of the calls that lead to them
+    todo = [((), root, 1)] + ([((), root.get("flow"), 2)] if isinstance(root, dict) else [])
+    while todo:
+        place, node, step = todo.pop()
+        if isinstance(node, dict) and (depth is None or step <= depth):
+            names = at.setdefault(place, ["", ""])
+            for i, which in enumerate(("class_name", "method_name")):
+                if isinstance(node.get(which), str):
+                    names[i] = max(names[i], node[which])
+            calls = node.get("calls")
+            todo += [((*place, i), c, step + 2) for i, c in enumerate(calls if isinstance(calls, list) else [])]
+    return list(dict.fromkeys(f"{c}.{m}" for _, (c, m) in sorted(at.items()) if c and m))
+
+
+def _once(pairs: list | str) -> dict:
+    """An object whose keys differ; NaN and the like are no JSON."""
+    if isinstance(pairs, str) or len(out := dict(pairs)) < len(pairs):
+        raise ValueError(pairs)
+    return out
+
+
 def flow_methods(flows: DataFrame, flow: str, tree: str, depth: int | None = None) -> DataFrame:
     """(flow, methods): distinct Class.method of a call tree in the order of a walk from the root; flows without any are left out.
 
-    tree is JSON: class_name, method_name and calls, a list of such nodes, as a whole or under "flow"; names are texts that are not empty. A list is as long as its one tree has methods."""
-    nodes = trees.leaves(flows, flow, tree, depth).withColumn("path", F.regexp_replace("path", r"^flow\.", ""))
-    names = nodes.where(F.col("value").startswith('"') & F.col("path").rlike(r"^(calls\[\d+\]\.)*(class_name|method_name)$")).withColumn("at", F.regexp_extract_all("path", F.lit(r"\[(\d+)\]")).cast("array<int>"))
-    name = lambda which: F.max(F.when(F.substring_index("path", ".", -1) == which, F.get_json_object("value", "$")))
-    each = names.groupBy(flow, "at").agg(name("class_name").alias("c"), name("method_name").alias("m")).where("c <> '' and m <> ''")
-    firsts = each.groupBy(flow, F.concat("c", F.lit("."), "m").alias("method")).agg(F.min("at").alias("at"))
-    return firsts.groupBy(flow).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "method"))), lambda x: x["method"]).alias("methods"))
+    tree is JSON: class_name, method_name and calls, a list of such nodes, as a whole or under "flow"; names are texts that are not empty. One row for each flow; a tree is walked where
+    it lies, in one pass, and meets no exchange."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            methods = pa.array([_methods_of(t, depth) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), methods], [flow, "methods"])
+
+    kind = flows.schema[flow].dataType.simpleString()
+    return flows.select(flow, F.col(tree).cast("string").alias("_tree")).mapInArrow(run, f"`{flow}` {kind}, methods array<string>").where("size(methods) > 0")
 
 
 def operation_role(verb: Column, targets: Column) -> Column:
