@@ -49,6 +49,14 @@ def test_what_if(spark):
     assert got(rv.what_if(asked, evidence.limit(0), {"fullName": ["firstName"]})) == []
 
 
+def test_what_if_keeps_other_words_where_they_are(spark):
+    """Before, every word of every requirement was exchanged."""
+    asked = frame(spark, "requirement int, text string", (1, "one field and many words"), (1, "field again"), (2, "words"))
+    out = rv.what_if(asked, frame(spark, "field string, file string", ("Field", "f")), {"many": ["Field"]})
+    assert got(out) == [(1, "field", "EXISTING_FIELD_IMPACT", 1), (1, "many", "PROPOSED_DERIVED_ATTRIBUTE", 0)]
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_file_scores(spark):
     asked = frame(spark, "requirement int, text string", (1, "validate customer email"), (2, None))
     concepts = frame(spark, "requirement int, concept string", (1, "Customer-Mapper"))

@@ -18,6 +18,7 @@ from tracequarry.functions.text import compact, endpoint_key, family_and_version
 from tracequarry.operators import graph, versions
 from tracequarry.operators.linking import best_per
 from tracequarry.operators.requirements import letters
+from tracequarry.store import with_few
 
 
 def _tails(path: Column) -> Column:
@@ -98,7 +99,9 @@ def what_if(requirements: DataFrame, evidence: DataFrame, derived: dict[str, lis
     (of which evidence knows); n_files 0 says that the source does not have it. Case does not matter; names meet whole words."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
     known = evidence.select(F.lower("field").alias("field"), "file").where("field is not null").groupBy("field").agg(F.countDistinct("file").alias("n_files"))
-    said = requirements.select("requirement", F.explode(words).alias("field")).distinct()
+    wanted = known.select("field").unionByName(requirements.sparkSession.createDataFrame([(n.lower(),) for n in derived], "field string")).distinct()
+    # words that name no field leave no task
+    said = with_few(requirements.select("requirement", F.explode(words).alias("field")), wanted, "field", how="left_semi").distinct()
     named = said.join(known, "field")
     out = named.where("n_files > 0").select("requirement", "field", F.lit("EXISTING_FIELD_IMPACT").alias("kind"), "n_files")
     for name, parts in derived.items():
