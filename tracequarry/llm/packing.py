@@ -15,13 +15,11 @@ import json
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,23 +29,49 @@ from tracequarry.llm._store import parts, stored
 _encoders: dict[str, "Encoder"] = {}
 #: A space inside a run of white space, where the tokenizer's own split of words differs from one before each space.
 _INSIDE = re.compile(r"\s (?=\s|\Z)")
-#: Fixed values of byte-level vocabularies: the pattern of parts, and bytes as characters (those without a visible form from 256 on).
-_SPLIT = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_SPACE = chr(288)
-_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+_BYTE = np.arange(256)
+_LETTER = ((_BYTE | 32) >= 97) & ((_BYTE | 32) <= 122) & (_BYTE < 128)
+_OTHER, _SEEN, _BLANK, _WIDE = (_BYTE < 128) & ~_LETTER, (_BYTE > 32) & (_BYTE < 127), _BYTE <= 32, _BYTE >= 128
+
+
+def _runs(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers begin to begin + size - 1 of each run, one run after the other."""
+    return np.arange(sizes.sum()) + np.repeat(begin - np.cumsum(sizes) + sizes, sizes)
+
+
+class _Memory:
+    """Ids of words by the hash of the word, hashes in ascending order."""
+
+    def __init__(self) -> None:
+        self.hashes, self.begin, self.sizes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are here, and the places of those."""
+        at = np.searchsorted(self.hashes, hashes)
+        here = at < len(self.hashes)
+        here[here] = self.hashes[at[here]] == hashes[here]
+        return here, at[here]
+
+    def add(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Words that are not here yet, their hashes in ascending order."""
+        at = np.searchsorted(self.hashes, hashes)
+        self.begin = np.insert(self.begin, at, len(self.ids) + np.cumsum(sizes) - sizes)
+        self.sizes, self.hashes = np.insert(self.sizes, at, sizes), np.insert(self.hashes, at, hashes)
+        self.ids = np.concatenate([self.ids, ids])
 
 
 class Encoder:
     """Token ids of texts, as bytes of little-endian unsigned 32-bit numbers, the same as encode(text, add_special_tokens=False) gives.
 
-    Of a byte-level vocabulary the tokenizer never merges across the start of a space that begins a word, so the distinct words of
-    a batch are looked up in a bounded memory, or encoded, once; texts with other runs of spaces or with a special token's string are
-    encoded whole, and so are all texts if the file has another pre-tokenizer, a normalizer or another model.
+    Of a byte-level vocabulary the tokenizer never merges across the start of a space that begins a word, from an ASCII letter to
+    another ASCII character, nor after a line break that stands alone between visible characters. So the distinct words that lie between are looked up
+    by a 64-bit hash in a bounded memory; the new ones of a batch are encoded once, all in a few calls, with a line break after each
+    that tells their ids apart. Texts with other runs of spaces or with a special token's string are encoded whole, and so are all
+    texts if the file has another pre-tokenizer, a normalizer, another model, truncation or padding.
     """
 
-    #: Words in each of the two generations of the memory.
-    most = 250_000
+    #: Words in each of the two generations of the memory, and the bytes of new words in a call.
+    most, call = 500_000, 1 << 16
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,75 +82,105 @@ class Encoder:
             parts = json.load(file)
         before, model = parts.get("pre_tokenizer") or {}, parts["model"]
         plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
-        self.by_words = bool(plain and not parts.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges"))
+        plain = plain and not any(parts.get(x) for x in ("normalizer", "truncation", "padding"))
+        self.by_words = bool(plain and model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges"))
         added = [re.escape(t["content"]) for t in parts.get("added_tokens", [])]
-        self.odd = re.compile("|".join([_INSIDE.pattern, *added]))
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _after_space(self, word: str) -> bytes:
-        """The ids of a word with a space before it: the vocabulary's merges on each part that the tokenizer's pattern splits off."""
-        if word.isalpha():
-            return self._part(" " + word)
-        if word[:-1].isalpha():  # letters, then one other character
-            return self._part(" " + word[:-1]) + self._part(word[-1])
-        return b"".join(map(self._part, _SPLIT.findall(" " + word)))
-
-    def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            visible = part.replace(" ", _SPACE) if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(_BYTES)
-            ids = array("I", [token.id for token in self.tokenizer.model.tokenize(visible)]).tobytes()
-            if len(part) <= 64:
-                self.parts[part] = ids
-        return ids
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        """The ids of distinct words; those without a space before them begin a text (or are one) and are encoded whole."""
-        if len(self.known) > self.most:
-            self.known, self.older = {}, self.known
-        if len(self.parts) > self.most:
-            self.parts = {}
-        known, older = self.known, self.older
-        whole = [w for w in words if w[:1] != " " or self.odd.search(w)]
-        own = dict(zip(whole, self._encode(whole), strict=True))
-        out = []
-        for word in words:
-            ids = known.get(word)
-            if ids is None:
-                ids = own.get(word) or older.get(word) or (self._after_space(word[1:]) if word else b"")
-                if len(word) <= 64:
-                    known[word] = ids
-            out.append(ids)
-        return out
+        self.odd, self.added = re.compile("|".join([_INSIDE.pattern, *added])), [a.encode() for a in added]
+        if self.by_words:
+            line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+            self.by_words, self.line = len(line) == 1, line[0] if line else 0
+        self.known, self.older = _Memory(), _Memory()
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of the words data[start:end] has, and all ids, word by word."""
+        own = starts + (data[starts] == 32)  # a space that begins a word is part of it
+        total = lambda of: np.concatenate(([0], np.cumsum(of[data], dtype=np.int32)))
+        blank, wide = total(_BLANK), total(_WIDE)
+        plain = (own < ends) & (blank[ends] == blank[own])
+        text = lambda k: data[starts[k] : ends[k]].tobytes().decode()
+        for k in np.flatnonzero(plain & (wide[ends] > wide[own])).tolist():
+            word = text(k)
+            pieces = word.split()
+            plain[k] = len(pieces) == 1 and len(pieces[0]) == len(word) - (word[0] == " ")
+        sizes = np.zeros(len(starts), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # words and their ids
+        left = np.flatnonzero(plain)
+        lengths = ends[left] - starts[left] + 1
+        cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // self.call)) + 1
+        for part, size in zip(np.split(left, cuts), np.split(lengths, cuts), strict=True):
+            if not len(part):
+                continue
+            joined = data[np.minimum(_runs(starts[part], size), len(data) - 1)]
+            joined[np.cumsum(size) - 1] = 10
+            ids = self._encode([joined.tobytes().decode()])[0]
+            lines = np.flatnonzero(ids == self.line)
+            if len(lines) != len(part):
+                plain[part] = False
+                continue
+            sizes[part] = np.diff(lines, prepend=-1) - 1
+            found.append((part, ids[ids != self.line]))
+        others = np.flatnonzero(~plain)
+        for k, ids in zip(others.tolist(), self._encode([text(k) for k in others.tolist()]), strict=True):
+            sizes[k] = len(ids)
+            found.append((np.array([k]), ids))
+        if not found:
+            return sizes, np.zeros(0, "<u4")
+        order = np.concatenate([part for part, _ in found])
+        begin = np.empty(len(starts), np.int64)
+        begin[order] = np.cumsum(sizes[order]) - sizes[order]
+        return sizes, np.concatenate([ids for _, ids in found])[_runs(begin, sizes)]
+
+    def _odd(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts are encoded whole. The pattern is searched only where a space follows a byte that may end white space, or an added token stands."""
+        raw = data.tobytes()
+        may = [1 + np.flatnonzero((data[1:] == 32) & (_BLANK | _WIDE)[data[:-1]])]
+        may += [np.array([m.start() for m in re.finditer(token, raw)], np.int64) for token in self.added]
+        odd = np.zeros(len(offsets) - 1, bool)
+        for k in np.unique(np.searchsorted(offsets, np.concatenate(may), "right") - 1).tolist():
+            odd[k] = bool(self.odd.search(raw[offsets[k] : offsets[k + 1]].decode()))
+        return odd
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text of a column. Each distinct word of the column is looked up once."""
         if not self.by_words:
-            return self._encode(pc.fill_null(texts, "").to_pylist())
+            return [ids.tobytes() for ids in self._encode(pc.fill_null(texts, "").to_pylist())]
         data, offsets = _words.texts(texts)
         n = len(offsets) - 1
-        spaces = np.flatnonzero(data == 32)
-        odd = np.array([bool(self.odd.search(t)) for t in pc.fill_null(texts, "").to_pylist()], bool)
-        owner = np.searchsorted(offsets, spaces, "right") - 1
-        begins = np.zeros(len(data), bool)
+        if not len(data):
+            return [b""] * n
+        odd = self._odd(data, offsets)
+        letter, seen = _LETTER[data], _SEEN[data]
+        begins = data == 32
+        begins[1:] |= letter[:-1] & _OTHER[data[1:]]
+        begins[2:] |= seen[:-2] & (data[1:-1] == 10) & seen[2:]
+        for k in np.flatnonzero(odd).tolist():
+            begins[offsets[k] : offsets[k + 1]] = False
         begins[offsets[:-1][np.diff(offsets) > 0]] = True
-        begins[spaces[~odd[owner]]] = True
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(data))
         hashes, first, inverse = np.unique(_words.polynomial(_words._CODE[data], starts, ends), return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        found = self._ids([raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
-        sizes = np.array([len(x) // 4 for x in found], np.int64)
-        every, begin = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        if len(self.known.hashes) > self.most:
+            self.known, self.older = _Memory(), self.known
+        known, at = self.known.places(hashes)
+        older, at_older = self.older.places(hashes)
+        older &= ~known
+        at_older = at_older[older[self.older.places(hashes)[0]]]
+        new = ~known & ~older
+        begin, sizes = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64)
+        begin[known], sizes[known] = self.known.begin[at], self.known.sizes[at]
+        begin[older], sizes[older] = len(self.known.ids) + self.older.begin[at_older], self.older.sizes[at_older]
+        sizes[new], ids = self._new(data, starts[first[new]], ends[first[new]])
+        begin[new] = len(self.known.ids) + len(self.older.ids) + np.cumsum(sizes[new]) - sizes[new]
+        every = np.concatenate([self.known.ids, self.older.ids, ids])
+        keep = ~known & (ends[first] - starts[first] <= 64)
+        self.known.add(hashes[keep], sizes[keep], every[_runs(begin[keep], sizes[keep])])
         many = sizes[inverse]
         upto = np.concatenate(([0], np.cumsum(many)))
-        ids = every[np.arange(upto[-1]) + np.repeat(begin[inverse] - upto[:-1], many)]
         cuts = upto[np.searchsorted(starts, offsets)].tolist()
+        ids = every[_runs(begin[inverse], many)]
         return [ids[cuts[i] : cuts[i + 1]].tobytes() for i in range(n)]
 
 
@@ -144,7 +198,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = 1024, end: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            for part in _words.slices(batch, most=1 << 22):
+            for part in _words.slices(batch, most=1 << 20):
                 rows, numbers, starts, lengths, crcs, kept = [], [], [], [], [], []
                 for row, ids in enumerate(enc.encode(part.column("text"))):
                     ids += tail
