@@ -120,17 +120,21 @@ def file_scores(requirements: DataFrame, concepts: DataFrame, files: DataFrame,
     methods that share a word 2 each, at most 4; hits 3 + n, at most 8; 4 if a concept is the class's name."""
     asked = requirements.select("requirement", "text").unionByName(concepts.select("requirement", F.col("concept").alias("text")))
     words = asked.select("requirement", F.explode(letters(F.col("text"))).alias("w")).distinct()
-    parts = [("n_class", files.select("path", F.lit("").alias("item"), F.explode(letters(F.col("class_name"))).alias("w"))),
-             ("n_source", files.select("path", F.lit("").alias("item"), F.explode(letters(F.col("content"))).alias("w"))),
-             ("n_methods", files.select("path", F.explode("methods").alias("item")).select("path", "item", F.explode(letters(F.col("item"))).alias("w")))]
-    long = reduce(DataFrame.unionByName, [p.select("path", "item", "w", F.lit(n).alias("part")) for n, p in parts])
-    met = words.join(long, "w").groupBy("requirement", "path", "part").agg(F.when(F.col("part") == "n_methods", F.countDistinct("item")).otherwise(F.countDistinct("w")).alias("n"))
-    found = hits.groupBy("requirement", "path").agg(F.count("*").alias("n")).select("requirement", "path", F.lit("n_hits").alias("part"), "n")
+    # the words of a file are a set of its row, so a pair's matches are counted where the file lies and leave the task as one row of sums
+    own = lambda part, text: F.transform(letters(F.col(text)), lambda w: F.struct(F.lit(part).alias("part"), w.alias("w")))
+    of_files = files.select("path", F.explode(F.concat(own("n_class", "class_name"), own("n_source", "content"))).alias("_s")).select("path", "_s.part", "_s.w")
+    if not files.groupBy("path").count().where("count > 1").isEmpty():
+        of_files = of_files.distinct()
+    met = words.join(of_files, "w").select("requirement", "path", "part")
+    methods = files.select("path", F.explode("methods").alias("item")).select("path", "item", F.explode(letters(F.col("item"))).alias("w"))
+    shared = words.join(methods, "w").select("requirement", "path", "item").distinct().select("requirement", "path", F.lit("n_methods").alias("part"))
+    found = hits.select("requirement", "path", F.lit("n_hits").alias("part"))
     same = concepts.select("requirement", compact(F.col("concept")).alias("c")).where("c <> ''").join(files.select("path", compact(F.col("class_name")).alias("c")), "c")
-    same = same.select("requirement", "path", F.lit("concept").alias("part"), F.lit(1).cast("long").alias("n")).distinct()
-    n = lambda part: F.coalesce(F.max(F.when(F.col("part") == part, F.col("n"))), F.lit(0).cast("long"))
+    same = same.select("requirement", "path", F.lit("concept").alias("part"))
+    n = lambda part: F.count_if(F.col("part") == part)
     names = ["n_class", "n_source", "n_methods", "n_hits"]
-    out = met.unionByName(found).unionByName(same).groupBy("requirement", "path").agg(*[n(p).alias(p) for p in names], (n("concept") > 0).alias("concept"))
+    every = reduce(DataFrame.unionByName, [met, shared, found, same])
+    out = every.groupBy("requirement", "path").agg(*[n(p).alias(p) for p in names], (n("concept") > 0).alias("concept"))
     score = (
         F.when(F.col("n_class") > 0, 6 + F.col("n_class")).otherwise(0) + F.least("n_source", F.lit(6)) + F.least(2 * F.col("n_methods"), F.lit(4))
         + F.when(F.col("n_hits") > 0, F.least(3 + F.col("n_hits"), F.lit(8))).otherwise(0) + F.when(F.col("concept"), 4).otherwise(0)
