@@ -1,6 +1,7 @@
 """What source text exposes and calls, business records on its endpoints, and the main component of homonyms."""
 
 from tracequarry.operators import corpus, engineering, graph
+from tracequarry.plans import catalogue
 
 FILE = """
 @RestController @RequestMapping("/api/v1/")
@@ -66,3 +67,28 @@ def test_main_component_of_homonyms(spark):
     seeds = spark.createDataFrame([("n", "a", "p", 1), ("n", "b", "q", 1), ("n", "c", "p", 9), ("n", "d", "p", 9), ("one", "e", None, 0)], "name string, node string, project string, methods int")
     links = spark.createDataFrame([("a", "x"), ("x", "b"), ("c", "d")], "source string, target string")
     assert {(r["name"], r["node"]) for r in graph.keep_main_component(seeds, links).collect()} == {("n", "a"), ("n", "b"), ("one", "e")}
+
+
+def test_attribute_impact_walks_callers(spark):
+    m = lambda n: f"Method|p|{n}"
+    code = [(m("A|r"), "Attribute|p|A|x", "READS"), (m("B|w"), "Attribute|p|x", "WRITES"), (m("B|w"), "Attribute|p|B|alone", "READS"), ("Endpoint|p|GET|/w", m("B|w"), "INVOKES"), (m("A|r"), m("C|not"), "CALLS"), ("Endpoint|p|GET|/not", m("C|not"), "INVOKES")]
+    code += [(m("A|c1"), m("A|r"), "CALLS")] + [(m(f"A|c{i + 1}"), m(f"A|c{i}"), "CALLS") for i in range(1, 10)] + [("Endpoint|p|GET|/8", m("A|c8"), "INVOKES"), ("Endpoint|p|GET|/9", m("A|c9"), "INVOKES")]
+    code += [("Class|p|A", "Attribute|p|A|x", "DECLARES"), ("Class|p|A", "Attribute|p|A|unused", "DECLARES")]
+    business = [("Endpoint|p|GET|/8", "Scenario|1", "COVERED_BY"), ("Endpoint|p|GET|/9", "Scenario|9", "COVERED_BY"), ("Endpoint|p|GET|/not", "Scenario|9", "COVERED_BY"), ("Scenario|1", "Test|1", "TESTED_IN"), ("Test|1", "Release|p|R", "BELONGS_TO")]
+    business += [("Scenario|1", "Ticket|A", "CHANGED_BY"), ("Test|1", "Ticket|A", "VERIFIES_CHANGE"), ("Test|1", "Ticket|B", "VERIFIES_CHANGE"), ("Ticket|A", "Project|p", "BELONGS_TO_PROJECT")]
+    frame = lambda rows: spark.createDataFrame(rows, "source string, target string, type string")
+    # nine calls away is too far, and a called method's endpoint does not come to its caller
+    assert rows(engineering.attribute_impact(frame(code), frame(business))) == [("alone", 1, 1, 0, 0, 0, 0), ("x", 10, 2, 1, 2, 1, 1)]
+    assert rows(engineering.attribute_impact(frame(code).limit(0), frame(business))) == []
+
+
+def test_attribute_business_comes_from_callers(spark, tmp_path):
+    write = lambda name, rows, shape: spark.createDataFrame(rows, shape).write.parquet(f"{tmp_path}/{name}.parquet")
+    write("part", [(2, 1), (7, 2), (30, 3)], "p_partkey long, p_size int")  # getTotal of 2 calls run of 7; 7 calls 22, which is no part
+    write("customer", [(2, 0)], "c_custkey long, c_nationkey int")
+    write("supplier", [(1, 1, 0.0)], "s_suppkey long, s_nationkey int, s_acctbal double")
+    write("orders", [(3, 2, "F")], "o_orderkey long, o_custkey long, o_orderstatus string")
+    write("lineitem", [(3, 1, 5, "A", 50.0)], "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string, l_quantity double")
+    got = {r["attribute"]: r["n_endpoints"] for r in catalogue.queries()["attribute_business"](spark, str(tmp_path)).collect()}
+    # name1 is read by 2 alone, whose run nobody calls; before, the endpoint of the own class counted for it
+    assert got == {"name1": 0, "name2": 1, "name3": 0, "open": 1, "total": 1, "code": 1}
