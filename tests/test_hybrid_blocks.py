@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracequarry.functions import text as tx
-from tracequarry.operators import hybrid
+from tracequarry.operators import hybrid, retrieval
 
 WORDS = "cust type mapper update CAS-12 a.b the of ordér x_1 zebra Release".split()
 
@@ -50,3 +50,22 @@ def test_pairs_below_the_floor_leave_no_block(spark, texts, monkeypatch):
     few, got = run().count(), search(run())
     monkeypatch.setattr(hybrid, "CELLS", 0)
     assert few < run().count() and got == search(run()) and len(got) > 10
+
+
+def test_texts_meet_vectors_in_one_exchange(spark, texts):
+    documents, queries = texts
+    documents = documents.withColumn("kind", F.when(F.col("doc_id") % 3 == 0, "test_baseline"))
+    vectors = spark.createDataFrame([(i, [1.0, i / 7]) for i in range(60)], "doc_id long, vector array<double>")
+    asked = vectors.where("doc_id in (1, 2, 6)").withColumnRenamed("doc_id", "query_id")
+    runs = hybrid.linear_scores(documents.drop("tokens"), queries, vectors, asked)  # before, tokens had to be there, and were exchanged and sorted with the texts
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "doc_id", "kind", *(F.round(c, 9) for c in ("exact", "bm25", "vector"))).collect()), key=str)
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    assert rows(runs) == rows(hybrid.linear_scores(documents, queries, vectors, asked)) and "Sort" not in plan and plan.count("Exchange hashpartitioning") == 2
+
+
+def test_run_counts(spark):
+    corpus = spark.createDataFrame([("a b a",), (None,), ("",), ("b-1 — b",)], "t string").repartition(3)
+    for most in (0, 9):
+        got = {r["term"]: r["df"] for r in retrieval._run_counts(corpus, most).collect()}
+        assert got == {"a": 1, "b": 2, "b-1": 1, None: 4}
+    assert retrieval._run_counts(corpus).agg(F.sum("n")).first()[0] == 5

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracequarry.operators.retrieval import HEADS
 from tracequarry.store import scratch, stored
 
 #: Words that make a question one about history, about a change, about a release; domains; and words that name no subject.
@@ -60,7 +61,12 @@ def grounded(ranked: DataFrame, required: DataFrame, documents: DataFrame) -> Da
     pairs = ranked.select("query_id", "doc_id").distinct()
     needs = required.groupBy("query_id").agg(F.countDistinct("kind").alias("n"))
     wanted = pairs.join(required, "query_id")
-    terms = documents.select("doc_id", F.explode("tokens").alias("term")).distinct()
+    named = required.where("kind <> 'RELEASE' and term is not null").select("term").distinct()
+    if named.limit(HEADS + 1).count() <= HEADS:  # a document keeps those of its tokens that are required before anything is exploded
+        few = F.broadcast(named.agg(F.collect_set("term").alias("_few")))  # one row
+        terms = documents.crossJoin(few).select("doc_id", F.explode(F.array_intersect("tokens", "_few")).alias("term"))
+    else:
+        terms = documents.select("doc_id", F.explode("tokens").alias("term")).distinct()
     by_term = wanted.where("kind <> 'RELEASE'").join(terms, ["doc_id", "term"], "left_semi").select("query_id", "doc_id", "kind")
     known = ~F.lower(F.trim("release")).isin("unknown release", "none", "") & (F.col("n_tests") > 0)
     released = documents.where(F.coalesce(known, F.lit(False))).select("doc_id")

@@ -60,10 +60,16 @@ CELLS = 1 << 22
 
 
 def _weighed(corpus: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """The queries' terms that the corpus has (term, idf, avgdl), those asked (query_id, term, qtf), and the number of terms times queries."""
+    """The queries' terms that the corpus has (term, idf, avgdl), those asked (query_id, term, qtf), and the number of terms times queries. A corpus without tokens has t, lower texts, whose runs are counted."""
     with scratch(corpus.sparkSession):
-        df = stored(corpus.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "bm25-df", keep=True)
-    n_docs, avgdl = corpus.agg(F.count("*"), F.avg(F.size("tokens"))).first()
+        if "tokens" in corpus.columns:
+            df = stored(corpus.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "bm25-df", keep=True)
+            n_docs, avgdl = corpus.agg(F.count("*"), F.avg(F.size("tokens"))).first()
+        else:
+            counted = stored(_run_counts(corpus), "bm25-df", keep=True)
+            df = counted.where("term is not null").select("term", "df")
+            n_docs, n_tokens = counted.where("term is null").agg(F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+            avgdl = n_tokens / n_docs if n_docs else None
     raw = df.withColumn("raw", F.ln((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = raw.agg(F.avg("raw")).first()[0]
     asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
@@ -73,6 +79,28 @@ def _weighed(corpus: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFram
     return weighed, asked, terms.count() * max(1, queries.count())
 
 
+def _run_counts(corpus: DataFrame, most: int = 1 << 18) -> DataFrame:
+    """(term, df, n): in how many lower texts t each run stands; the rows without a term add up to the number of texts (df) and of their runs (n). Texts are read once, where they lie; a task holds `most` terms."""
+
+    def rows(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.nulls(len(seen), pa.int64())], ["term", "df", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, n_docs, n_runs = Counter(), 0, 0
+        for batch in batches:
+            for t in batch.column("t").to_pylist():
+                found = _RUN.findall(t) if t else []
+                n_docs, n_runs = n_docs + 1, n_runs + len(found)
+                seen.update(set(found))
+                if len(seen) > most:
+                    yield rows(seen)
+                    seen = Counter()
+        yield rows(seen)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([n_docs]), pa.array([n_runs])], ["term", "df", "n"])
+
+    return corpus.select("t").mapInArrow(run, "term string, df long, n long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
+
+
 class Lexical:
     """BM25 of a batch of questions whose size the caller has checked: the product of a block of documents by terms and the matrix of terms by questions.
 
@@ -90,6 +118,7 @@ class Lexical:
                 self.matrix[number[r["term"]], of[r["query_id"]]] = found[number[r["term"]]]["idf"] * (r["qtf"] if repeat_terms else 1)
         self.avgdl = found[0]["avgdl"] if found else 1.0
         self.k1, self.b, self.vocabulary = k1, b, pa.array(list(number), pa.string())
+        self.number: dict[str, int] | None = None
         self.step = max(1, min(512, CELLS // max(1, len(number))))  # so that documents times terms are no more cells than the matrix has
 
     def scores(self, tokens: pa.ListArray) -> np.ndarray:
@@ -101,6 +130,32 @@ class Lexical:
         share = np.divide(tf * (self.k1 + 1), tf + self.k1 * (1 - self.b + self.b * dl[:, None] / self.avgdl), out=np.zeros_like(tf), where=tf > 0)
         return share @ self.matrix
 
+    def scores_of(self, runs: "Runs") -> np.ndarray:
+        """The same of texts whose tokens are their runs."""
+        if self.number is None:  # made in the task
+            self.number = {t: i for i, t in enumerate(self.vocabulary.to_pylist())}
+        n, n_terms = runs.n, len(self.vocabulary)
+        dl = np.bincount(runs.owner, runs.tf, n)
+        at = np.fromiter((self.number.get(r, -1) for r in runs.names), np.int64, len(runs.names))[runs.run]
+        known = at >= 0
+        tf = np.bincount(runs.owner[known] * n_terms + at[known], runs.tf[known], n * n_terms).reshape(n, n_terms)
+        share = np.divide(tf * (self.k1 + 1), tf + self.k1 * (1 - self.b + self.b * dl[:, None] / self.avgdl), out=np.zeros_like(tf), where=tf > 0)
+        return share @ self.matrix
+
+
+class Runs:
+    """The runs of a block of lower texts: names, distinct ones, and for each text (owner) and run of it (run, its place in names) how often it stands there (tf)."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        local: dict[str, int] = {}
+        counts = [Counter(_RUN.findall(t)) if t else {} for t in texts]
+        sizes = [len(c) for c in counts]
+        total, self.n = sum(sizes), len(texts)
+        self.run = np.fromiter((local.setdefault(r, len(local)) for c in counts for r in c), np.int64, total)
+        self.tf = np.fromiter(chain.from_iterable(c.values() for c in counts), np.int64, total)
+        self.owner = np.repeat(np.arange(self.n), sizes)
+        self.names = list(local)
+
 
 def _bm25_blocks(corpus: DataFrame, lexical: Lexical, asked: DataFrame, k: int | None) -> DataFrame:
     """Scores in blocks. Pairs of a query and a document leave a task once, with their score; nothing is joined or exchanged."""
@@ -300,24 +355,19 @@ class Exact:
             found = self.runs[run] = ([self.number[h] for h in held], [run.count(h) for h in held])
         return found
 
-    def scores(self, texts: list[str | None], identifiers: list[list[str | None] | None] | None = None) -> np.ndarray:
-        """Scores of texts (lower case) by questions; identifiers are compact."""
+    def scores(self, texts: list[str | None], identifiers: list[list[str | None] | None] | None = None, runs: Runs | None = None) -> np.ndarray:
+        """Scores of texts (lower case) by questions; identifiers are compact, runs those of the texts."""
         if not self.ready:
             self._begin()
+        runs = Runs(texts) if runs is None else runs
         n, (n_needles, n_questions) = len(texts), self.points.shape
-        local: dict[str, int] = {}
-        counts = [Counter(_RUN.findall(t)) if t else {} for t in texts]
-        spots = [[local.setdefault(r, len(local)) for r in c] for c in counts]
-        held = [self._inside(r) for r in local]
+        held = [self._inside(r) for r in runs.names]
         sizes = np.array([len(h) for h, _ in held], np.int64)
         needle, often = (np.fromiter(chain.from_iterable(h[c] for h in held), np.int64, int(sizes.sum())) for c in (0, 1))
         first = np.concatenate(([0], np.cumsum(sizes)))
-        run = np.fromiter(chain.from_iterable(spots), np.int64, sum(map(len, spots)))
-        tf = np.fromiter(chain.from_iterable(c.values() for c in counts), np.int64, len(run))
-        owner = np.repeat(np.arange(n), [len(s) for s in spots])
-        many = sizes[run]
-        at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[run], many)
-        times = np.bincount(np.repeat(owner * n_needles, many) + needle[at], np.repeat(tf, many) * often[at], n * n_needles).reshape(n, n_needles)
+        many = sizes[runs.run]
+        at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[runs.run], many)
+        times = np.bincount(np.repeat(runs.owner * n_needles, many) + needle[at], np.repeat(runs.tf, many) * often[at], n * n_needles).reshape(n, n_needles)
         out = np.minimum(12 * times, 48) @ self.points
         for token, q in self.odd:
             out[:, q] += [min(12 * t.count(token), 48) if t else 0 for t in texts]

@@ -10,7 +10,7 @@ from tracequarry.operators import hybrid, knowledge
 from tracequarry.plans import catalogue
 from tracequarry.plans.knowledge import _CHANGE, _DOMAINS, _GENERIC, _HISTORY, _RELEASE
 from tracequarry.plans.registry import query, table
-from tracequarry.store import spread, stored
+from tracequarry.store import spread
 
 
 @query(
@@ -62,7 +62,7 @@ def hybrid_linear_scoped(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     directions = vectors.join(items.select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id")
     texts, questions = catalogue._texts(spark, d)
-    scores = stored(hybrid.linear_scores(texts.withColumn("kind", kind), questions, vectors, directions), "linear-scores")
+    scores = hybrid.linear_scores(texts.select("doc_id", "text", kind.alias("kind")), questions, vectors, directions)
     tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
     known = documents.select("doc_id", kind.alias("kind"), F.regexp_extract(F.lower("text"), "([a-z]{6,})", 1).alias("baseline"))
     terms = documents.select("doc_id", tokens("text").alias("tokens"), F.when(F.col("n_chars") % 4 > 0, "R1").alias("release"), F.lit(1).alias("n_tests"))
